@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import chat_format, exact_dedup, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_quality_rules": quality_rules.op5,
+        "op6_chat_format": chat_format.op6,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_quality_rules": quality_rules.SQL,
+        "op6_chat_format": chat_format.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
     }
