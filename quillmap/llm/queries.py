@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, quality_rules
+from . import chat_format, exact_dedup, mixing, packing, quality_rules, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": token_counts.op1,
         "op5_quality_rules": quality_rules.op5,
         "op6_chat_format": chat_format.op6,
+        "op7_mix_sources": mixing.op7,
+        "op8_best_fit_packing": packing.op8,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
@@ -21,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality_rules.SQL,
         "op6_chat_format": chat_format.SQL,
+        "op7_mix_sources": mixing.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
     }
