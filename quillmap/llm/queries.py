@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, mixing, packing, quality_rules, token_counts
+from . import (
+    chat_format, compression_quality, exact_dedup, mixing, packing, quality_rules, secret_scan, simhash_dedup, token_counts,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1,
+        "op2_compression_quality": compression_quality.op2,
+        "op4_secret_scan": secret_scan.op4,
         "op5_quality_rules": quality_rules.op5,
         "op6_chat_format": chat_format.op6,
         "op7_mix_sources": mixing.op7,
         "op8_best_fit_packing": packing.op8,
+        "op9_simhash_dedup": simhash_dedup.op9,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
