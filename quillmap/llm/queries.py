@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    chat_format, compression_quality, exact_dedup, mixing, packing, quality_rules, secret_scan, simhash_dedup, token_counts,
+    chat_format, compression_quality, exact_dedup, mixing, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup,
+    token_counts,
 )
 
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1,
         "op2_compression_quality": compression_quality.op2,
+        "op3_suffix_dedup": suffix_dedup.op3,
         "op4_secret_scan": secret_scan.op4,
         "op5_quality_rules": quality_rules.op5,
         "op6_chat_format": chat_format.op6,
