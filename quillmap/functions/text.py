@@ -129,7 +129,7 @@ def segments(text: Column, least: int = 20) -> Column:
 
 def cache_directives(header: Column) -> Column:
     """struct(max_age, s_maxage, must_revalidate, no_cache, no_store) of a Cache-Control header."""
-    parts = F.transform(F.split(F.lower(F.coalesce(header, F.lit(""))), ","), F.trim)
+    parts = F.transform(F.split(F.lower(F.coalesce(header, F.lit(""))), ","), lambda x: F.trim(x))
     last = lambda name: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(parts, lambda p: F.startswith(p, F.lit(name + "=")))), -1)
     seconds = lambda name: F.regexp_extract(last(name), r"=\s*(-?[0-9]+)", 1).try_cast("long")
     return F.struct(
