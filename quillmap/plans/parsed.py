@@ -1 +1,116 @@
-"""Queries over parsers of HTML and Markdown."""
+"""Queries over parsers of HTML and Markdown: the driver's pages, and literal bodies with known results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillmap.functions import udf
+from quillmap.operators import structure as S
+from quillmap.plans.catalogue import literal, query, table
+
+FENCED = """(SELECT * FROM (VALUES (1, '```
+x
+```'), (2, '```
+open'), (3, '> ~~~
+> a
+> ~~~'), (4, '1. item
+
+   ```js
+   a
+   ```
+text'), (5, '````
+```
+````'), (6, 'no fence')) AS v(id, body))"""
+
+LINKED = """(SELECT * FROM (VALUES (1, 'See [a](b.md), [a again](b.md), ![i](/i.png), [x](https://o.io/p.md#s), [f](#top) and [m](mailto:a@b.c)'),
+ (2, '```
+[no](code.md)
+```
+`[no](span.md)` [ref][one] and [one]
+
+[one]: //cdn.io/x "t"
+[one]: second.md'), (3, '[bad](a{b}) [amp](a?b=1&amp;c=2)')) AS v(id, body))"""
+
+PAGED = """(SELECT * FROM (VALUES (1, 'Showing 1-20 of 143 results. [Next page](?page=2)'), (2, 'Showing 20 of 20 items'), (3, 'Call /api/list?cursor=abc for more'), (4, 'Nothing'),
+ (5, '[page 1](?page=1) and [two](/x/page/2)')) AS v(id, body))"""
+
+TABBED = """(SELECT * FROM (VALUES ('u1', '<div><ul role="tablist"><li class="tabs__item" role="tab">npm</li><li class="tabs__item" role="tab">yarn</li></ul><div role="tabpanel"><h3>Install</h3></div><div role="tabpanel"><h3>Install</h3></div></div>'),
+ ('u2', '<div class="tabbed-set"><div class="tabbed-labels"><label>A</label><label>B</label></div><div class="tabbed-content"><div class="tabbed-block"><h4>Use A</h4></div><div class="tabbed-block"><h4>Use B</h4></div></div></div>'),
+ ('u3', '<Tabs><TabItem label="mac">
+## Setup
+</TabItem><TabItem label="win">
+## Setup
+</TabItem></Tabs>'), ('u4', '<p>plain</p>')) AS v(url, html))"""
+
+BULKY = """(SELECT 1 AS id, concat('intro text
+', '| a | b |
+| --- | --- |
+', repeat('| 1 | 2 |
+', 25)) AS body UNION ALL SELECT 2, concat('x ', repeat('QUJD', 600)) UNION ALL SELECT 3, 'small')"""
+
+
+@query("html_render_metrics")
+def html_render_metrics(spark, d):
+    pages = table(spark, d, "pages").repartition(8, "page_id")
+    return pages.select("page_id", udf.page_metrics(F.col("html")).alias("m")).select("page_id", "m.status", "m.headings", "m.paragraphs", "m.code_blocks", "m.visible", "m.has_content")
+
+
+@query("html_anchor_counts", r"SELECT page_id, len(regexp_extract_all(html, '(?i)<a\s'))::BIGINT AS anchors FROM pages")
+def html_anchor_counts(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?i)<a\s")).cast("long").alias("anchors"))
+
+
+@query("html_to_markdown")
+def html_to_markdown(spark, d):
+    pages = table(spark, d, "pages").repartition(8, "page_id")
+    return pages.select("page_id", udf.page_metrics(F.col("html")).alias("m")).select("page_id", F.length("m.markdown").alias("chars"), F.md5("m.markdown").alias("digest"))
+
+
+@query("content_start")
+def content_start(spark, d):
+    pages = table(spark, d, "pages").repartition(8, "page_id")
+    md = pages.select("page_id", udf.page_metrics(F.col("html")).alias("m")).select("page_id", F.col("m.markdown").alias("md"))
+    start = md.select("page_id", udf.content_start(F.col("md")).alias("start"), F.length("md").alias("chars"))
+    percent = F.floor(F.try_divide(100 * F.col("start"), F.col("chars")) + 0.5)
+    return start.withColumn("percent", percent).withColumn("status", F.when(percent <= 10, "pass").when(percent <= 50, "warn").otherwise("fail"))
+
+
+@query("html_parity_self")
+def html_parity_self(spark, d):
+    pages = table(spark, d, "pages").repartition(8, "page_id").select("url", "html", udf.page_metrics(F.col("html")).alias("m"))
+    return S.parity(pages.select("url", "html", F.col("m.markdown").alias("markdown")))
+
+
+@query("fences", "SELECT * FROM (VALUES (1, 1, NULL, 'pass'), (2, 1, 1, 'fail'), (3, 1, NULL, 'pass'), (4, 1, NULL, 'pass'), (5, 1, NULL, 'pass'), (6, 0, NULL, 'pass')) AS v(id, fences, open_line, status)")
+def fences(spark, d):
+    return literal(spark, FENCED).select("id", udf.fences(F.col("body")).alias("f")).select("id", F.col("f.count").alias("fences"), "f.open_line", "f.status")
+
+
+@query("links", """SELECT * FROM (VALUES (1, 'b.md', 'path-relative', 'https://a.io/d/b.md', false, true, false), (1, '/i.png', 'root-relative', 'https://a.io/i.png', false, false, true),
+(1, 'https://o.io/p.md#s', 'absolute', 'https://o.io/p.md', true, true, false), (1, '#top', 'fragment', NULL, false, false, false), (1, 'mailto:a@b.c', 'other-scheme', NULL, false, false, false),
+(2, '//cdn.io/x', 'protocol-relative', 'https://cdn.io/x', true, false, false), (3, 'a?b=1&c=2', 'path-relative', 'https://a.io/d/a?b=1&c=2', false, false, false)) AS v(id, url, class, "fetch", cross_origin, markdown, image)""")
+def links(spark, d):
+    rows = literal(spark, LINKED).select("id", F.explode(udf.links(F.col("body"), F.lit("https://a.io/d/page.md"))).alias("l"))
+    return rows.select("id", "l.url", "l.class", "l.fetch", "l.cross_origin", "l.markdown", "l.image")
+
+
+@query("pagination", "SELECT * FROM (VALUES (1, 2, '?page=2'), (2, 0, NULL), (3, 1, '/api/list?cursor=abc'), (4, 0, NULL), (5, 1, '/x/page/2')) AS v(id, signals, continuation)")
+def pagination(spark, d):
+    rows = literal(spark, PAGED).select("id", udf.pagination(F.col("body"), F.lit("https://a.io/d/list")).alias("p"))
+    return rows.select("id", F.size("p.signals").alias("signals"), "p.continuation")
+
+
+@query("tab_groups", "SELECT * FROM (VALUES ('u1', 'docusaurus', 0, 'npm'), ('u1', 'docusaurus', 1, 'yarn'), ('u2', 'mkdocs', 0, 'A'), ('u2', 'mkdocs', 1, 'B'), ('u3', 'mdx', 0, 'mac'), ('u3', 'mdx', 1, 'win')) AS v(url, framework, panel_ix, label)")
+def tab_groups(spark, d):
+    return S.tab_panels(literal(spark, TABBED)).select("url", "framework", "panel_ix", "label")
+
+
+@query("tab_header_quality", "SELECT * FROM (VALUES ('u1', 2::BIGINT, 2::BIGINT, true), ('u2', 2, 0, false), ('u3', 2, 2, true)) AS v(url, headers, generic, generic_majority)")
+def tab_header_quality(spark, d):
+    return S.header_quality(S.tab_panels(literal(spark, TABBED))).select("url", "headers", "generic", "generic_majority")
+
+
+@query("bulk_data", "SELECT * FROM (VALUES (1, 'table', 'pipe-table', 25, 2), (2, 'base64', 'inline', NULL, NULL)) AS v(id, kind, form, \"rows\", \"columns\")")
+def bulk_data(spark, d):
+    rows = literal(spark, BULKY).select("id", udf.bulk_data(F.col("body")).alias("b"))
+    return rows.select("id", F.explode("b.elements").alias("e")).select("id", "e.kind", "e.form", "e.rows", "e.columns")
