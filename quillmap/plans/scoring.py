@@ -73,7 +73,7 @@ def proportions(results: DataFrame, items: DataFrame, dim: DataFrame) -> DataFra
     Skipped and failed-to-run checks are left out. Buckets, items and rates fall back to the status where they are
     missing; items that are all unscorable give 0, but for http-status-codes, which falls back.
     """
-    ran = results.filter(~F.col("status").isin("skip", "error")).join(F.broadcast(dim), "check_id")
+    ran = results.drop("category", "ordinal").filter(~F.col("status").isin("skip", "error")).join(F.broadcast(dim), "check_id")
     rows = ran.join(_shares(items, ["run_id", "check_id"]), ["run_id", "check_id"], "left")
     warn = F.col("warn_coefficient")
     by_status = F.when(F.col("status") == "pass", 1.0).when(F.col("status") == "warn", warn).otherwise(0.0)
