@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillmap.dims import CHECKS, Options
 from quillmap.plans import dag, diagnostics, scoring
 from quillmap.plans.checks import REGISTRY, Tables, verdicts
+from quillmap.session import cut
 
 EMPTY_SYMPTOMS = "run_id string, page_key string, direction string"
 
@@ -23,8 +24,9 @@ def audit(tables: Tables, options: Options = Options()) -> dict[str, DataFrame]:
     chosen = [k for k in dag.order() if (not options.check_ids or k in options.check_ids) and k not in options.skip_check_ids]
     items = {k: REGISTRY[k](tables, options) for k in chosen}
     raw = reduce(DataFrame.unionByName, [verdicts(k, items[k], tables.runs, options) for k in chosen])
-    results = gated(raw.persist()).persist()
-    union = reduce(DataFrame.unionByName, [v.select("run_id", F.lit(k).alias("check_id"), "url", "status") for k, v in items.items()]).persist()
+    results = cut(gated(cut(raw)))
+    union = reduce(DataFrame.unionByName, [v.select("run_id", F.lit(k).alias("check_id"), "url", "status") for k, v in items.items()])
+    union = cut(union)
     null = lambda kind: F.lit(None).cast(kind)
     typed = results.withColumns({"requests": null("int"), "failed": null("int"), "max_chars": null("int"), "tested": null("int"), "rate_limited": null("int"), "same_origin": null("int"), "cross_origin": null("int"), "gzipped_skipped": null("boolean")})
     if "llms-txt-size" in items:
@@ -34,7 +36,8 @@ def audit(tables: Tables, options: Options = Options()) -> dict[str, DataFrame]:
     runs = tables.runs.select("run_id").join(tested, "run_id", "left").select("run_id", F.lit(options.sampling_strategy).alias("sampling_strategy"), F.coalesce("tested_pages", F.lit(0)).alias("tested_pages"), F.lit(0).alias("requests"), F.lit(0).alias("failed"))
     symptoms = spark.createDataFrame([], EMPTY_SYMPTOMS)
     found = diagnostics.evaluate(typed, runs, symptoms)
-    scores = scoring.check_scores(typed, union, runs, scoring.dim_check(spark)).persist()
+    scores = scoring.check_scores(typed, union, runs, scoring.dim_check(spark))
+    scores = cut(scores)
     return {
         "results": results, "items": union, "check_scores": scores, "scores": scoring.overall(scores, runs, scoring.caps(scores, typed, found)),
         "categories": scoring.categories(scores), "diagnostics": found,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +17,14 @@ def session(app: str = "quillmap", master: str | None = None, shuffle_partitions
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def cut(df):
+    """df from a reliable checkpoint: later plans are short, and a lost executor loses nothing.
+
+    The folder is the one that spark.checkpoint.dir names; only where none is set is a temporary one made.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return df.checkpoint(eager=True)
