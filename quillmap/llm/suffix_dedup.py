@@ -215,7 +215,8 @@ def repeated_passages(
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(count), pa.array(anchor)], names=["key", "t1", "t2", "start", "count", "anchor"])
 
     found = _written(texts.select("t1", "t2", "data").mapInArrow(anchors, "key long, t1 long, t2 long, start long, count long, anchor long"))
-    often = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # a table of its own, so that both sides of the join are plain shuffles and Spark can split the rows of a common key
+    often = _written(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     again = found.join(often, "key").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "start", "count", "anchor", (F.col("n") > hot).alias("hot"))).alias("rows"))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
