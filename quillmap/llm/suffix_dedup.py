@@ -223,7 +223,7 @@ def repeated_passages(
         find = Anchors(length)
         for batch in batches:
             out, sent = [], set()
-            for t1_, t2_, data_, rows_ in zip(*(batch.column(k) for k in range(4))):
+            for t1_, t2_, data_, rows_ in zip(*(batch.column(k) for k in (0, 1, 3, 4))):
                 whole = data_.as_py()
                 array, ident = np.frombuffer(whole, np.uint8), (t1_.as_py(), t2_.as_py())
                 for r in rows_.as_py():
@@ -246,7 +246,8 @@ def repeated_passages(
         kinds = (pa.int64(),) * 6 + (pa.binary(),)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["key", "content", "t1", "t2", "start", "count", "stretch"])
 
-    dealt = texts.select("t1", "t2", "data").join(again, ["t1", "t2"]).select("t1", "t2", "data", "rows").mapInArrow(
+    # `times` goes along unread: with the same columns as below, Spark shuffles the texts once for both
+    dealt = texts.join(again, ["t1", "t2"]).select("t1", "t2", "times", "data", "rows").mapInArrow(
         stretches, "key long, content long, t1 long, t2 long, start long, count long, stretch binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
