@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 as Parquet in the shared folder of checkpoints and rereads it as the next stage's docs. All but the last return the
 columns of documents.
 
-The stages' decisions take effect: rejected documents go; of equal texts the row with the smallest doc_id stays; of a
+The stages' decisions take effect: rejected documents go, and lines over the limit go from those that stay; of equal texts the row with the smallest doc_id stays; of a
 group of near-duplicates the document with the group's smallest doc_id; the mix repeats a document as often as it takes
 it (a fraction counts as a repetition from one half on) and leaves out what it does not take; the last stage returns
 the packed pieces.
@@ -28,8 +28,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line frequency keep."""
-    return quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+    """Documents that the base rules and the line frequency keep, without the lines over the limit; n_chars follows the text."""
+    kept = quality_rules(docs.select(*COLUMNS)).filter("kept")
+    changed = F.col("cleaned_text") != F.col("text")
+    kept = kept.withColumn("n_chars", F.when(changed, F.length("cleaned_text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.withColumn("text", F.col("cleaned_text")).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

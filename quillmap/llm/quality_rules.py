@@ -4,7 +4,8 @@ Method. Lines are normalised (case folded, white space collapsed) and hashed; fo
 documents per line is counted, documents with equal texts being one, so that copies do not make a line frequent.
 Lines in more than `max_share` of a host's documents (and in more than `min_documents`) are removed; a document that
 keeps less than `min_left` of its word characters is depleted and rejected. Duplicate lines of one document are one
-line for the count, and all of them go.
+line for the count, and all of them go. `cleaned_text` is the text without them; the figures are those of the text as
+it came.
 
 Distribution. The distinct count runs in two levels, so that a line in a third of all documents is summed from partial
 counts. Only rows of frequent lines reach the last aggregate, which is by document. All of it is built-in column
@@ -72,7 +73,8 @@ def _normal(line: Column) -> Column:
 
 
 def line_frequency(df: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float, min_documents: int) -> DataFrame:
-    """id, _text_hash, _host, and removed_chars: the word characters of the document's lines that are over the limit.
+    """id, _text_hash, _host, _removed and _gone: the word characters of the document's lines that are over the limit, and
+    the hashes of these lines.
 
     Only documents that lose a line have a row.
     """
@@ -94,29 +96,31 @@ def line_frequency(df: DataFrame, id_col: str, text_col: str, host_col: str, max
     )
     hit = each.join(frequent, (F.col("_line_hash") == F.col("_lh")) & F.col("_host").eqNullSafe(F.col("_h")), "left_semi")
     # rows that repeat id, host and text add up here; the share below divides by as many
-    return hit.groupBy("_id", "_host", "_text_hash").agg(F.sum("_chars").alias("_removed"))
+    return hit.groupBy("_id", "_host", "_text_hash").agg(F.sum("_chars").alias("_removed"), F.collect_set("_line_hash").alias("_gone"))
 
 
 def quality_rules(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     max_share: float = MAX_SHARE, min_documents: int = MIN_DOCUMENTS, min_left: float = MIN_LEFT,
 ) -> DataFrame:
-    """Every input row with the base figures, base_failed, removed_chars, depleted and kept.
+    """Every input row with the base figures, base_failed, removed_chars, depleted, kept and cleaned_text (the text without
+    the lines over the limit).
 
     Input columns named like a result column are replaced.
     """
     named = lambda c: F.col(f"`{c}`")
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", "depleted", "kept")
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", "depleted", "kept", "cleaned_text")
     carried = [c for c in df.columns if c.lower() not in made]
     removed = line_frequency(df, id_col, text_col, host_col, max_share, min_documents).select(
-        F.col("_id").alias("_rid"), F.col("_host").alias("_rhost"), F.col("_text_hash").alias("_rhash"), "_removed")
+        F.col("_id").alias("_rid"), F.col("_host").alias("_rhost"), F.col("_text_hash").alias("_rhash"), "_removed", "_gone")
     base = base_rules(
         df.select(
             F.struct(*[named(c) for c in carried]).alias("_row"), named(id_col).alias("_id"), named(host_col).alias("_host"),
             named(text_col).alias("_text"), F.xxhash64(F.coalesce(named(text_col), F.lit(""))).alias("_text_hash"),
         ),
         "_text",
-    ).drop("_text", "_lines")
+    ).drop("_lines", *(["_text"] if text_col in carried else []))  # the row has it already
+    text = F.col("_row").getField(text_col) if text_col in carried else F.col("_text")
     # both sides have one normal form of the key: null-safe parts as a struct would not sort-merge, so nulls get a flag
     joined = base.join(
         removed,
@@ -124,8 +128,10 @@ def quality_rules(
         "left",
     )
     lost = F.least(F.coalesce("_removed", F.lit(0)), F.col("word_chars")).cast("long")
+    stays = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(_normal(x))))
     return (
-        joined.withColumn("removed_chars", lost)
+        joined.withColumn("cleaned_text", F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(stays, "\n")))
+        .withColumn("removed_chars", lost)
         .withColumn("depleted", (F.col("word_chars") > 0) & (F.col("word_chars") - F.col("removed_chars") < min_left * F.col("word_chars")))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
         .select(*[F.col("_row").getField(c).alias(c) for c in carried], *made)

@@ -84,6 +84,28 @@ def test_copies_do_not_make_a_line_frequent(spark):
     assert not any(r["depleted"] for r in got)
 
 
+def with_footer(n=40):
+    """(doc_id, text, source) with a line of their host in each text, and the texts without it."""
+    rng = random.Random(8)
+    footer = "Home | About  us | Contact"
+    bodies = ["\n".join(" ".join(f"w{rng.randrange(9999)}" for _ in range(20)) for _ in range(4)) for _ in range(n)]
+    return [(i, f"{footer}\n{b}\n{footer.upper()}", "hot") for i, b in enumerate(bodies)], bodies
+
+
+def test_lines_over_the_limit_leave_the_text(spark):
+    rows, bodies = with_footer()
+    rows += [(100, "Home | About us | Contact\n\n" + " ".join(f"w{k}" for k in range(30)), "cold"), (101, None, "hot")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, rows)).collect()}
+    assert [got[i]["cleaned_text"] for i in range(40)] == bodies
+    assert all(got[i]["text"] == rows[i][1] and got[i]["kept"] for i in range(40))
+    assert got[100]["cleaned_text"] == got[100]["text"] and got[101]["cleaned_text"] is None
+    pipeline = pytest.importorskip("corpus_pipeline")
+    frame = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r for r in pipeline.quality(spark, frame, "").collect()}
+    assert [kept[i]["text"] for i in range(40)] == bodies and set(kept) == {*range(40)} | {100}
+    assert all(r["n_chars"] == len(r["text"]) for r in kept.values())
+
+
 # ------------------------------------------------------------------------------------------------ chat
 def test_chat_format(spark):
     rng = random.Random(3)
