@@ -12,7 +12,7 @@ counts. Only rows of frequent lines reach the last aggregate, which is by docume
 expressions; repeated windows are found by sorting the window hashes of the documents that have any.
 
 Defined results: null and empty texts have no words and fail the base rules. A null host is a host of its own. Rows that
-repeat id, host and text get the same verdict each. No rows give no rows. Only id, text and host are read.
+repeat id, host and text get the same verdict each, the one that a single such row gets. No rows give no rows. Only id, text and host are read.
 """
 
 from __future__ import annotations
@@ -82,8 +82,8 @@ def line_frequency(df: DataFrame, id_col: str, text_col: str, host_col: str, max
     raw = F.coalesce(named(text_col), F.lit(""))
     slim = df.select(named(id_col).alias("_id"), named(host_col).alias("_host"), F.xxhash64(raw).alias("_text_hash"), raw.alias("_text"))
     lines = F.filter(F.transform(F.split("_text", "\n"), _normal), lambda x: x != "")
-    each = slim.select("_id", "_host", "_text_hash", F.explode(lines).alias("_line")).select(
-        "_id", "_host", "_text_hash", F.xxhash64("_line").alias("_line_hash"), F.length(F.replace("_line", F.lit(" "), F.lit(""))).cast("long").alias("_chars"),
+    each = slim.select("_id", "_host", "_text_hash", F.posexplode(lines).alias("_at", "_line")).select(
+        "_id", "_host", "_text_hash", "_at", F.xxhash64("_line").alias("_line_hash"), F.length(F.replace("_line", F.lit(" "), F.lit(""))).cast("long").alias("_chars"),
     )
     hosts = slim.groupBy("_host").agg(F.count_distinct("_text_hash").alias("_documents"))
     counts = each.groupBy("_host", "_line_hash", "_text_hash").agg(F.lit(1)).groupBy("_host", "_line_hash").agg(F.count("*").alias("_in"))
@@ -95,8 +95,9 @@ def line_frequency(df: DataFrame, id_col: str, text_col: str, host_col: str, max
         .select(F.col("_h"), F.col("_line_hash").alias("_lh"))
     )
     hit = each.join(frequent, (F.col("_line_hash") == F.col("_lh")) & F.col("_host").eqNullSafe(F.col("_h")), "left_semi")
-    # rows that repeat id, host and text add up here; the share below divides by as many
-    return hit.groupBy("_id", "_host", "_text_hash").agg(F.sum("_chars").alias("_removed"), F.collect_set("_line_hash").alias("_gone"))
+    # rows that repeat id, host and text have the same lines at the same places, and each place counts once
+    places = hit.groupBy("_id", "_host", "_text_hash", "_at", "_line_hash", "_chars").agg(F.lit(1))
+    return places.groupBy("_id", "_host", "_text_hash").agg(F.sum("_chars").alias("_removed"), F.collect_set("_line_hash").alias("_gone"))
 
 
 def quality_rules(

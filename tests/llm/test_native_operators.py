@@ -106,6 +106,16 @@ def test_lines_over_the_limit_leave_the_text(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in kept.values())
 
 
+def test_repeated_rows_are_not_charged_for_each_other(spark):
+    rows, _ = with_footer()
+    once = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, rows)).collect()}
+    assert all(r["kept"] and 0 < r["removed_chars"] < 0.5 * r["word_chars"] for r in once.values())
+    more = rows + [rows[0]] * 30 + [(None, rows[1][1], "hot")] * 30
+    for r in quality_rules.quality_rules(docs(spark, more)).collect():
+        first = once[1 if r["doc_id"] is None else r["doc_id"]]
+        assert (r["kept"], r["removed_chars"], r["cleaned_text"]) == (True, first["removed_chars"], first["cleaned_text"])
+
+
 # ------------------------------------------------------------------------------------------------ chat
 def test_chat_format(spark):
     rng = random.Random(3)
