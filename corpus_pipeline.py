@@ -5,7 +5,7 @@ as Parquet in the shared folder of checkpoints and rereads it as the next stage'
 columns of documents.
 
 The stages' decisions take effect: rejected documents go, and lines over the limit go from those that stay; of equal texts the row with the smallest doc_id stays; of a
-group of near-duplicates the document with the group's smallest doc_id; the mix repeats a document as often as it takes
+group of near-duplicates the row with the group's smallest doc_id, nulls last; the mix repeats a document as often as it takes
 it (a fraction counts as a repetition from one half on) and leaves out what it does not take; the last stage returns
 the packed pieces.
 """
@@ -41,10 +41,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; those with a null id are one another's equals, as are rows with the same id."""
-    groups = checkpointed(simhash_components(docs))
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates: that with the smallest doc_id, a null id only where no row has another."""
+    # ids may be null or repeat, so rows get numbers, which the checkpoint makes lasting
+    rows = checkpointed(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    groups = simhash_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    placed = groups.join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row"))
+    stays = placed.groupBy("_group").agg(first.alias("_first")).select(F.col("_first._row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -210,3 +210,19 @@ def test_pipeline_stages(spark, tmp_path):
     whole = pipeline.run(spark, str(tmp_path))
     strip = lambda rs: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rs)
     assert strip(whole.collect()) == strip(packed)
+
+
+def test_near_dedup_goes_by_row(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(9999)}" for _ in range(300))
+    near = lambda t: t + "  "  # another text with the same fingerprint
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    rows = [(5, a), (None, near(a)), (None, b), (None, c)]  # b and c are clean, and have no id
+    rows += [(1, d), (7, near(d)), (7, e)]  # e is clean, and shares its id
+    rows += [(None, f), (None, near(f))]  # a group of null ids
+    rows += [(3, g), (3, near(g)), (3, near(near(g))), (4, g + "\n")]  # the smallest id sits on several rows
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"].strip()) for r in pipeline.near(spark, frame.repartition(3), "").collect())
+    assert got == Counter([(5, a), (None, b), (None, c), (1, d), (7, e), (None, f), (3, g)])
+    assert pipeline.near(spark, frame.limit(0), "").collect() == []
