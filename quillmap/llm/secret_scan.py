@@ -10,7 +10,8 @@ Two layers, both over whole texts:
   that it reaches is and by how random it looks. Literals that score enough are spans of kind ``lexed``.
 
 Spans are code points, end exclusive. The lexer runs only on texts that name something sensitive next to an assignment,
-which is where it can find anything; patterns are linear in the text.
+which is where it can find anything; patterns are linear in the text. Only a text that assigns a sensitive name from
+ever longer sums takes time by the square of their number.
 
 Defined results: null and empty texts have no spans. Ids may repeat or be null. No rows give no rows. Only id and text
 are read.
@@ -60,16 +61,62 @@ def name_score(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(w.lower(), 0.0) for w in set(WORDS.findall(name))))
 
 
-def literal_score(literal: str) -> float:
-    """0 to 1: how much a literal looks like a secret."""
-    n = len(literal)
-    if n < 8 or PLACEHOLDER.match(literal) or any(c.isspace() for c in literal):
+def chars_score(chars: dict[str, float]) -> float:
+    """0 to 1: how much a literal with so many of each character looks like a secret."""
+    n = sum(chars.values())
+    if n < 8 or any(c.isspace() for c in chars):
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in literal)
+    shares = [c / n for c in chars.values()]
+    entropy = -sum(p * math.log2(p) for p in shares if p)
+    kinds = sum(any(f(c) for c in chars) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in chars)
     return min(1.0, 0.2 * min(entropy, 4.0) + 0.1 * (kinds - 1) + min(n, 24) / 120)
 
 
+class Value:
+    """What a name holds: literals and values of other names, in order.
+
+    Values of names are shared, not copied, so that neither long sums nor doublings (k = k + k) grow beyond the text;
+    characters are counted with their repeats.
+    """
+
+    __slots__ = ("parts", "chars", "marked")
+
+    def __init__(self):
+        self.parts: list[tuple[str, int, int] | Value] = []
+        self.chars: dict[str, float] = {}
+        self.marked = False
+
+    def _count(self, chars: dict[str, float]) -> None:
+        for c, n in chars.items():
+            self.chars[c] = self.chars.get(c, 0) + n
+        if self.chars and max(self.chars.values()) > 1e100:  # only shares matter then
+            self.chars = {c: n / 1e50 for c, n in self.chars.items()}
+
+    def add_literal(self, literal: str, start: int, end: int) -> None:
+        self.parts.append((literal, start, end))
+        self._count(Counter(literal))
+
+    def add_value(self, other: Value) -> None:
+        self.parts.append(other)
+        self._count(other.chars)
+
+    def literals(self, once: str = "") -> Iterator[tuple[str, int, int]]:
+        """The distinct literals in order; with "marked", without those that such a call gave before."""
+        seen: set[int] = set()
+        stack: list[tuple[str, int, int] | Value] = [self]
+        while stack:
+            part = stack.pop()
+            if isinstance(part, tuple):
+                yield part
+            elif not (part.marked if once else id(part) in seen):
+                seen.add(id(part))
+                part.marked = part.marked or bool(once)
+                stack += reversed(part.parts)
+
+    def literal(self) -> str:
+        return "".join(x for x, _, _ in self.literals())
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     low = text.lower()
@@ -85,10 +132,10 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
     """Literals that reach a sensitive name, at the place where they are written."""
     if ("=" not in text and ":" not in text) or not HINT.search(text):
         return []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, Value] = {}
     found = set()
     for m in PAIR.finditer(text):
-        literals: list[tuple[str, int, int]] = []
+        value = Value()
         for group in ("value", "more"):
             at = m.start(group)
             if group == "value" and m[group][:1] not in "\"'":
@@ -97,16 +144,16 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
                 parts = [(p[0], at + p.start()) for p in PART.finditer(m[group])]
             for part, start in parts:
                 if part[:1] in "\"'":
-                    literals.append((part[1:-1], start + 1, start + len(part) - 1))
+                    value.add_literal(part[1:-1], start + 1, start + len(part) - 1)
                 elif NAME.match(part) and part in constants:
-                    literals += constants[part]
+                    value.add_value(constants[part])
                 elif group == "value":
-                    literals.append((part, start, start + len(part)))
+                    value.add_literal(part, start, start + len(part))
         name = m["name"]
-        constants[name] = literals[:16]
+        constants[name] = value
         sensitive = name_score(name)
-        if sensitive and literals and sensitive * literal_score("".join(x for x, _, _ in literals)) >= threshold:
-            found.update((a, b, "lexed") for _, a, b in literals if b > a)
+        if sensitive and value.parts and sensitive * chars_score(value.chars) >= threshold and not PLACEHOLDER.match(value.literal()):
+            found.update((a, b, "lexed") for _, a, b in value.literals("marked") if b > a)
     return list(found)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -128,6 +129,20 @@ def test_lexer_is_linear_on_long_words():
         secret_scan.base_spans(text)
 
 
+def test_lexer_keeps_all_literals_of_a_sum():
+    rng = random.Random(11)
+    pieces = ["".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=40)) for _ in range(40)]
+    marked = lambda text: sorted(text[a:b] for a, b, _ in secret_scan.lexed_spans(text))
+    one = "k = " + " + ".join(f'"{p}"' for p in pieces) + "\npassword = k\n"
+    lines = f'k = "{pieces[0]}"\n' + "".join(f'k = k + "{p}"\n' for p in pieces[1:]) + "other = k\npassword = other\n"
+    assert marked(one) == marked(lines) == sorted(pieces)
+    assert marked('k = "aB3$x"\npassword = k + k + k\n') == ["aB3$x"]  # scored with its repeats
+    assert marked(f'k = "{pieces[0]}"\n' + "k = k + k\n" * 5000 + 'k = k + "end"\npassword = k\n') == sorted([pieces[0], "end"])
+    start = time.monotonic()
+    secret_scan.lexed_spans("".join(f'a{i} = a{i - 1} + "xyz{i}"\n' for i in range(20_000)) + "password = a19999")
+    assert time.monotonic() - start < 20
+
+
 # ------------------------------------------------------------------------------------------------ packing
 def test_best_fit_against_a_list_of_bins():
     rng = random.Random(2)
