@@ -51,7 +51,8 @@ SENSITIVE = {
     "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "cred": 0.7, "auth": 0.6, "authorization": 0.8, "bearer": 0.8,
     "private": 0.5, "access": 0.4, "api": 0.4, "key": 0.5, "signing": 0.4, "encryption": 0.4, "client": 0.2,
 }
-HINT = re.compile(r"pass|pwd|secret|token|cred|auth|bearer|private|key", re.I)
+# in every name that scores: all words of SENSITIVE but those that hold another of them
+HINT = re.compile("|".join(w for w in SENSITIVE if not any(v != w and v in w for v in SENSITIVE)), re.I)
 PLACEHOLDER = re.compile(r"(?:change[-_]?me|example|placeholder|your[-_].*|dummy|x{4,}|\*{3,}|null|none|true|false|undefined|\$\{?\w+\}?|%\w+%|<[^>]*>)\Z", re.I)
 THRESHOLD = 0.55
 

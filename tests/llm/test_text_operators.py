@@ -143,6 +143,19 @@ def test_lexer_keeps_all_literals_of_a_sum():
     assert time.monotonic() - start < 20
 
 
+def test_gate_lets_through_what_the_lexer_finds(monkeypatch):
+    rng = random.Random(12)
+    words = [*secret_scan.SENSITIVE, "color", "my", "x", "id"]
+    styles = [str.lower, str.upper, str.title]
+    names = ["apiAccess", "API_ACCESS", "signing_encryption", "client.api.access"]
+    names += [rng.choice(["_", ".", "-", ""]).join(rng.choice(styles)(w) for w in rng.choices(words, k=rng.randint(1, 3))) for _ in range(2000)]
+    texts = [f'{n}: "hX8kQ2vN9sLwZr4TqP7yBe1c"' for n in names]
+    gated = [secret_scan.lexed_spans(t) for t in texts]
+    monkeypatch.setattr(secret_scan, "HINT", re.compile(""))
+    assert gated == [secret_scan.lexed_spans(t) for t in texts]
+    assert all(gated[:4])
+
+
 # ------------------------------------------------------------------------------------------------ packing
 def test_best_fit_against_a_list_of_bins():
     rng = random.Random(2)
