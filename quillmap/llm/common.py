@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,19 +34,49 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors share: the one that is set, or spark.checkpoint.dir.
 
-    Only where that setting and the context's own folder are both unset (tests, one machine) is a temporary one made.
+    Only where neither is set on one machine (tests) is a temporary one made; on a cluster that is an error, since
+    executors would write each to their own disk.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = os.path.join(tempfile.gettempdir(), "checkpoints")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder of checkpoints (smaller than a checkpoint, and read by column).
+
+    It goes when the driver's process ends, as that folder's tables do not clean themselves up.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has gone: whoever set the folder clears it
+        pass
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """name, or name with underscores, such that no column of `taken` has it in any case."""
     low = {t.lower() for t in taken}

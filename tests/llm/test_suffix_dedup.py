@@ -47,21 +47,47 @@ def random_rows(seed, length):
     return rows
 
 
-@pytest.mark.parametrize("length,hot", [(400, 4096), (100, 4096), (100, 3)])
-def test_repeated_passages(spark, length, hot, monkeypatch):
+@pytest.mark.parametrize("length,hot,bits", [(400, 4096, 64), (100, 4096, 64), (100, 3, 64), (100, 4096, 4), (100, 40, 4)])
+def test_repeated_passages(spark, length, hot, bits):
+    """With hashes of 4 bits all dealing collides, and results are the same."""
     rows = random_rows(length + hot, length)
     df = spark.createDataFrame([(t, i, "s") for i, t in rows], "text string, doc_id long, spans string")
     got = []
-    for r in sd.repeated_passages(df, length=length, hot=hot, task_bytes=20_000).collect():
+    for r in sd.repeated_passages(df, length=length, hot=hot, task_bytes=20_000, bits=bits).collect():
         got.append((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]))
     assert sorted(got, key=str) == plain(rows, length)
 
 
+def test_a_passage_in_every_text(spark):
+    """One passage of 150 bytes in 300 contexts: its keys are split, and no sort sees more than `hot` of its stretches."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = word(150)
+    rows = [(i, f"{word(120)}{passage if i % 10 else word(20) + passage[:90]}{word(130)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for r in sd.repeated_passages(df, length=100, hot=20).collect():
+        got.append((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]))
+    assert sorted(got, key=str) == plain(rows, 100)
+
+
+def test_texts_over_a_segment(spark):
+    """Segments end inside a repeated passage."""
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    shared = word(3000)
+    rows = [(1, word(9000) + shared + word(500)), (2, word(100) + shared), (3, word(5000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for r in sd.repeated_passages(df, length=100, segment=1000).collect():
+        got.append((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]))
+    assert sorted(got, key=str) == plain(rows, 100)
+
+
 def test_no_rows(spark):
     assert sd.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_segments_cover_every_start(monkeypatch):
-    monkeypatch.setattr(sd, "SEGMENT", 50)
-    covered = [s for a, b in sd._segments(333, 100) for s in range(a, b - 99)]
+def test_segments_cover_every_start():
+    covered = [s for a, b in sd._segments(333, 100, 50) for s in range(a, b - 99)]
     assert covered == list(range(234))
