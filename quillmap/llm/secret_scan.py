@@ -4,14 +4,19 @@ Two layers, both over whole texts:
 
 * base patterns, leftmost and non-overlapping for each kind: an assignment to a password-like name with a value of 12
   or more characters, access key ids, and long runs of hexadecimal digits;
-* a lexer of source and configuration syntax (``name = "x"``, ``name: x``, ``name := x``, ``"name" => "x"``,
-  ``export NAME=x``, ``name="x"`` attributes, sums of literals). It yields name-literal pairs, keeps the literals of
-  names as constants, follows a name that is assigned another name, and scores each literal by how sensitive the name
-  that it reaches is and by how random it looks. Literals that score enough are spans of kind ``lexed``.
+* a lexer of source and configuration syntax. It knows assignments (``=``, ``:``, ``:=``, ``=>``, with type notes and
+  subscripts), quoted, triple-quoted and backtick literals with escapes, indented blocks (``name: |``), elements
+  (``<name>x</name>``), sections (``[name]``), literals inside decoding calls, sums, and lists. It yields name-literal
+  pairs, where a name carries the keys that it is nested in.
 
-Spans are code points, end exclusive. The lexer runs only on texts that name something sensitive next to an assignment,
-which is where it can find anything; patterns are linear in the text. Only a text that assigns a sensitive name from
-ever longer sums takes time by the square of their number.
+Constants. A value that mentions a name takes over what that name holds: its last assignment before, else its first
+one after, in the innermost scope that has one. Scopes are braces, indented bodies and comments; what a comment assigns
+is scored, but code outside does not see it. Names of names are followed to the end, and cycles stop where they close.
+Each literal is scored by how sensitive the name that it reaches is and by how random the whole value looks; literals
+that score enough are spans of kind ``lexed``, at the place where they are written.
+
+Spans are code points, end exclusive. The lexer runs on texts that have a word of `SENSITIVE` and an assignment, which
+all its spans need; it is linear in the text, but for names that are assigned many times in many scopes.
 
 Defined results: null and empty texts have no spans. Ids may repeat or be null. No rows give no rows. Only id and text
 are read.
@@ -22,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,13 +44,29 @@ ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-QUOTED = r""""(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'"""
-PAIR = re.compile(
-    rf"""(?<![\w.\-$])(?P<name>[A-Za-z_$][\w.\-$]*+)["'\])]{{0,2}}[ \t]*+(?::[ \t]*+\w++[ \t]*+(?==))?(?::=|=>|=|:)[ \t]*+"""
-    rf"""(?P<value>{QUOTED}|[^\s"',;<>{{}}()\[\]]++)(?P<more>(?:[ \t]*+\+[ \t]*+(?:{QUOTED}|[A-Za-z_$][\w.$]*+))*+)"""
+STRING = r"""(?:[rbfuRBFU]{1,2}(?=["']))?+(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`)"""
+EVENT = re.compile(
+    r"""
+      (?P<comment>/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z) | <!--(?:[^-]|-(?!->))*+(?:-->|\Z) | (?:(?<=\s)|(?<![\s\S]))(?:\#|//|--[ ]|;)[^\n]*+)
+    | <(?P<tag>[A-Za-z_][\w.\-:]*+)(?:[ \t][^<>\n]*+)?>(?P<inner>[^<>]*+)</
+    | (?:(?<=\n)|(?<![\s\S]))\[(?P<section>[^\[\]\n]*+)\][ \t]*+(?=\n|\Z)
+    | \b(?:def|class|function|func|fn)[ \t]++\w++(?P<body>[^\n{;]*+)
+    | (?:(?<![\w.\-$])(?P<name>[A-Za-z_$][\w.\-$]*+)["'`]?\]?|(?<![\w"'])["'](?P<key>[^"'\n\\]++)["']\]?)[ \t]*+(?P<op>:=|=>|=(?!=)|:(?!:|//))
+    | (?P<brace>[{}])
+    | \n(?P<indent>[ \t]*+)(?=[^\s])
+    """,
+    re.X,
 )
-PART = re.compile(rf"{QUOTED}|[A-Za-z_$][\w.$]*")
+TRIPLE = re.compile(r'[rbfuRBFU]{0,2}("""|\'\'\')')
+VALUE = re.compile(rf"(?P<quoted>{STRING})|(?P<call>[A-Za-z_$][\w.$]*+)\(|(?P<bare>[^\s\"'`,;&<>{{}}()\[\]]++)")
+BLOCK = re.compile(r"[ \t]*+[|>][+\-0-9]{0,2}[ \t]*+\n")
+NOTE = re.compile(r"[ \t]*+[A-Za-z_][\w.\[\], |]*?[ \t]*+=(?!=)")  # name: type = value
+BLANK, GAP, LINE = re.compile(r"[ \t]*+"), re.compile(r"(?:\s|\\\n)*+"), re.compile(r"[^\n]*+\n?")
+ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|(.))", re.S)
+PLAIN = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
 NAME = re.compile(r"[A-Za-z_$][\w.$]*\Z")
+#: Calls whose literals are the value; those of other calls (lookups by name, prompts) are not.
+DECODERS = {"bytes", "str", "string", "fromhex", "b64decode", "decode", "encode", "unhexlify", "secretstr", "atob", "from", "quote", "strip", "trim"}
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "pass": 0.7, "secret": 1.0, "secrets": 0.9, "token": 0.9,
@@ -54,12 +76,13 @@ SENSITIVE = {
 # in every name that scores: all words of SENSITIVE but those that hold another of them
 HINT = re.compile("|".join(w for w in SENSITIVE if not any(v != w and v in w for v in SENSITIVE)), re.I)
 PLACEHOLDER = re.compile(r"(?:change[-_]?me|example|placeholder|your[-_].*|dummy|x{4,}|\*{3,}|null|none|true|false|undefined|\$\{?\w+\}?|%\w+%|<[^>]*>)\Z", re.I)
-THRESHOLD = 0.55
+THRESHOLD, NESTED = 0.55, 0.75
 
 
 def name_score(name: str) -> float:
-    """0 to 1: how sensitive the words of a name are together."""
-    return min(1.0, sum(SENSITIVE.get(w.lower(), 0.0) for w in set(WORDS.findall(name))))
+    """0 to 1: how sensitive the words of a name are together, plurals like singulars."""
+    words = {w.lower() for w in WORDS.findall(name)}
+    return min(1.0, sum(SENSITIVE.get(w, 0.0) or SENSITIVE.get(w.removesuffix("s"), 0.0) for w in words))
 
 
 def chars_score(chars: dict[str, float]) -> float:
@@ -80,35 +103,45 @@ class Value:
     characters are counted with their repeats.
     """
 
-    __slots__ = ("parts", "chars", "marked")
+    __slots__ = ("parts", "chars", "marked", "name", "outer", "scope", "at", "order")
 
-    def __init__(self):
-        self.parts: list[tuple[str, int, int] | Value] = []
-        self.chars: dict[str, float] = {}
+    def __init__(self, name: str = "", outer: float = 0.0, scope: int = 0, at: int = 0):
+        self.name, self.outer, self.scope, self.at, self.order = name, outer, scope, at, 0
+        self.parts: list = []  # (decoded literal, start, end, bare) or, once resolved, Value
+        self.chars: dict[str, float] | None = None
         self.marked = False
 
-    def _count(self, chars: dict[str, float]) -> None:
-        for c, n in chars.items():
-            self.chars[c] = self.chars.get(c, 0) + n
-        if self.chars and max(self.chars.values()) > 1e100:  # only shares matter then
-            self.chars = {c: n / 1e50 for c, n in self.chars.items()}
-
-    def add_literal(self, literal: str, start: int, end: int) -> None:
-        self.parts.append((literal, start, end))
-        self._count(Counter(literal))
-
-    def add_value(self, other: Value) -> None:
-        self.parts.append(other)
-        self._count(other.chars)
+    def count(self) -> dict[str, float]:
+        """Characters of the whole value; a value that is part of itself counts as nothing there."""
+        stack, open_ = [(self, False)], set()
+        while stack:
+            value, done = stack.pop()
+            if value.chars is not None:
+                continue
+            inner = [p for p in value.parts if isinstance(p, Value)]
+            if not done:
+                open_.add(id(value))
+                stack.append((value, True))
+                stack += [(p, False) for p in inner if p.chars is None and id(p) not in open_]
+                continue
+            chars: dict[str, float] = {}
+            for part in value.parts:
+                for c, n in (Counter(part[0]) if isinstance(part, tuple) else part.chars or {}).items():
+                    chars[c] = chars.get(c, 0) + n
+            if chars and max(chars.values()) > 1e100:  # only shares matter then
+                chars = {c: n / 1e50 for c, n in chars.items()}
+            value.chars = chars
+            open_.discard(id(value))
+        return self.chars
 
     def literals(self, once: str = "") -> Iterator[tuple[str, int, int]]:
         """The distinct literals in order; with "marked", without those that such a call gave before."""
         seen: set[int] = set()
-        stack: list[tuple[str, int, int] | Value] = [self]
+        stack: list = [self]
         while stack:
             part = stack.pop()
             if isinstance(part, tuple):
-                yield part
+                yield part[:3]
             elif not (part.marked if once else id(part) in seen):
                 seen.add(id(part))
                 part.marked = part.marked or bool(once)
@@ -118,6 +151,195 @@ class Value:
         return "".join(x for x, _, _ in self.literals())
 
 
+def unescaped(literal: str) -> str:
+    if "\\" not in literal:
+        return literal
+    return ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else PLAIN.get(m[3], m[3]), literal)
+
+
+class Lexer:
+    """Name-literal pairs of one text: `values`, in the order of the text."""
+
+    def __init__(self, text: str):
+        self.text, self.values = text, []
+        # scopes: parent, and by scope and name the values in order
+        self.parent, self.defined = [-1], {}
+        # open scopes: (scope, sensitivity of the keys around, kind, indentation or end)
+        self.stack: list[tuple[int, float, str, int]] = [(0, 0.0, "text", -1)]
+        self._scan()
+        for value in self.values:
+            value.parts = [x for part in value.parts for x in self._resolved(part, value)]
+
+    # -------------------------------------------------------------------------------- scopes
+    def _push(self, kind: str, limit: int, outer: float) -> None:
+        self.parent.append(self.stack[-1][0])
+        self.stack.append((len(self.parent) - 1, outer, kind, limit))
+
+    def _close_comments(self, at: int) -> None:
+        while self.stack[-1][2] == "comment" and at >= self.stack[-1][3]:
+            self.stack.pop()
+
+    def _scan(self) -> None:
+        text, at, indent = self.text, 0, len(BLANK.match(self.text)[0])
+        while m := EVENT.search(text, at):
+            self._close_comments(m.start())
+            at = m.end()
+            scope, outer, kind, _ = self.stack[-1]
+            if m["comment"] is not None:
+                start = m.start() + 1
+                if kind != "comment":
+                    self._push("comment", m.end(), 0.0)
+                at = start
+            elif m["tag"] is not None:
+                if text.startswith(m["tag"], at):
+                    value = self._begin(m["tag"], m.start())
+                    self._lines(value, m["inner"], m.start("inner"))
+            elif m["section"] is not None:
+                while len(self.stack) > 1:
+                    self.stack.pop()
+                self._push("section", -1, name_score(m["section"]))
+            elif m["body"] is not None:
+                if m["body"].rstrip().endswith(":"):
+                    self._push("indent", indent, outer)
+            elif m["brace"] == "{":
+                self._push("brace", -1, outer)
+            elif m["brace"] == "}":
+                if any(k == "brace" for _, _, k, _ in reversed(self.stack[-50:])):
+                    while self.stack.pop()[2] != "brace":
+                        pass
+            elif m["indent"] is not None:
+                indent = len(m["indent"])
+                while self.stack[-1][2] == "indent" and indent <= self.stack[-1][3]:
+                    self.stack.pop()
+            else:
+                at = self._assignment(m["name"] or m["key"], m.start(), m["op"], at, indent)
+
+    # -------------------------------------------------------------------------------- values
+    def _begin(self, name: str, at: int) -> Value:
+        scope, outer, _, _ = self.stack[-1]
+        value = Value(name, outer, scope, at)
+        value.order = len(self.values)
+        self.values.append(value)
+        for known in {name, name.rpartition(".")[2]}:
+            self.defined.setdefault((scope, known), []).append(value)
+        return value
+
+    def _lines(self, value: Value, body: str, at: int) -> None:
+        """Adds the lines of a literal, without the blanks around them."""
+        for line in body.split("\n"):
+            bare = line.strip()
+            if bare:
+                start = at + line.index(bare)
+                value.parts.append((unescaped(bare), start, start + len(bare), False))
+            at += len(line) + 1
+
+    def _assignment(self, name: str, begin: int, op: str, at: int, indent: int) -> int:
+        """Reads the value behind an operator; the place where it ends."""
+        text = self.text
+        if op == ":":
+            if m := BLOCK.match(text, at):
+                value, at = self._begin(name, begin), m.end()
+                while at < len(text):
+                    line = LINE.match(text, at)
+                    if line[0].strip() and len(BLANK.match(line[0])[0]) <= indent:
+                        break
+                    self._lines(value, line[0].rstrip("\n"), at)
+                    at = line.end()
+                return at - 1
+            if m := NOTE.match(text, at):
+                at = m.end()
+        at = BLANK.match(text, at).end()
+        outer = min(1.0, self.stack[-1][1] + NESTED * name_score(name))
+        if at < len(text) and text[at] == "{":
+            self._push("brace", -1, outer)
+            return at + 1
+        if op == ":" and (at >= len(text) or text[at] == "\n"):
+            self._push("indent", indent, outer)
+            return at
+        return self._sum(self._begin(name, begin), at)
+
+    def _sum(self, value: Value, at: int) -> int:
+        """Operands joined by +, or side by side in brackets; commas in brackets begin the next element."""
+        text, depth = self.text, 0
+        while at < len(text):
+            at = (GAP if depth else BLANK).match(text, at).end()
+            if m := TRIPLE.match(text, at):
+                end = text.find(m[1], m.end())
+                if end < 0:
+                    return m.end()
+                self._lines(value, text[m.end() : end], m.end())
+                at = end + 3
+            elif at < len(text) and text[at] in "([":
+                depth, at = depth + 1, at + 1
+                continue
+            elif m := VALUE.match(text, at):
+                if m["quoted"] is not None:
+                    start = m.start() + len(m[0]) - len(m[0].lstrip("rbfuRBFU"))
+                    value.parts.append((unescaped(text[start + 1 : m.end() - 1]), start + 1, m.end() - 1, False))
+                    at = m.end()
+                elif m["call"] is not None:
+                    at = m.end()
+                    if m["call"].rpartition(".")[2].lower() not in DECODERS:
+                        return at  # what stands in its brackets is read as text of its own
+                    depth += 1
+                    continue
+                else:
+                    at = m.end()
+                    bare = m["bare"]
+                    if bare != "+":
+                        open_sum = bare[-1] == "+" and at < len(text) and text[at] in "\"'`"
+                        bare = bare[:-1] if open_sum else bare
+                        if bare:
+                            value.parts.append((bare, m.start(), m.start() + len(bare), True))
+                        if open_sum:
+                            continue
+            else:
+                return at
+            # behind an operand
+            while True:
+                at = (GAP if depth else BLANK).match(text, at).end()
+                if depth and at < len(text) and text[at] in ")]":
+                    depth, at = depth - 1, at + 1
+                elif depth and at < len(text) and text[at] == ",":
+                    value, at = self._begin(value.name, at), at + 1
+                    break
+                elif at < len(text) and text[at] == "+":
+                    at = GAP.match(text, at + 1).end()
+                    break
+                elif at < len(text) and text[at] in "\"'`":
+                    break  # adjacent literals are one
+                elif depth and VALUE.match(text, at):
+                    break
+                else:
+                    return at
+        return at
+
+    # -------------------------------------------------------------------------------- constants
+    def _find(self, name: str, user: Value) -> Value | None:
+        scope = user.scope
+        while scope >= 0:
+            if found := self.defined.get((scope, name)):
+                before = bisect_left(found, user.order, key=lambda v: v.order)
+                if before:
+                    return found[before - 1]
+                later = next((v for v in found[before:] if v is not user), None)
+                if later is not None:
+                    return later
+            scope = self.parent[scope]
+        return None
+
+    def _resolved(self, part: tuple, user: Value) -> list:
+        if isinstance(part, Value) or not part[3]:
+            return [part]
+        names = part[0].split("+")
+        if not all(NAME.match(n) for n in names):
+            return [part]
+        found = [self._find(n, user) or self._find(n.rpartition(".")[2], user) for n in names]
+        if not any(found):
+            return [part]
+        return [f for f in found if f is not None]
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     low = text.lower()
@@ -131,29 +353,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, at the place where they are written."""
-    if ("=" not in text and ":" not in text) or not HINT.search(text):
+    if not any(c in text for c in "=:<") or not HINT.search(text):
         return []
-    constants: dict[str, Value] = {}
     found = set()
-    for m in PAIR.finditer(text):
-        value = Value()
-        for group in ("value", "more"):
-            at = m.start(group)
-            if group == "value" and m[group][:1] not in "\"'":
-                parts = [(m[group], at)]
-            else:
-                parts = [(p[0], at + p.start()) for p in PART.finditer(m[group])]
-            for part, start in parts:
-                if part[:1] in "\"'":
-                    value.add_literal(part[1:-1], start + 1, start + len(part) - 1)
-                elif NAME.match(part) and part in constants:
-                    value.add_value(constants[part])
-                elif group == "value":
-                    value.add_literal(part, start, start + len(part))
-        name = m["name"]
-        constants[name] = value
-        sensitive = name_score(name)
-        if sensitive and value.parts and sensitive * chars_score(value.chars) >= threshold and not PLACEHOLDER.match(value.literal()):
+    for value in Lexer(text).values:
+        sensitive = min(1.0, name_score(value.name) + value.outer)
+        if sensitive < threshold or not value.parts:
+            continue
+        chars = value.count()
+        # a bare word of letters of one case is prose
+        if len(value.parts) == 1 and isinstance(value.parts[0], tuple) and value.parts[0][3] and value.parts[0][0].isalpha() and value.parts[0][0][1:].islower():
+            continue
+        if sensitive * chars_score(chars) >= threshold and not PLACEHOLDER.match(value.literal()):
             found.update((a, b, "lexed") for _, a, b in value.literals("marked") if b > a)
     return list(found)
 

@@ -156,6 +156,66 @@ def test_gate_lets_through_what_the_lexer_finds(monkeypatch):
     assert all(gated[:4])
 
 
+S = "hX8kQ2vN9sLwZr4T"
+FOUND = [
+    f'DB_PASSWORD = raw\nraw = "{S}"', f'password = """{S}"""', f"<password>{S}</password>", f'<a password="{S}"/>',
+    f'secrets:\n  prod: {S}\nname: x', f'config["password"] = "{S}"', f'password: str = "{S}"', f'password = bytes.fromhex("{S}")',
+    f"[secret]\nvalue = {S}\n", f'{{"api_key": "{S}"}}', f"const apiKey = `{S}`;", f'curl -d "password={S}"', f"https://host/x?a=1&token={S}&b=2",
+    f'# password = "{S}"\nx = 1', f'{{"db": {{"password": {{"value": "{S}"}}}}}}', f"password: |\n  {S}\nother: 1", f'a = "{S}"\nb = a\nsecret => b',
+    f'class A:\n    raw = "{S}"\n    def f(self):\n        token = raw\n',
+]
+NOT_FOUND = [
+    f'# raw = "{S}"\npassword = raw', 'password = os.getenv("DB_PASSWORD1")', f'if password == "{S}": pass', "token: authentication", "a = b\nb = a\npassword = a",
+    f'a = "{S}"\ndef f():\n    a = "zz"\n    password = a\n', f"secrets:\n  x: 1\nname: {S}", "password = ${DB_PASSWORD}",
+]
+
+
+def test_lexer_knows_syntax():
+    for text in FOUND:
+        assert [text[a:b] for a, b, _ in secret_scan.lexed_spans(text)] == [S], text
+    for text in NOT_FOUND:
+        assert secret_scan.lexed_spans(text) == [], text
+    text = f'tokens = ["{S}", "{S}q"]\npassword = ("abcDEF12"\n  "ghiJKL34")\ntoken = "a\\"b{S}"'
+    assert sorted(text[a:b] for a, b, _ in secret_scan.lexed_spans(text)) == sorted([S, S + "q", "abcDEF12", "ghiJKL34", f'a\\"b{S}'])
+
+
+def test_constants_against_plain_expansion():
+    """Random programs of sums over names, in several syntaxes; the plain version copies every value out."""
+    rng = random.Random(21)
+    names = ["alpha", "beta", "dbPassword", "api_key", "colour", "auth_token", "gamma"]
+    for _ in range(400):
+        text, held, marks = "", {}, set()
+        for _ in range(rng.randint(1, 12)):
+            name, parts = rng.choice(names), []
+            op = rng.choice([" = ", " := ", " => ", ": "])
+            text += name + op
+            for k in range(rng.randint(1, 4)):
+                text += " + " if k else ""
+                if rng.random() < 0.5 and held:
+                    other = rng.choice(sorted(held))
+                    text += other
+                    parts += held[other]
+                else:
+                    literal = "".join(rng.choices("abcXYZ0189_/", k=rng.randint(0, 20)))
+                    quote = rng.choice("\"'`")
+                    parts.append((literal, len(text) + 1, len(text) + 1 + len(literal)))
+                    text += quote + literal + quote
+            text += rng.choice(["\n", ";\n", "\n\n"])
+            held[name] = parts
+            value = "".join(p[0] for p in parts)
+            if secret_scan.name_score(name) * secret_scan.chars_score({c: value.count(c) for c in value}) >= secret_scan.THRESHOLD:
+                marks |= {(a, b, "lexed") for _, a, b in parts if b > a}
+        assert set(secret_scan.lexed_spans(text)) == marks, text
+
+
+def test_lexer_is_fast_on_odd_texts():
+    start = time.monotonic()
+    for text in ("password={" * 50_000, "password=[" * 50_000, "}" * 200_000 + "token=", "<password>" * 50_000, "/*" * 100_000 + "token=", "'" * 200_000 + "token=", "token:\n " * 50_000,
+                 "def f(" * 50_000 + "token=", "\n" * 200_000 + "token=", '"""' * 70_000 + "token=", "a=b\nb=a\ntoken=a\n" * 20_000, "token=" * 100_000, "<a " * 80_000 + "token=", "password: |\n" * 30_000):
+        secret_scan.lexed_spans(text)
+    assert time.monotonic() - start < 60
+
+
 # ------------------------------------------------------------------------------------------------ packing
 def test_best_fit_against_a_list_of_bins():
     rng = random.Random(2)
