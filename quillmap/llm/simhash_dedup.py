@@ -11,9 +11,12 @@ either one segment has none, and then another has at most one; or each has exact
 bits always meet in one of seven tables: (segment equal, another's Golay key), six of them, with about 33 key bits, and
 (Golay keys of all three), with 36. Of each pair of sides only one is expanded to its keys.
 
-Links. Rows of a key are neighbours after sorting; all their pairs are compared by bits inside the task, and a task
-hands on a spanning forest of the links that it found, not the links, so that a large group stays linear. Components
-then come from alternating large-star and small-star steps, with a checkpoint each.
+Links. Rows of a key are neighbours after sorting. Up to `SMALL` of them are compared in pairs. More are dealt out once
+more: the bits that differ among them are cut into four blocks, and two fingerprints within 3 bits agree in one of the
+blocks at least, so only those that do are compared, by the same rule again. A key with over `CROWD` rows is handed back
+by its task with the keys of its four blocks of 16 bits, for a further round on all tasks. A task hands on a spanning
+forest of the links that it found, not the links. Components then come from alternating large-star and small-star
+steps, with a checkpoint each.
 
 Distribution. Rows with equal fingerprints are one candidate. Hubs are summed with map-side aggregation and joined by
 sort-merge joins that Spark may split. Nothing but counts comes to the driver.
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, documents
 
 SHINGLE, RADIUS = 3, 3
+SMALL, CROWD = 256, 200_000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the (23, 12) binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -175,8 +179,8 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[member], nodes[label[member]]
 
 
-def near_pairs(key: np.ndarray, fp: np.ndarray, radius: int, hold: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the rows (sorted by key) that share a key and differ in at most `radius` bits."""
+def _all_pairs(key: np.ndarray, fp: np.ndarray, radius: int, hold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of close rows with one key (rows sorted by key), by comparing all of them."""
     at = np.arange(len(key))
     us, vs, held, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 1
     while True:
@@ -196,7 +200,42 @@ def near_pairs(key: np.ndarray, fp: np.ndarray, radius: int, hold: int = 2_000_0
     return forest(np.concatenate(us), np.concatenate(vs))
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _blocks(fp: np.ndarray, radius: int) -> list[np.ndarray]:
+    """The values of radius + 1 blocks of the bits that differ in fp, the evenest bits dealt out in turn."""
+    words = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    share = words.mean(axis=0)
+    bits = np.argsort(np.abs(share - 0.5), kind="stable")
+    bits = bits[(share[bits] > 0) & (share[bits] < 1)]
+    out = []
+    for k in range(radius + 1):
+        value = np.zeros(len(fp), np.int64)
+        for j in bits[k :: radius + 1]:
+            value = value << 1 | words[:, j]
+        out.append(value)
+    return out
+
+
+def near_pairs(key: np.ndarray, fp: np.ndarray, radius: int, hold: int = 2_000_000, small: int = SMALL, depth: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the rows (sorted by key) that share a key and differ in at most `radius` bits."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    large = size > small if depth else np.zeros(len(size), bool)
+    few = np.repeat(~large, size)
+    u, v = _all_pairs(key[few], fp[few], radius, hold)
+    for a, n in zip(first[large].tolist(), size[large].tolist()):
+        group = np.unique(fp[a : a + n])
+        if len(group) <= small:
+            x, y = _all_pairs(np.zeros(len(group), np.int64), group, radius, hold)
+            u, v = forest(np.concatenate([u, x]), np.concatenate([v, y]))
+            continue
+        for value in _blocks(group, radius):
+            order = np.argsort(value, kind="stable")
+            x, y = near_pairs(value[order], group[order], radius, hold, small, depth - 1)
+            u, v = forest(np.concatenate([u, x]), np.concatenate([v, y]))
+    return u, v
+
+
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(u, v) with u > v: links among distinct fingerprints (column fp) that span their components."""
     if radius > RADIUS:
         raise ValueError(f"the tables find up to {RADIUS} differing bits")
@@ -209,26 +248,49 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 key, at = golay_rows(fp[s : s + 20_000], golay)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[s : s + 20_000][at])], names=["key", "fp"])
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def take(n: int) -> None:
-            nonlocal key, fp, us, vs
-            u, v = near_pairs(key[:n], fp[:n], radius)
-            u, v = forest(np.concatenate([*us, u]), np.concatenate([*vs, v]))
-            us, vs, key, fp = [u], [v], key[n:], fp[n:]
-
-        for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy()])
-            if len(key) >= 500_000:  # all but the last key, which may go on in the next batch
-                take(int(np.searchsorted(key, key[-1])))
-        take(len(key))
-        yield pa.RecordBatch.from_arrays([pa.array(us[0]), pa.array(vs[0])], names=["u", "v"])
-
+    def linker(again: bool):
+        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Links (u, v, null), and for keys with over `crowd` rows (block key, fp, block) for the next round."""
+            key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            us, vs, crowded = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None
+
+            def take(n: int) -> None:
+                nonlocal key, fp, us, vs
+                u, v = near_pairs(key[:n], fp[:n], radius)
+                u, v = forest(np.concatenate([*us, u]), np.concatenate([*vs, v]))
+                us, vs, key, fp = [u], [v], key[n:], fp[n:]
+
+            def hand_on(n: int) -> Iterator[pa.RecordBatch]:
+                nonlocal key, fp
+                for block in range(4):
+                    part = (fp[:n].view(np.uint64) >> np.uint64(16 * block)).astype(np.int64) & 0xFFFF
+                    mixed = (key[:n] * 4 + block) * 0x9E3779B1 + part * 0x85EBCA6B
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed), pa.array(fp[:n]), pa.array(np.full(n, block, np.int32))], names=["u", "v", "block"])
+                key, fp = key[n:], fp[n:]
+
+            for batch in batches:
+                key = np.concatenate([key, batch.column(0).to_numpy()])
+                fp = np.concatenate([fp, batch.column(1).to_numpy()])
+                while crowded is not None and len(key) and key[0] == crowded:
+                    yield from hand_on(int(np.searchsorted(key, crowded, "right")))
+                if len(key) >= 500_000 or again and len(key) > crowd:  # all but the last key, which may go on in the next batch
+                    take(int(np.searchsorted(key, key[-1])))
+                    if again and len(key) > crowd:
+                        crowded = key[-1]
+                        yield from hand_on(len(key))
+            take(len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(us[0]), pa.array(vs[0]), pa.nulls(len(us[0]), pa.int32())], names=["u", "v", "block"])
+
+        return link
+
+    schema = "u long, v long, block int"
     rows = prints.select("fp").mapInArrow(expand, "key long, fp long")
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link, "u long, v long").distinct()
+    found = checkpointed(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(linker(True), schema))
+    links, crowds = found.filter("block is null").select("u", "v"), found.filter("block is not null")
+    if not crowds.isEmpty():
+        rows = crowds.select(F.col("u").alias("key"), F.col("v").alias("fp")).distinct()
+        links = links.unionByName(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(linker(False), schema).select("u", "v"))
+    return links.distinct()
 
 
 # ---------------------------------------------------------------------------------------------- components
@@ -239,10 +301,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: the larger neighbours of a node go to the smallest of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # tables of their own: then both sides of a join are plain shuffles, and Spark can split the rows of a hub
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = checkpointed(large)
         # small star: the smaller neighbours and the node itself go to the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         edges = checkpointed(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -98,3 +98,53 @@ def test_near_pairs_span_a_bucket():
     key = np.array([1, 1, 1, 1, 1, 2, 2], np.int64)
     u, v = sd.near_pairs(key, fp, 1, hold=1)
     assert sorted(zip(u.tolist(), v.tolist())) == [(1, 0), (3, 0), (7, 0)]
+
+
+def plain_roots(fp, radius):
+    """Components by a grid of all pairs."""
+    label = np.arange(len(fp))
+    close = [np.flatnonzero(np.bitwise_count((fp ^ x).view(np.uint64)) <= radius) for x in fp]
+    while True:
+        low = np.array([label[c].min() for c in close])
+        if (low == label).all():
+            return label
+        label = low
+
+
+@pytest.mark.parametrize("free", [12, 30, 64])
+def test_large_buckets_lose_no_link(free):
+    """One bucket whose members differ in `free` bits: sparse, dense and clustered."""
+    rng = np.random.default_rng(free)
+    centres = rng.integers(0, 1 << min(free, 62), 40)
+    fp = rng.integers(0, 1 << min(free, 62), 1500)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(free, rng.integers(0, 5), replace=False)) for _ in range(1500)], np.uint64).view(np.int64)
+    fp = np.unique(np.concatenate([fp, rng.choice(centres, 1500) ^ flips]))
+    u, v = sd.near_pairs(np.zeros(len(fp), np.int64), fp, 3, small=32)
+    want = fp[plain_roots(fp, 3)]
+    root = dict(zip(u.tolist(), v.tolist()))
+    assert [root.get(x, x) for x in fp.tolist()] == want.tolist()
+
+
+def test_work_in_a_bucket_is_about_linear(monkeypatch):
+    """100,000 fingerprints that share 22 bits: far fewer comparisons than the square."""
+    rng = np.random.default_rng(3)
+    fp = np.unique(rng.integers(0, 1 << 42, 100_000))
+    near = fp[:20_000] ^ (1 << rng.integers(0, 42, 20_000))
+    fp = np.unique(np.concatenate([fp, near]))
+    compared = []
+    real = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(len(x)) or real(x))
+    u, v = sd.near_pairs(np.zeros(len(fp), np.int64), fp, 3)
+    assert sum(compared) < 1000 * len(fp)
+    root = dict(zip(u.tolist(), v.tolist()))
+    there = set(fp.tolist())
+    links = [(int(x), int(x) ^ 1 << k) for x in near[:300] for k in range(42) if int(x) ^ 1 << k in there]
+    assert links and all(root.get(a, a) == root.get(b, b) for a, b in links)
+
+
+def test_crowded_keys_take_a_further_round(spark):
+    rng = np.random.default_rng(6)
+    fp = np.unique(np.concatenate([rng.integers(0, 1 << 14, 600) << 40, rng.integers(0, 1 << 62, 100)]))
+    prints = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    got = {r["node"]: r["root"] for r in sd.components(sd.fingerprint_links(prints, crowd=20)).collect()}
+    assert [got.get(x, x) for x in fp.tolist()] == fp[plain_roots(fp, 3)].tolist()
