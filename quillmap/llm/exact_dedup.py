@@ -5,10 +5,10 @@ has a bounded size and boilerplate openings do not pile up in one partition. Ext
 equal texts next to each other; the window compares neighbours by the whole text, never by the hash alone, and the
 first of each run stays.
 
-Very common texts (the 1,024 most frequent hashes, where they have `hot_rows` rows or more) do not enter the sort: they
-are counted with map-side pre-aggregation on the whole text, and their rows get the group's figures by a broadcast of at
-most that many rows. A group that holds a thousandth of all rows or more is always among them, so no sort partition
-holds an unbounded run. Everything is built-in column expressions.
+Very common texts (those of hashes with `hot_rows` rows or more, a bound that does not depend on the data) do not enter
+the sort, so no sort partition holds a longer run: they are counted with map-side pre-aggregation on the whole text, and
+their rows get the group's figures by a join, which is a broadcast only up to `BROADCAST_ROWS` such texts. Where no text
+is that common that path is not planned at all. Everything is built-in column expressions.
 
 Defined results: null texts count as empty and are equal to empty ones. Null ids sort as the smallest. Rows that repeat
 both id and text are ties: one of them stays. No rows give no rows. Columns of the input other than id and text are
@@ -20,9 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
-HOT_TEXTS = 1024
+BROADCAST_ROWS = 200_000
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def exact_dedup(
@@ -42,12 +47,9 @@ def exact_dedup(
         ascii_lower(F.col(f"`{text_col}`")).alias("_norm"),
     ).withColumn("_hash", F.xxhash64("_norm"))
 
-    hot = (
-        base.groupBy("_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"), "_hash").limit(HOT_TEXTS).select("_hash")
-    )
-    common = base.join(F.broadcast(hot), "_hash", "left_semi")
-    rare = base.join(F.broadcast(hot), "_hash", "left_anti")
+    hot = written(base.groupBy("_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows).select("_hash"))
+    n_hot = hot.count()
+    rare = base.join(_sized(hot, n_hot), "_hash", "left_anti") if n_hot else base
 
     order: Column = F.col("_id").asc_nulls_first() if keep == "smallest" else F.col("_id").desc_nulls_last()
     run = Window.partitionBy("_start", "_hash", "_norm").orderBy(order)
@@ -61,6 +63,12 @@ def exact_dedup(
         .withColumn("text_sha256", F.sha2("_norm", 256))
     )
 
+    columns = ["_row", "keep_id", "group_size", "kept", "text_sha256"]
+    result = lambda rows: rows.select(*[F.col("_row").getField(c).alias(c) for c in carried], *made)
+    if not n_hot:
+        return result(sorted_rows)
+
+    common = base.join(_sized(hot, n_hot), "_hash", "left_semi")
     first_id = F.min if keep == "smallest" else F.max
     # min() and max() ignore nulls, so that a null id is the smallest only if it is told apart
     null_first = F.lit(keep == "smallest")
@@ -73,15 +81,17 @@ def exact_dedup(
             "group_size",
         )
     )
-    joined = common.withColumn("text_sha256", F.sha2("_norm", 256)).join(F.broadcast(totals), "text_sha256")
-    ties = Window.partitionBy("text_sha256").orderBy("text_sha256")
+    joined = common.withColumn("text_sha256", F.sha2("_norm", 256)).join(_sized(totals, n_hot), "text_sha256").drop("_norm")
+    # of the rows with the id that stays one is chosen, first in each task, so that no group of ties is one task's
     stays = F.col("_id").eqNullSafe(F.col("keep_id"))
-    columns = ["_row", "keep_id", "group_size", "kept", "text_sha256"]
+    ties = joined.filter(stays).withColumn("_task", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
+    ties = ties.withColumn("_first", F.row_number().over(Window.partitionBy("text_sha256", "_task").orderBy("_place")) == 1)
+    among = Window.partitionBy("text_sha256", F.when(F.col("_first"), -1).otherwise(F.col("_task"))).orderBy("_place")
     common_rows = (
-        joined.filter(stays).withColumn("kept", F.row_number().over(ties) == 1).select(*columns)
+        ties.withColumn("kept", F.col("_first") & (F.row_number().over(among) == 1)).select(*columns)
         .unionByName(joined.filter(~stays).withColumn("kept", F.lit(False)).select(*columns))
     )
-    return sorted_rows.select(*columns).unionByName(common_rows).select(*[F.col("_row").getField(c).alias(c) for c in carried], *made)
+    return result(sorted_rows.select(*columns).unionByName(common_rows))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
