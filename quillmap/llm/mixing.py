@@ -11,11 +11,13 @@ taken from the documents in the order of md5(seed:id), until its words are reach
 part, so that a source's words meet its target to the word.
 
 Distribution. Words are summed by (source, first three digits of the md5), with map-side pre-aggregation, so that a
-source with a third of all rows is 4,096 partial sums; only the one bucket in which a source's fraction ends is sorted
-by row. The rows meet one plan row per source, in a join that is a broadcast only where Spark finds the plan small.
+source with a third of all rows is 4,096 partial sums; the bucket in which a source's fraction ends is summed by its
+next three digits once more. Only the rows of the one bucket of six digits in which it ends, a sixteen-millionth of the
+source, are sorted. The rows meet one plan row per source, in a join that is a broadcast only where Spark finds the plan
+small.
 
 Defined results: null texts have no words and null ids hash as the word null. Null sources are one source. Documents
-without words are taken 0 words. Rows that repeat an id share its place in the order. No rows give no rows.
+without words are taken 0 words. Rows that repeat an id are in the order of their size, then of a hash of their text. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -53,22 +55,32 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ma
     return rows.select("source", "source_size", F.least("_clamp", F.coalesce("_water", F.lit(float("inf"))) * F.col("_weight")).alias("target"))
 
 
+def _ends(buckets: DataFrame, sources: DataFrame, before) -> DataFrame:
+    """Of rows (source, _bucket, _words): the bucket of each source in which its rest ends, and the words before it."""
+    inside = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    upto = buckets.withColumn("_upto", F.coalesce(F.sum("_words").over(inside), F.lit(0)))
+    return (
+        upto.withColumnRenamed("source", "_source")
+        .join(sources, F.col("_source").eqNullSafe(F.col("_s")))
+        .withColumn("_upto", F.col("_upto") + before)
+        .filter((F.col("_upto") < F.col("_rest")) & (F.col("_upto") + F.col("_words") >= F.col("_rest")))
+        .select("_source", F.col("_bucket").alias("_end"), F.col("_upto").alias("_before"), F.col("_rest").alias("_ending"))
+    )
+
+
 def mix_plan(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """One row per source of (source, size, _bucket): source_size, target, _whole repetitions, _rest words of the
-    fraction, and the bucket in which that ends with the words before it."""
-    buckets = slim.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
+    """One row per source of (source, size, _key): source_size, target, _whole repetitions, _rest words of the
+    fraction, and the bucket of six digits in which that ends with the words before it."""
+    digits = lambda n: F.substring("_key", 1, n).alias("_bucket")
+    buckets = slim.groupBy("source", digits(3)).agg(F.sum("size").alias("_words"))
     sources = source_targets(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, max_epochs)
     sources = sources.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     sources = sources.withColumn("_rest", F.floor(F.col("target") - F.col("_whole") * F.col("source_size") + 0.5).cast("long"))
-    inside = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    upto = buckets.withColumn("_before", F.coalesce(F.sum("_words").over(inside), F.lit(0)))
-    ends = (
-        upto.withColumnRenamed("source", "_source")
-        .join(sources.select(F.col("source").alias("_s"), "_rest"), F.col("_source").eqNullSafe(F.col("_s")))
-        .filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") >= F.col("_rest")))
-        .select("_source", F.col("_bucket").alias("_end"), "_before")
-    )
-    return sources.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    wide = _ends(buckets, sources.select(F.col("source").alias("_s"), "_rest"), F.lit(0))
+    there = slim.join(wide, F.col("source").eqNullSafe(F.col("_source")) & (F.substring("_key", 1, 3) == F.col("_end")))
+    narrow = there.groupBy("source", digits(6)).agg(F.sum("size").alias("_words"))
+    ends = _ends(narrow, wide.select(F.col("_source").alias("_s"), F.col("_ending").alias("_rest"), F.col("_before").alias("_first")), F.col("_first"))
+    return sources.join(ends.drop("_ending"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
 def mix_sources(
@@ -85,13 +97,16 @@ def mix_sources(
     carried = [c for c in df.columns if c.lower() not in made] if keep_columns else [id_col, source_col]
     text = named(text_col)
     base = df.select(F.struct(*[named(c) for c in carried]).alias("_row"), named(source_col).alias("source"), _key(named(id_col), seed).alias("_key"), n_words(text).alias("size"))
-    base = base.withColumn("_bucket", F.substring("_key", 1, 3))
-    if not keep_columns:
-        base = checkpointed(base)
-    plan = checkpointed(mix_plan(base.select("source", "size", "_bucket"), weights, share, max_epochs)).withColumnRenamed("source", "_s")
+    if keep_columns:
+        base = base.withColumn("_tie", F.xxhash64(F.col("_row").getField(text_col)) if text_col in carried else F.lit(0))
+        slim = checkpointed(base.select("source", "size", "_key"))
+    else:
+        base = slim = checkpointed(base.withColumn("_tie", F.lit(0)))
+    plan = checkpointed(mix_plan(slim.select("source", "size", "_key"), weights, share, max_epochs)).withColumnRenamed("source", "_s")
+    base = base.withColumn("_bucket", F.substring("_key", 1, 6))
     rows = base.join(plan, F.col("source").eqNullSafe(F.col("_s")))
     here = (F.col("_rest") > 0) & (F.col("_bucket") == F.col("_end"))
-    order = Window.partitionBy("source").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("_key", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     ending = rows.filter(here).withColumn("_so_far", F.col("_before") + F.coalesce(F.sum("size").over(order), zero))
     ending = ending.withColumn("_extra", F.greatest(zero, F.least(F.col("size"), F.col("_rest") - F.col("_so_far"))))
