@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL, SEED = 3000, 64 << 10, 64 << 10, 3, 5
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL, SEED = 3000, 16 << 10, 64 << 10, 3, 5
 FOLDS = 5
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -88,6 +89,43 @@ def test_quality_without_labels(spark):
     assert [r["score"] for r in compression_quality.score_texts(df, model).collect()] == [0.5, 0.5]
 
 
+def test_scores_against_a_plain_scorer(spark):
+    """Sizes by zstandard with each dictionary, their difference per byte, a logistic curve."""
+    import math
+
+    import zstandard
+
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choices("the of old new town said GET {} <p> 0x1f".split(), k=rng.randint(0, 300)))) for i in range(120)] + [(200, None), (201, "é" * 40_000), (None, "x")]
+    df = frame(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = compression_quality.fit(df, labels)
+
+    def size(data, content):
+        kwargs = {"dict_data": zstandard.ZstdCompressionDict(content)} if content else {}
+        return len(zstandard.ZstdCompressor(level=model.level, write_content_size=False, write_checksum=False, write_dict_id=False, **kwargs).compress(data))
+
+    got = Counter()
+    for i, text in rows:
+        data = (text or "").encode()
+        x = (size(data, model.bad) - size(data, model.good)) / len(data) if data else 0.0
+        got[i, round(1 / (1 + math.exp(-(model.offset + model.slope * x))), 9)] += 1
+    scored = compression_quality.score_texts(df, model).collect()
+    assert Counter((r["doc_id"], round(r["score"], 9)) for r in scored) == got
+    cut = sorted(r["score"] for r in scored)[40]
+    again = compression_quality.score_texts(df, model, threshold=cut).collect()
+    assert all(r["predicted"] == (r["score"] >= cut) for r in again) and any(r["score"] == cut and r["predicted"] == 1 for r in again)
+
+
+def test_quality_of_one_class_and_of_long_texts(spark):
+    df = frame(spark, [(i, "good words here " * 5) for i in range(40)])
+    only = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    assert all(r["score"] == pytest.approx(0.999) for r in compression_quality.score_texts(df, compression_quality.fit(df, only)).collect())
+    both = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = compression_quality.fit(df, both, sample_bytes=10)  # all texts are longer: nothing to learn from
+    assert model.slope == 0 and all(0 < r["score"] < 1 for r in compression_quality.score_texts(df, model).collect())
+
+
 # ------------------------------------------------------------------------------------------------ secrets
 def naive_base(text):
     out = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
