@@ -4,20 +4,18 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 as Parquet in the shared folder of checkpoints and rereads it as the next stage's docs. All but the last return the
 columns of documents.
 
-The stages' decisions take effect: rejected documents go, and lines over the limit go from those that stay; of equal texts the row with the smallest doc_id stays; of a
-group of near-duplicates the row with the group's smallest doc_id, nulls last; the mix repeats a document as often as it takes
-it (a fraction counts as a repetition from one half on) and leaves out what it does not take; the last stage returns
-the packed pieces.
+The stages' decisions take effect: rejected documents go, and lines over the limit go from those that stay; of equal
+texts the row with the smallest doc_id stays; of a group of near-duplicates the row with the group's smallest doc_id,
+nulls last; the mix repeats a document as often as it takes it (a fraction counts as a repetition from one half on) and
+leaves out what it does not take; the last stage returns the packed pieces.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.llm.common import checkpointed
+from quillmap.llm.common import checkpointed, written
 from quillmap.llm.exact_dedup import exact_dedup
 from quillmap.llm.mixing import mix_sources
 from quillmap.llm.packing import pack_documents
@@ -77,12 +75,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            if spark.sparkContext.getCheckpointDir() is None:
-                checkpointed(spark.range(0))  # sets the folder
-            path = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline")
+    return STAGES[-1][1](spark, docs, sf_dir)
