@@ -51,6 +51,16 @@ def dim_values() -> str:
     return "(SELECT * FROM (VALUES " + ", ".join(rows) + ") AS v(ordinal, check_id, category, tier, weight, warn_coefficient, page_level, coefficient_group, proportion_rule))"
 
 
+def is_http_url(value: str) -> bool:
+    from urllib.parse import urlsplit
+
+    try:
+        parts = urlsplit(value)
+        return parts.scheme in ("http", "https") and bool(parts.hostname) and (parts.port or 1) > 0
+    except ValueError:
+        return False
+
+
 @dataclass(frozen=True)
 class Options:
     """Query parameters with the published defaults; validate() lists what is wrong with them."""
@@ -72,6 +82,9 @@ class Options:
     preferred_locale: str | None = None
     preferred_version: str | None = None
     url_path_pattern: str = "clean"
+    canonical_origin: str | None = None
+    llms_txt_url: str | None = None
+    parity_exclusions: tuple[str, ...] = ()
     check_ids: tuple[str, ...] = field(default=())
     skip_check_ids: tuple[str, ...] = field(default=())
 
@@ -103,6 +116,10 @@ class Options:
             out.append("bulk_dominant_share is 0 to 100")
         if self.url_path_pattern not in ("clean", "html", "md"):
             out.append("url_path_pattern is clean, html or md")
+        for name in ("canonical_origin", "llms_txt_url"):
+            value = getattr(self, name)
+            if value is not None and not is_http_url(value):
+                out.append(f"{name} is not a URL")
         unknown = (set(self.check_ids) | set(self.skip_check_ids)) - set(CHECKS)
         out += [f"unknown check {c}" for c in sorted(unknown)]
         return out

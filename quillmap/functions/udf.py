@@ -52,6 +52,11 @@ def _simple(f, kind: str):
     return F.pandas_udf(run, kind)
 
 
+def substantive(body: Column) -> Column:
+    """Whether an HTML body holds content of its own; null bodies do not, and cost nothing."""
+    return _simple(lambda x: bool(x) and bool(dom.rendering(x)["substantive"]), "boolean")(body)
+
+
 def content_start(body: Column) -> Column:
     return _simple(markdown.content_start, "int")(body)
 

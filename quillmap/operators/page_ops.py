@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmap.functions import url as U
+from quillmap.session import cut
 
 
 def narrow_prefix(pages: DataFrame, prefix: str, share: float = 0.01) -> DataFrame:
@@ -67,17 +68,27 @@ def version_key(url: Column) -> Column:
     return F.concat(U.origin(url), F.lit("/"), F.array_join(F.when(at > 0, cut).otherwise(segs), "/"))
 
 
+def version_dedupe_runs(urls: DataFrame, preferred: DataFrame, share: float = 0.2) -> DataFrame:
+    """(run_id, ordinal, url): one version per page, in runs where `share` of the URLs or more are in groups of several.
+
+    preferred: (run_id, wanted), null where any version will do. Groups are in the place of their first member.
+    """
+    rows = urls.join(preferred.select("run_id", F.lower("wanted").alias("_w")), "run_id", "left")
+    rows = rows.withColumn("_key", version_key(F.col("url"))).withColumn("_v", U.version(F.col("url")))
+    group = Window.partitionBy("run_id", "_key")
+    mine = F.coalesce(F.lower("_v") == F.col("_w"), F.lit(False))
+    best = group.orderBy(mine.desc(), version_rank(F.col("_v")).desc(), natural_key(F.col("_v")).desc(), "ordinal")
+    rows = rows.withColumn("_n", F.count("*").over(group)).withColumn("_first", F.min("ordinal").over(group)).withColumn("_rn", F.row_number().over(best))
+    dense = rows.groupBy("run_id").agg((F.count_if(F.col("_n") > 1) >= share * F.count("*")).alias("_dense"))
+    kept = rows.join(dense, "run_id").filter(~F.col("_dense") | (F.col("_rn") == 1))
+    return kept.select("run_id", F.when(F.col("_dense"), F.col("_first")).otherwise(F.col("ordinal")).alias("ordinal"), "url")
+
+
 def version_dedupe(pages: DataFrame, preferred: str | None = None, share: float = 0.2) -> DataFrame:
-    """(url, ordinal): one version per page, where `share` of the URLs or more are in groups of several."""
-    v = U.version(F.col("url"))
-    rows = pages.withColumn("_key", version_key(F.col("url"))).withColumn("_v", v)
-    groups = rows.groupBy("_key").agg(F.count("*").alias("_n"))
-    dense = groups.agg((F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(0)) >= share * F.sum("_n")).alias("_dense"))
-    mine = F.lit(False) if preferred is None else F.coalesce(F.lower("_v") == preferred.lower(), F.lit(False))
-    best = Window.partitionBy("_key").orderBy(mine.desc(), version_rank(F.col("_v")).desc(), natural_key(F.col("_v")).desc(), "ordinal")
-    rows = rows.withColumn("_rn", F.row_number().over(best)).withColumn("_first", F.min("ordinal").over(Window.partitionBy("_key")))
-    kept = rows.join(F.broadcast(dense), ~F.col("_dense") | (F.col("_rn") == 1))  # one row
-    return kept.select("url", F.when(F.col("_dense"), F.col("_first")).otherwise(F.col("ordinal")).alias("ordinal"))
+    """(url, ordinal): version_dedupe_runs for one list of pages(url, ordinal)."""
+    one = pages.withColumn("run_id", F.lit("one"))
+    wish = one.sparkSession.range(1).select(F.lit("one").alias("run_id"), F.lit(preferred).cast("string").alias("wanted"))
+    return version_dedupe_runs(one.select("run_id", "ordinal", "url"), wish, share).select("url", "ordinal")
 
 
 def sample_hash(pages: DataFrame, k: int, seed: int = 1) -> DataFrame:
@@ -88,13 +99,14 @@ def sample_hash(pages: DataFrame, k: int, seed: int = 1) -> DataFrame:
 def sample_stride(pages: DataFrame, k: int) -> DataFrame:
     """URLs at the positions floor(i * n / k) of the sorted list; all if there are k or fewer.
 
-    Positions come from per-bucket counts and a rank within the bucket, so that no task sorts all URLs.
+    URLs are range-partitioned, counted per partition, and ranked within each: no task sorts more than a partition, and
+    the only table in one task has a row per partition.
     """
-    distinct = pages.select("url").distinct().withColumn("_b", F.substring("url", 1, 16))
-    counts = distinct.groupBy("_b").agg(F.count("*").alias("_c"))
+    parts = cut(pages.select("url").distinct().repartitionByRange("url").withColumn("_b", F.spark_partition_id()))
+    counts = parts.groupBy("_b").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(F.lit(0))))
-    ranked = distinct.join(counts, "_b").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("url")) - 1)
+    ranked = parts.join(counts, "_b").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("url")) - 1)
     slot = F.ceil(F.col("_i") * k / F.col("_n"))
     taken = (F.col("_n") <= k) | ((F.floor(slot * F.col("_n") / k) == F.col("_i")) & (slot < k))
     return ranked.filter(taken).select("url", F.col("_i").alias("position"))
@@ -115,7 +127,9 @@ def backfill(candidates: DataFrame, k: int, batch: int = 3) -> DataFrame:
             at += n
         return pdf.loc[kept, ["run_id", "ordinal", "url"]]
 
-    return candidates.groupBy("run_id").applyInPandas(one, "run_id string, ordinal long, url string")
+    # no batch begins at or after 2k and none is longer than k: later candidates are never looked at
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("ordinal"))
+    return candidates.withColumn("_place", place).filter(F.col("_place") <= 3 * k).drop("_place").groupBy("run_id").applyInPandas(one, "run_id string, ordinal long, url string")
 
 
 def merge_first_wins(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -19,12 +19,24 @@ def session(app: str = "quillmap", master: str | None = None, shuffle_partitions
     return builder.getOrCreate()
 
 
-def cut(df):
-    """df from a reliable checkpoint: later plans are short, and a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: the context's own, or the one that spark.checkpoint.dir names.
 
-    The folder is the one that spark.checkpoint.dir names; only where none is set is a temporary one made.
+    Only where neither is set and the master is local is a temporary one made; on a cluster that is an error, since
+    executors would write each to their own disk.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = os.path.join(tempfile.gettempdir(), "checkpoints")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df):
+    """df from a reliable checkpoint: later plans are short, and a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,19 +1,25 @@
 """The capture table: every response an audit reads, fetched once and analysed any number of times.
 
 `read_capture` reads a recorded table; `HttpSource` (format "quillmap_http") fetches URLs: one partition per host, so that
-pacing holds per site, retries on 429 with a usable Retry-After, a stall guard, and a cap on denied bodies.
+pacing holds per site, with so many requests at a time, retries on 429 with a usable Retry-After, a stall guard per
+chunk and in all, no second try of a URL that stalled, and a cap on denied bodies. `ledger` derives the request ledger
+from a capture.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
 import time
 import urllib.error
 import urllib.request
+import zlib
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -30,8 +36,45 @@ BLOCKED_PORTS = (
 MAX_RETRIES, MAX_DENIED = 2, 100_000
 
 
-def read_capture(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+def read_capture(spark: SparkSession, path: str, canonical: str | None = None, target: str | None = None) -> DataFrame:
+    """A recorded capture. With canonical and target, canonical URLs in text bodies point at the origin under test."""
+    rows = spark.read.schema(SCHEMA).parquet(path)
+    return rewritten(rows, canonical, target) if canonical and target else rows
+
+
+def rewritten(capture: DataFrame, canonical: str, target: str) -> DataFrame:
+    """Bodies of text, XML, JSON and Markdown with the canonical origin replaced; sizes stay those that were served."""
+    text = content_type().rlike("^text/|xml|json|markdown")
+    return capture.withColumn("body", F.when(text, rewrite_origin(F.col("body"), canonical.rstrip("/"), target.rstrip("/"))).otherwise(F.col("body")))
+
+
+def ledger(capture: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """The request ledger (EVENTS) of a capture: its requests in the order of their answers, with challenge pages told.
+
+    checks: (run_id, url, check_id) for requests that a check made; others are not attributed. A stalled URL has one row.
+    """
+    from quillmap.functions.challenge import challenge_page
+
+    run = Window.partitionBy("run_id").orderBy("fetched_at", "url", "method", F.col("accept").asc_nulls_first(), "redirect_mode")
+    again = F.row_number().over(Window.partitionBy("run_id", "url", F.col("outcome") == "stalled-body").orderBy("fetched_at", "method"))
+    rows = capture.withColumn("_again", again).filter((F.col("outcome") != "stalled-body") | (F.col("_again") == 1))
+    retry = header("retry-after")
+    blocked = F.col("status").isin(403, 503) | ((F.col("status") == 429) & ~usable_wait(retry))
+    rows = rows.select(
+        "run_id", F.row_number().over(run).cast("long").alias("seq"), "url", "status", "outcome", challenge_page(F.col("body"), content_type()).alias("challenge"),
+        F.coalesce(blocked, F.lit(False)).alias("blocked"), retry.alias("retry_after"), "error",
+    )
+    who = rows.select("run_id", "url").limit(0).withColumn("check_id", F.lit(None).cast("string")) if checks is None else checks.dropDuplicates(["run_id", "url"])
+    return rows.join(who, ["run_id", "url"], "left").select("run_id", "seq", "url", "status", "outcome", "challenge", "blocked", "retry_after", "check_id", "error")
+
+
+def usable_wait(value: Column) -> Column:
+    """Whether a Retry-After asks for 1 to 60 seconds."""
+    return F.coalesce(value.try_cast("double").between(1, 60), F.lit(False))
+
+
+def blocked_port_message(port: int) -> str:
+    return f"port {port} is one that clients refuse to connect to; serve the site on another port, or behind a proxy on 80 or 443"
 
 
 def variant(capture: DataFrame, method: str = "GET", accept: str | None = None, redirect: str = "follow") -> DataFrame:
@@ -76,15 +119,19 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
 
 
 class HttpReader(DataSourceReader):
-    """Options: urls (a JSON list), run_id, method, accept, redirect, delay_ms, timeout_ms, user_agent."""
+    """Options: urls (a JSON list), run_id, variants (a JSON list of {method, accept, redirect}), or method, accept and
+    redirect for one; delay_ms, timeout_ms, concurrency (per host), user_agent, headers (a JSON object)."""
 
     def __init__(self, options: dict):
         self.options = options
         get = options.get
         self.urls = json.loads(get("urls", "[]"))
-        self.run_id, self.method, self.accept, self.redirect = get("run_id", "run"), get("method", "GET"), get("accept"), get("redirect", "follow")
+        one = {"method": get("method", "GET"), "accept": get("accept"), "redirect": get("redirect", "follow")}
+        self.variants = [one | v for v in json.loads(get("variants", "[{}]"))]
+        self.run_id, self.workers = get("run_id", "run"), int(get("concurrency", 1))
         self.delay, self.timeout = float(get("delay_ms", 200)) / 1000, float(get("timeout_ms", 15_000)) / 1000
-        self.agent = get("user_agent", "quillmap/1.0")
+        self.headers = {"User-Agent": get("user_agent", "quillmap/1.0"), "Accept-Encoding": "gzip"}
+        self.own = json.loads(get("headers", "{}"))
 
     def partitions(self) -> list[InputPartition]:
         hosts: dict[str, list[str]] = {}
@@ -93,24 +140,69 @@ class HttpReader(DataSourceReader):
         return [_Host(u) for u in hosts.values()] or [_Host([])]
 
     def read(self, partition: _Host) -> Iterator[tuple]:
-        for k, url in enumerate(partition.urls):
-            if k:
-                time.sleep(self.delay)
-            yield self.fetch(url)
-
-    def fetch(self, url: str) -> tuple:
-        import datetime
-
-        headers = {"User-Agent": self.agent, "Accept-Encoding": "identity"} | ({"Accept": self.accept} if self.accept else {})
-        opener = urllib.request.build_opener(*([_NoRedirect()] if self.redirect == "manual" else []))
-        status = final = body = error = None
+        """Requests begin `delay` apart, at most `workers` at a time. A URL that stalled is not asked again."""
+        stalled: set[str] = set()
+        began = 0.0
+
+        def one(url: str, variant: dict) -> tuple | None:
+            if url in stalled:
+                return None
+            row = self.fetch(url, variant)
+            if row[13] == "stalled-body":
+                stalled.add(url)
+            return row
+
+        for variant in self.variants:
+            with ThreadPoolExecutor(self.workers) as pool:
+                waiting = deque()
+                for url in partition.urls:
+                    time.sleep(max(0.0, began + self.delay - time.monotonic()))
+                    began = time.monotonic()
+                    waiting.append(pool.submit(one, url, variant))
+                    while len(waiting) >= self.workers or waiting and waiting[0].done():
+                        if (row := waiting.popleft().result()) is not None:
+                            yield row
+                for job in waiting:
+                    if (row := job.result()) is not None:
+                        yield row
+
+    def request_headers(self, accept: str | None) -> dict[str, str]:
+        """The reader's headers; the caller's own replace them whatever their case."""
+        mine = self.headers | ({"Accept": accept} if accept else {})
+        given = {k.lower() for k in self.own}
+        return {k: v for k, v in mine.items() if k.lower() not in given} | self.own
+
+    def _body(self, response, status: int, began: float) -> tuple[bytes, str, str | None]:
+        """The body, with the outcome. Each chunk has the whole time-out of its own; all of them have four."""
+        parts, size = [], 0
+        try:
+            while chunk := response.read1(65_536):
+                parts.append(chunk)
+                size += len(chunk)
+                if time.monotonic() - began > 4 * self.timeout:
+                    return b"".join(parts), "stalled-body", None
+                if status in (403, 429, 503) and size > MAX_DENIED:
+                    break
+        except TimeoutError:
+            return b"".join(parts), "stalled-body", None
+        except Exception as e:
+            return b"".join(parts), "body-error", f"{type(e).__name__}: {e}"
+        return b"".join(parts), "ok", None
+
+    def fetch(self, url: str, variant: dict) -> tuple:
+        opener = urllib.request.build_opener(*([_NoRedirect()] if variant["redirect"] == "manual" else []))
+        status = final = raw = error = None
         got: dict[str, str] = {}
         outcome, began = "ok", time.monotonic()
-        if str(urlsplit(url).port) in BLOCKED_PORTS.split():
-            outcome, error = "fetch-error", "blocked port"
+        try:
+            port = urlsplit(url).port
+        except ValueError:
+            port = None
+        if port is not None and str(port) in BLOCKED_PORTS.split():
+            outcome, error = "fetch-error", blocked_port_message(port)
         for attempt in range(MAX_RETRIES + 1 if outcome == "ok" else 0):
             try:
-                response = opener.open(urllib.request.Request(url, headers=headers, method=self.method), timeout=self.timeout)
+                response = opener.open(urllib.request.Request(url, headers=self.request_headers(variant["accept"]), method=variant["method"]), timeout=self.timeout)
             except urllib.error.HTTPError as e:
                 response = e
             except Exception as e:  # a response that never came is a row, not a failed task
@@ -120,30 +212,28 @@ class HttpReader(DataSourceReader):
             got = {k.lower(): v for k, v in response.headers.items()}
             wait = usable_retry_after(got.get("retry-after")) if status == 429 else None
             if wait is None or attempt == MAX_RETRIES:
-                parts, size = [], 0
-                try:
-                    while chunk := response.read(65_536):
-                        parts.append(chunk)
-                        size += len(chunk)
-                        if time.monotonic() - began > 4 * self.timeout:
-                            outcome = "stalled-body"
-                            break
-                        if status in (403, 429, 503) and size > MAX_DENIED:
-                            break
-                except TimeoutError:
-                    outcome = "stalled-body"
-                except Exception as e:
-                    outcome, error = "body-error", f"{type(e).__name__}: {e}"
-                body = b"".join(parts)
+                raw, outcome, error = self._body(response, status, began)
                 break
             time.sleep(wait)
-        charset = (got.get("content-type", "").partition("charset=")[2].split(";")[0].strip() or "utf-8").strip('"')
-        try:
-            text = body.decode(charset, "replace") if body is not None else None
-        except LookupError:
-            text = body.decode("utf-8", "replace")
+        body = raw
+        if raw and got.get("content-encoding", "").lower() == "gzip":
+            body = zlib.decompressobj(wbits=31).decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
         size = len(body) if body is not None else None
-        return (self.run_id, url, self.method, self.accept, self.redirect, status, final, bool(final and final != url), got, text, size, size, got.get("content-encoding"), outcome, error, datetime.datetime.now(datetime.timezone.utc))
+        return (
+            self.run_id, url, variant["method"], variant["accept"], variant["redirect"], status, final, bool(final and final != url), got, decoded(body, got.get("content-type", "")),
+            size, len(raw) if raw is not None else None, got.get("content-encoding"), outcome, error, datetime.datetime.now(datetime.timezone.utc),
+        )
+
+
+def decoded(body: bytes | None, content_type: str) -> str | None:
+    """A body by the charset of its type; UTF-8 where there is none or an unknown one."""
+    if body is None:
+        return None
+    charset = (content_type.lower().partition("charset=")[2].split(";")[0].strip() or "utf-8").strip("\"'")
+    try:
+        return body.decode(charset, "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
 
 
 class HttpSource(DataSource):

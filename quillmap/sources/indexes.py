@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import udf
 from quillmap.functions import url as U
+from quillmap.operators.locales import locale_sitemaps
 from quillmap.operators.page_ops import budget, merge_first_wins
 from quillmap.sources.capture import content_type, variant
 
@@ -34,15 +35,28 @@ def is_gzipped(url: Column) -> Column:
     return F.coalesce(U.path(url).rlike(r"(?i)\.gz$"), F.lit(False))
 
 
-def walk_sitemaps(capture: DataFrame, roots: DataFrame, prefix: str = "/", fetches: int = 20, max_bytes: int = 50 << 20, most: int = 500) -> DataFrame:
+def gzipped_sitemaps(capture: DataFrame, roots: DataFrame) -> DataFrame:
+    """(run_id, url) of the sitemaps that a walk skips since they are gzipped: roots, and children of indexes."""
+    bodies = variant(capture).filter("status = 200").select("run_id", "url", "body")
+    top = roots.select("run_id", "url")
+    child = top.join(bodies, ["run_id", "url"]).filter(is_sitemap_index(F.col("body"))).select("run_id", F.explode(sitemap_locations(F.col("body"))).alias("url"))
+    return top.unionByName(child).filter(is_gzipped(F.col("url"))).distinct()
+
+
+def walk_sitemaps(
+    capture: DataFrame, roots: DataFrame, prefix: str = "/", fetches: int = 20, max_bytes: int = 50 << 20, most: int = 500, wanted: DataFrame | None = None,
+) -> DataFrame:
     """(run_id, ordinal, url) of the pages of sitemaps, one level of index deep, within the budgets.
 
-    roots: (run_id, ordinal, url). Gzipped sitemaps are skipped; pages outside the site or the prefix use no slot.
+    roots: (run_id, ordinal, url). Gzipped sitemaps are skipped; pages outside the site or the prefix use no slot. wanted:
+    (run_id, wanted) locales; child sitemaps of other locales are then left out.
     """
     bodies = variant(capture).filter("status = 200").select("run_id", F.col("url").alias("u"), "body", "bytes")
     top = roots.filter(~is_gzipped(F.col("url"))).withColumnRenamed("url", "u").join(bodies, ["run_id", "u"])
     top = top.select("run_id", "ordinal", "u", "body", "bytes", is_sitemap_index(F.col("body")).alias("index"), F.posexplode(sitemap_locations(F.col("body"))).alias("p", "url"))
     child = top.filter("index").filter(~is_gzipped(F.col("url"))).select("run_id", F.col("url").alias("cu"), "ordinal", "p").dropDuplicates(["run_id", "cu"])
+    if wanted is not None:
+        child = locale_sitemaps(child.withColumnRenamed("cu", "url"), wanted).withColumnRenamed("url", "cu")
     found = child.join(bodies.withColumnRenamed("u", "cu"), ["run_id", "cu"])
     found = budget(found, ["run_id"], ["ordinal", "p", "cu"], "bytes", max_bytes, fetches - 1)
     deep = found.select("run_id", "ordinal", F.col("p").alias("p1"), F.posexplode(sitemap_locations(F.col("body"))).alias("p2", "url"))
@@ -54,23 +68,48 @@ def walk_sitemaps(capture: DataFrame, roots: DataFrame, prefix: str = "/", fetch
     return budget(ranked, ["run_id"], ["ordinal", "p1", "p2", "url"], "size", most).select("run_id", F.col("used").alias("ordinal"), "url")
 
 
-def llms_txt_candidates(runs: DataFrame) -> DataFrame:
-    """(run_id, ordinal, url): base, origin and origin/docs, distinct, in order."""
+def llms_txt_candidates(runs: DataFrame, explicit: str | None = None) -> DataFrame:
+    """(run_id, ordinal, url): base, origin and origin/docs, distinct, in order; an explicit URL overrides them."""
+    if explicit:
+        return runs.select("run_id", F.lit(0).alias("ordinal"), F.lit(explicit).alias("url"))
     base = F.regexp_replace("base_url", "/$", "")
     o = U.origin(F.col("base_url"))
     urls = F.array_distinct(F.array(F.concat(base, F.lit("/llms.txt")), F.concat(o, F.lit("/llms.txt")), F.concat(o, F.lit("/docs/llms.txt"))))
     return runs.select("run_id", F.posexplode(urls).alias("ordinal", "url"))
 
 
-def llms_txt_files(runs: DataFrame, capture: DataFrame) -> DataFrame:
-    """Found files: (run_id, ordinal, url, final_url, body, cross_host); text that is neither HTML nor blank."""
+def _served(candidates: DataFrame, capture: DataFrame) -> DataFrame:
     from quillmap.functions import text as T
 
-    rows = llms_txt_candidates(runs).join(variant(capture), ["run_id", "url"])
+    rows = candidates.join(variant(capture), ["run_id", "url"])
     ok = (F.col("status") == 200) & F.startswith(content_type(), F.lit("text/")) & ~T.looks_html(F.col("body")) & (F.trim("body") != "")
     return rows.filter(ok).select("run_id", "ordinal", "url", "final_url", "body", U.cross_host(F.col("url"), F.col("final_url")).alias("cross_host"))
 
 
+def llms_txt_files(runs: DataFrame, capture: DataFrame, explicit: str | None = None) -> DataFrame:
+    """Found files: (run_id, ordinal, url, final_url, body, cross_host); text that is neither HTML nor blank.
+
+    Runs without one get a second look: at the origin to which their candidates or their base URL redirect, where that is
+    another host.
+    """
+    first = llms_txt_candidates(runs, explicit)
+    found = _served(first, capture)
+    if explicit:
+        return found
+    asked = first.select("run_id", "url").unionByName(runs.select("run_id", F.col("base_url").alias("url")))
+    moved = asked.join(variant(capture).select("run_id", "url", "final_url"), ["run_id", "url"]).filter(U.cross_host(F.col("url"), F.col("final_url")))
+    origins = moved.join(found.select("run_id"), "run_id", "left_anti").groupBy("run_id").agg(F.min(U.origin(F.col("final_url"))).alias("_to"))
+    more = origins.select("run_id", F.posexplode(F.array(F.concat("_to", F.lit("/llms.txt")), F.concat("_to", F.lit("/docs/llms.txt")))).alias("_k", "url"))
+    more = more.join(first.select("run_id", "url"), ["run_id", "url"], "left_anti").select("run_id", (F.col("_k") + 10).alias("ordinal"), "url")
+    return found.unionByName(_served(more, capture).withColumn("cross_host", F.lit(True)))
+
+
+def files_for_analysis(files: DataFrame, runs: DataFrame) -> DataFrame:
+    """The canonical file of each run that has one for its base path, else all its files."""
+    best = canonical_file(files, runs).select("run_id", F.col("url").alias("_best"))
+    return files.join(best, "run_id", "left").filter(F.col("_best").isNull() | (F.col("url") == F.col("_best"))).drop("_best")
+
+
 def canonical_file(files: DataFrame, runs: DataFrame) -> DataFrame:
     """The file whose directory is the longest prefix of the base path; the first among equals."""
     rows = files.join(runs.select("run_id", "base_url"), "run_id")
