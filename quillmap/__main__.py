@@ -1,19 +1,22 @@
-"""python -m quillmap CAPTURE BASE_URL [--format json|text|scorecard] [--fixes] [--config FILE]: audit a recorded capture."""
+"""python -m quillmap CAPTURE BASE_URL [--format json|text|scorecard] [--fixes] [--verbose] [--config FILE]: audit a recorded capture."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from quillmap.dims import Options
-from quillmap.plans import engine
+from quillmap.functions import url as U
+from quillmap.plans import engine, reports
 from quillmap.plans.checks import Tables
 from quillmap.session import session
-from quillmap.sources import indexes
-from quillmap.sources.capture import read_capture
-from quillmap.sources.config import load_config
+from quillmap.sources import capture as C
+from quillmap.sources import discovery, indexes
+from quillmap.sources.config import find_config, load_config, network_context
 
 
 def main(argv: list[str]) -> int:
@@ -21,33 +24,51 @@ def main(argv: list[str]) -> int:
     parser.add_argument("capture", help="Parquet table of captured responses")
     parser.add_argument("base_url", nargs="?", help="base URL of the site (default: from the configuration)")
     parser.add_argument("--format", choices=["json", "text", "scorecard"], default="text")
-    parser.add_argument("--fixes", action="store_true")
-    parser.add_argument("--config")
+    parser.add_argument("--fixes", action="store_true", help="say what to do about warnings and failures")
+    parser.add_argument("--verbose", action="store_true", help="list the pages that did not pass")
+    parser.add_argument("--config", help="configuration (default: the nearest one above the working folder)")
     parser.add_argument("--checks", default="")
     parser.add_argument("--skip-checks", default="")
+    parser.add_argument("--urls", default="", help="pages to test instead of discovered ones")
+    parser.add_argument("--sampling", choices=["random", "deterministic", "curated", "none"])
     args = parser.parse_args(argv)
-    config, errors = load_config(args.config) if args.config else ({"url": None, "options": Options()}, [])
+    path = args.config or find_config(Path.cwd())
+    config, errors = load_config(path) if path else ({"url": None, "pages": [], "options": Options()}, [])
     options = config.get("options") or Options()
     split = lambda x: tuple(filter(None, x.split(",")))
-    if args.checks or args.skip_checks:
-        from dataclasses import replace
-
-        options = replace(options, check_ids=split(args.checks) or options.check_ids, skip_check_ids=split(args.skip_checks) or options.skip_check_ids)
-    url = args.base_url or config.get("url")
-    errors = [e for e in errors if e != "neither url nor pages" or not url] + options.validate(pages=True)
+    options = replace(options, check_ids=split(args.checks) or options.check_ids, skip_check_ids=split(args.skip_checks) or options.skip_check_ids)
+    listed = [{"url": u, "tag": None} for u in split(args.urls)] or config.get("pages") or []
+    options = replace(options, sampling_strategy=args.sampling or ("curated" if listed else options.sampling_strategy))
+    url = args.base_url or config.get("url") or (listed[0]["url"] if listed else None)
+    errors = [e for e in errors if e != "neither url nor pages" or not url] + options.validate(pages=bool(listed))
     if errors or not url:
         print("\n".join(errors or ["a base URL is needed"]), file=sys.stderr)
         return 2
+    for name in options.overlap():
+        print(f"{name} is both asked for and skipped: it is skipped", file=sys.stderr)
     spark = session()
-    capture = read_capture(spark, args.capture)
-    runs = capture.select("run_id").distinct().withColumn("base_url", F.lit(url))
-    files = indexes.llms_txt_files(runs, capture)
-    pages = indexes.walk_indexes(files, capture)["pages"]
-    pages = pages.select("run_id", F.xxhash64("url").alias("ordinal"), "url", "original_md")
-    out = engine.audit(Tables(runs, pages, capture), options)
-    for row in engine.json_report(out).toLocalIterator():
-        print({"json": lambda r: r, "text": lambda r: engine.text_report(r, args.fixes), "scorecard": engine.scorecard}[args.format](row["report"]))
-    return engine.exit_status(out["results"])
+    base = spark.range(1).select(U.canonical_base(U.with_scheme(F.lit(url))).alias("u")).first()["u"]
+    captured = C.read_capture(spark, args.capture, options.canonical_origin, base)
+    runs = captured.select("run_id").distinct().withColumn("base_url", F.lit(base))
+    files = indexes.llms_txt_files(runs, captured, options.llms_txt_url)
+    runs = discovery.with_effective_origin(runs, files)
+    curated = None
+    if listed:
+        each = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(p["url"]).alias("url"), F.lit(p["tag"]).cast("string").alias("tag")) for k, p in enumerate(listed)])
+        curated = runs.select("run_id", F.inline(each))
+    pages, found = discovery.sampled_pages(runs, captured, files, options, curated)
+    tables = Tables(runs, pages, captured, C.ledger(captured), options=options)
+    tables.pages = tables.once("pages", lambda: pages)
+    tables.events = tables.once("events", lambda: tables.events)
+    try:
+        out = engine.audit(tables, options, found.warnings, lambda e: print(reports.progress_line(e), file=sys.stderr), context=network_context())
+        for row in found.warnings.toLocalIterator():
+            print(f"warning: {row['warning']}", file=sys.stderr)
+        for row in reports.json_report(out).toLocalIterator():
+            print({"json": lambda r: r, "text": lambda r: reports.text_report(r, args.fixes, args.verbose), "scorecard": reports.scorecard}[args.format](row["report"]))
+        return reports.exit_status(out["results"])
+    finally:
+        tables.release()
 
 
 if __name__ == "__main__":

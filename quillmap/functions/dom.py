@@ -331,8 +331,32 @@ def headers_of(panel: str) -> list[str]:
     return [h for h in out if h]
 
 
-def main_text(html: str) -> dict:
-    """Text of the content container (main, article or body) with a line per block, and its counts of list items and table rows."""
+def is_data_row(node: Node) -> bool:
+    """A table row that is not of the head and has a cell that is not a heading."""
+    if node.tag != "tr" or node.parent is not None and node.parent.tag == "thead":
+        return False
+    cells = [x.tag for x in node.children if isinstance(x, Node) and x.tag in ("td", "th")]
+    return not cells or "td" in cells
+
+
+def selected(selector: str) -> Callable[[Node], bool]:
+    """A predicate for a simple CSS selector: tag, .class, #id, [attribute] or [attribute=value], in any combination."""
+    tag = re.match(r"[a-zA-Z][\w-]*", selector)
+    classes, ids = re.findall(r"\.([\w-]+)", selector), re.findall(r"#([\w-]+)", selector)
+    attributes = re.findall(r"\[([\w-]+)(?:=[\"']?([^\]\"']*)[\"']?)?\]", selector)
+
+    def test(n: Node) -> bool:
+        return (
+            (tag is None or n.tag == tag[0].lower()) and set(classes) <= set(n.attrs.get("class", "").split()) and all(n.attrs.get("id") == i for i in ids)
+            and all(k in n.attrs and (not v or n.attrs[k] == v) for k, v in attributes) and bool(tag or classes or ids or attributes)
+        )
+
+    return test
+
+
+def main_text(html: str, exclusions: tuple[str, ...] = ()) -> dict:
+    """Text of the content container (main, article or body) with a line per block, and its counts of list items and table
+    rows. exclusions: simple CSS selectors of elements that are left out."""
     body = body_of(parse(html))
     box = next((n for n in body.walk(is_chrome) if n.tag == "main" or n.attrs.get("role") == "main"), None) or next((n for n in body.walk(is_chrome) if n.tag == "article"), None) or body
 
@@ -344,17 +368,18 @@ def main_text(html: str) -> dict:
         return len(links) >= 10 and size > 0 and sum(len(a.text().strip()) for a in links) >= 0.7 * size
 
     out: list[str] = []
+    left_out = [selected(x) for x in exclusions]
     stack: list[Node | str] = list(reversed(box.children))
     while stack:
         c = stack.pop()
         if isinstance(c, str):
             out.append(c)
-        elif not is_chrome(c) and not menu(c):
+        elif not is_chrome(c) and not menu(c) and not any(f(c) for f in left_out):
             if c.tag in BLOCKS:
                 out.append("\n")
                 stack.append("\n")
             stack += reversed(c.children)
     nodes = list(box.walk(is_chrome))
     lists = [sum(isinstance(x, Node) and x.tag == "li" for x in n.children) for n in nodes if n.tag in ("ul", "ol")]
-    tables = [sum(x.tag == "tr" for x in n.walk()) for n in nodes if n.tag == "table"]
+    tables = [sum(map(is_data_row, n.walk())) for n in nodes if n.tag == "table"]
     return {"text": re.sub(r"\n\s*\n+", "\n", "".join(out)).strip(), "largest_list": max(lists, default=0), "largest_table": max(tables, default=0)}

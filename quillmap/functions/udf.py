@@ -73,8 +73,14 @@ def fences(body: Column) -> Column:
     return _struct(markdown.fences, ["count", "open_line", "marker", "status"], "count int, open_line int, marker string, status string")(body)
 
 
-def main_text(body: Column) -> Column:
-    return _struct(dom.main_text, ["text", "largest_list", "largest_table"], "text string, largest_list int, largest_table int")(body)
+def markdown_text(body: Column) -> Column:
+    """struct of a Markdown body's text and its repeated items."""
+    one = lambda x: {"text": markdown.plain_text(x)} | markdown.item_counts(x)
+    return _struct(one, ["text", "items", "distinct", "rows"], "text string, items int, distinct int, rows int")(body)
+
+
+def main_text(body: Column, exclusions: tuple[str, ...] = ()) -> Column:
+    return _struct(lambda x: dom.main_text(x, exclusions), ["text", "largest_list", "largest_table"], "text string, largest_list int, largest_table int")(body)
 
 
 def bulk_data(body: Column, table_rows: int = 20, blob_chars: int = 2000) -> Column:

@@ -125,6 +125,13 @@ def markdown_candidates(url: Column) -> Column:
     return F.when(own, F.array(url)).when(is_non_page(url), F.array().cast("array<string>")).otherwise(F.array(beside, index))
 
 
+def parent_markdown(url: Column, original: Column) -> Column:
+    """For a page .../x/index.html whose published Markdown is .../index.html.md: .../x.md; null for others."""
+    folder = F.regexp_replace(F.regexp_replace(path(url), "/$", ""), r"(?i)/index\.html?$", "")
+    fits = path(original).rlike(r"(?i)/index\.html?\.md$") & path(url).rlike(r"(?i)/index\.html?/?$") & (folder != "")
+    return F.when(F.coalesce(fits, F.lit(False)), F.concat(origin(url), folder, F.lit(".md")))
+
+
 def coverage_path(url: Column) -> Column:
     """Path to compare indexes by: no index file, extension or trailing slash, lower case; malformed URLs lower case."""
     p = F.regexp_replace(path(url), r"(?i)/index\.(md|mdx|html?)$", "/")

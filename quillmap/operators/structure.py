@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmap.functions import text as T
@@ -41,10 +41,38 @@ def header_verdict(quality: DataFrame) -> DataFrame:
     return share.withColumn("status", F.when(worst > 0.5, "fail").when(worst > 0.25, "warn").otherwise("pass"))
 
 
-def parity(pages: DataFrame, limits: tuple[int, int] = (5, 20), min_segments: int = 10) -> DataFrame:
-    """(url, segments, missing, status) of pages(url, html, markdown): HTML segments that the Markdown lacks."""
-    rows = pages.withColumn("_m", udf.main_text(F.col("html"))).select("url", T.segments(F.col("_m.text")).alias("segs"), T.normal_segment(F.col("markdown")).alias("md"))
-    out = rows.select("url", F.size("segs").alias("segments"), F.size(F.filter("segs", lambda s: ~F.contains(F.col("md"), s))).alias("missing"))
+# Items from which a structure counts, that each side needs, and the difference that is noise.
+REPEATED, EACH_SIDE, TOLERANCE = 20, 5, 0.02
+
+
+def item_divergence(html_items: Column, html_rows: Column, md_items: Column, md_distinct: Column, md_rows: Column, paginated: Column) -> Column:
+    """struct(structure, html, markdown, distinct, duplicates, diverges, cause) where a list or table is long enough; else null.
+
+    Distinct entries are compared: a list that holds its entries twice is not longer. More in Markdown than in HTML is a
+    default filter of the page; fewer is pagination where the Markdown is paginated, else staleness.
+    """
+    lists, tables = F.greatest(html_items, md_items), F.greatest(html_rows, md_rows)
+    of_list = lists >= tables
+    html, markdown, distinct = F.when(of_list, html_items).otherwise(html_rows), F.when(of_list, md_items).otherwise(md_rows), F.when(of_list, md_distinct).otherwise(md_rows)
+    apart = (F.least(html, distinct) >= EACH_SIDE) & (F.abs(html - distinct) > F.greatest(F.lit(1.0), TOLERANCE * F.greatest(html, distinct)))
+    cause = F.when(apart, F.when(distinct > html, "default-filter").when(paginated, "pagination").otherwise("staleness"))
+    row = F.struct(
+        F.when(of_list, "list").otherwise("table").alias("structure"), html.alias("html"), markdown.alias("markdown"), distinct.alias("distinct"), (markdown - distinct).alias("duplicates"),
+        apart.alias("diverges"), cause.alias("cause"),
+    )
+    return F.when(F.greatest(lists, tables) >= REPEATED, row)
+
+
+def parity(pages: DataFrame, limits: tuple[int, int] = (5, 20), min_segments: int = 10, exclusions: tuple[str, ...] = ()) -> DataFrame:
+    """(url, segments, missing, sample, items, status) of pages(url, html, markdown), with paginated if pages have it:
+    HTML segments that the Markdown lacks, the first five of them, and how item counts differ."""
+    rows = pages.withColumn("_m", udf.main_text(F.col("html"), exclusions)).withColumn("_t", udf.markdown_text(F.col("markdown")))
+    paged = F.coalesce("paginated", F.lit(False)) if "paginated" in pages.columns else F.lit(False)
+    items = item_divergence(F.col("_m.largest_list"), F.col("_m.largest_table"), F.col("_t.items"), F.col("_t.distinct"), F.col("_t.rows"), paged)
+    # a segment may stand in the raw Markdown only (raw HTML, code), so both forms are searched
+    rows = rows.select("url", T.segments(F.col("_m.text")).alias("segs"), F.concat_ws(" ", T.normal_segment(F.col("_t.text")), T.normal_segment(F.col("markdown"))).alias("md"), items.alias("items"))
+    rows = rows.withColumn("_lost", F.filter("segs", lambda s: ~F.contains(F.col("md"), s)))
+    out = rows.select("url", F.size("segs").alias("segments"), F.size("_lost").alias("missing"), F.slice("_lost", 1, 5).alias("sample"), "items")
     share = T.js_round(F.try_divide(100 * F.col("missing"), F.col("segments")))
     fail, warn = (limits[1], limits[0])
     status = F.when(F.col("segments") < min_segments, "pass").when((fail > 0) & (share >= fail), "fail").when((warn > 0) & (share >= warn), "warn").otherwise("pass")
@@ -55,14 +83,23 @@ def link_plan(links: DataFrame, most: int) -> DataFrame:
     """(run_id, page_ordinal, offset, fetch) -> the links to verify.
 
     Each page has a quota of floor(most / pages), 1 at least; a URL that is planned already costs nothing; `most`
-    distinct URLs in all. The plan is greedy in page order, so it runs per run over links that were cut to the quota
-    beforehand, at most `most` distinct ones a page.
+    distinct URLs in all. The plan is greedy in page order, so it runs per run, over links that are cut beforehand: the
+    first occurrence of a URL on a page, and of the URLs that no earlier page has the first `quota` (later ones cannot be
+    planned there).
     """
+    page = Window.partitionBy("run_id", "page_ordinal")
+    each = links.groupBy("run_id", "page_ordinal", "fetch").agg(F.min("offset").alias("offset"))
+    pages = each.select("run_id", "page_ordinal").distinct().groupBy("run_id").agg(F.count("*").alias("_pages"))
+    each = each.withColumn("_new", F.row_number().over(Window.partitionBy("run_id", "fetch").orderBy("page_ordinal", "offset")) == 1)
+    fresh = F.count_if("_new").over(page.orderBy("offset", "fetch").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    quota = F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("_pages")))
+    cut = each.withColumn("_fresh", fresh).join(pages, "run_id").filter(~F.col("_new") | (F.col("_fresh") <= quota))
+    links = cut.select("run_id", "page_ordinal", "offset", "fetch", "_pages")
 
     def one(pdf):
         import pandas as pd
 
-        quota, planned, keep = max(1, most // max(1, pdf["page_ordinal"].nunique())), set(), []
+        quota, planned, keep = max(1, most // max(1, int(pdf["_pages"].iloc[0]))), set(), []
         for _, page in pdf.sort_values(["page_ordinal", "offset"]).groupby("page_ordinal", sort=True):
             used = 0
             for k, url in zip(page.index, page["fetch"]):

@@ -1,27 +1,31 @@
 """The checks of an audit over captured responses.
 
-Inputs are a `Tables` of DataFrames, each with run_id: runs(run_id, base_url), pages(run_id, ordinal, url, original_md),
-capture (see sources.capture), events (the request ledger). A check returns items: one row per page, file or endpoint with
-run_id, url, status (pass, warn, fail, skip) and what it measured. `verdicts` turns the items of any check into one row per
-run: bucket counts, the verdict by the check's own rule and a message.
+Inputs are a `Tables` of DataFrames, each with run_id: runs(run_id, base_url), pages(run_id, ordinal, url, original_md, and
+maybe tag), capture (see sources.capture), events (the request ledger). A check returns items: one row per page, file or
+endpoint with run_id, url, status (pass, warn, fail, skip) and what it measured; `items` brings those of any check into one
+form. Rules.py turns counts of items into verdicts.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmap.dims import CHECKS, Options
 from quillmap.functions import text as T
 from quillmap.functions import udf
 from quillmap.functions import url as U
-from quillmap.operators import aggregates as A
 from quillmap.operators import ledger as L
-from quillmap.operators import page_ops as P
+from quillmap.operators import locales as LO
 from quillmap.operators import structure as S
+from quillmap.plans import rules
+from quillmap.session import new_folder, remove_folder, stored
+from quillmap.sources import discovery as D
 from quillmap.sources import indexes as I
 from quillmap.sources.capture import content_type, header, variant
 
@@ -30,18 +34,45 @@ c = F.col
 
 @dataclass
 class Tables:
+    """What an audit reads. Tables that several checks read are written to a folder of their own in the shared folder, so
+    that they survive lost executors and are read by column; `release` removes it."""
+
     runs: DataFrame
     pages: DataFrame
     capture: DataFrame
     events: DataFrame | None = None
     sitemap: DataFrame | None = None
+    options: Options = Options()
     memo: dict[str, DataFrame] = field(default_factory=dict)
+    folder: str | None = None
+    lock: Any = field(default_factory=threading.RLock)
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A table that several checks read, built once and kept."""
-        if name not in self.memo:
-            self.memo[name] = make().persist()
-        return self.memo[name]
+        """A table that several checks read, made once."""
+        with self.lock:
+            if name not in self.memo:
+                self.memo[name] = stored(make(), f"{self.place()}/{name}")
+            return self.memo[name]
+
+    def place(self) -> str:
+        if self.folder is None:
+            self.folder = new_folder(self.runs.sparkSession, "audit")
+        return self.folder
+
+    def release(self) -> None:
+        if self.folder is not None:
+            remove_folder(self.runs.sparkSession, self.folder)
+            self.memo, self.folder = {}, None
+
+    def failures(self) -> DataFrame:
+        """(run_id, url, code, error): pages whose plain response is missing or an error."""
+
+        def make() -> DataFrame:
+            got = variant(self.capture).select("run_id", "url", c("status").alias("code"), c("error").alias("_e")).dropDuplicates(["run_id", "url"])
+            rows = self.pages.select("run_id", "url").distinct().join(got, ["run_id", "url"], "left")
+            return rows.filter(c("code").isNull() | (c("code") >= 400) | c("_e").isNotNull()).select("run_id", "url", "code", F.coalesce("_e", F.concat(F.lit("HTTP "), c("code").cast("string")), F.lit("no response")).alias("error"))
+
+        return self.once("failures", make)
 
     def html(self) -> DataFrame:
         """Pages with their plain response, and all figures of the parsers in one pass."""
@@ -54,14 +85,25 @@ class Tables:
         return self.once("html", make)
 
     def files(self) -> DataFrame:
-        return self.once("files", lambda: I.llms_txt_files(self.runs, self.capture))
+        return self.once("files", lambda: I.llms_txt_files(self.runs, self.capture, self.options.llms_txt_url))
+
+    def analysed_files(self) -> DataFrame:
+        """The canonical file of each run, or all its files."""
+        return self.once("analysed", lambda: I.files_for_analysis(self.files(), self.runs))
+
+    def sites(self) -> DataFrame:
+        """runs with effective_origin."""
+        return self.once("sites", lambda: D.with_effective_origin(self.runs, self.files()))
 
     def markdown(self) -> DataFrame:
         """Pages with their Markdown: the first candidate URL that serves it, else the negotiated response."""
 
         def make() -> DataFrame:
             pages = self.pages.select("run_id", "ordinal", "url", "original_md")
-            urls = F.array_distinct(F.concat(F.when(c("original_md").isNotNull(), F.array("original_md")).otherwise(F.array().cast("array<string>")), U.markdown_candidates(c("url"))))
+            none = F.array().cast("array<string>")
+            told = F.when(c("original_md").isNotNull(), F.array("original_md")).otherwise(none)
+            parent = U.parent_markdown(c("url"), c("original_md"))
+            urls = F.array_distinct(F.concat(told, F.when(parent.isNotNull(), F.array(parent)).otherwise(none), U.markdown_candidates(c("url"))))
             tries = pages.select("run_id", "ordinal", "url", F.posexplode(urls).alias("rank", "md_url"))
             got = variant(self.capture).filter("status = 200").select("run_id", c("url").alias("md_url"), "body", "headers")
             direct = tries.join(got, ["run_id", "md_url"]).filter(is_markdown_response()).select("run_id", "ordinal", "url", "rank", "md_url", "body", F.lit("md-url").alias("source"))
@@ -137,10 +179,8 @@ def _links(t: Tables, o: Options) -> DataFrame:
 
     def make() -> DataFrame:
         base = t.runs.select("run_id", U.origin(c("base_url")).alias("_o"))
-        rows = I.file_links(t.files()).groupBy("run_id", "fetch").agg(F.min("offset").alias("offset")).join(base, "run_id")
+        rows = I.file_links(t.analysed_files()).groupBy("run_id", "fetch").agg(F.min("offset").alias("offset")).join(base, "run_id")
         rows = rows.withColumn("same_origin", U.origin(c("fetch")) == c("_o"))
-        from pyspark.sql import Window
-
         w = Window.partitionBy("run_id", "same_origin").orderBy(F.md5(F.concat(F.lit(f"{o.seed}:"), c("fetch"))))
         rows = rows.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= o.max_links)
         of = lambda m: variant(t.capture, method=m).select("run_id", c("url").alias("fetch"), c("status").alias(f"_{m}"), content_type().alias(f"_{m}_type"), c("body").alias(f"_{m}_body"))
@@ -153,7 +193,7 @@ def _links(t: Tables, o: Options) -> DataFrame:
 @check("llms-txt-links-resolve")
 def llms_txt_links_resolve(t: Tables, o: Options) -> DataFrame:
     ok = F.coalesce(c("code").between(200, 399), F.lit(False))
-    return _links(t, o).select("run_id", c("fetch").alias("url"), "same_origin", F.when(ok, "pass").otherwise("fail").alias("status"))
+    return _links(t, o).select("run_id", c("fetch").alias("url"), "same_origin", "code", (~c("same_origin")).alias("external"), F.when(ok, "pass").otherwise("fail").alias("status"))
 
 
 @check("llms-txt-links-markdown")
@@ -163,13 +203,13 @@ def llms_txt_links_markdown(t: Tables, o: Options) -> DataFrame:
     rows = rows.join(other, ["run_id", "_md"], "left")
     served = U.path(c("fetch")).rlike(r"\.mdx?$") | F.startswith(F.coalesce("_HEAD_type", F.lit("")), F.lit("text/markdown"))
     text = U.path(c("fetch")).rlike(r"(?i)\.txt$") & F.coalesce(T.looks_markdown(c("_GET_body")), F.lit(False))
-    return rows.select("run_id", c("fetch").alias("url"), order_of((served | text, "pass"), (c("_variant"), "warn"), otherwise="fail").alias("status"))
+    return rows.select("run_id", c("fetch").alias("url"), "code", order_of((served | text, "pass"), (c("_variant"), "warn"), otherwise="fail").alias("status"))
 
 
 def _directive(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_d", T.directive(c("body")))
     at = F.try_divide(c("_d.position"), c("_d.length"))
-    return rows.select("run_id", "url", c("_d").isNotNull().alias("found"), at.alias("position"), order_of((c("_d").isNull(), "fail"), (at > 0.5, "warn"), otherwise="pass").alias("status"))
+    return rows.select("run_id", "url", c("_d").isNotNull().alias("found"), at.alias("position"), F.coalesce(at <= 0.1, F.lit(False)).alias("near"), order_of((c("_d").isNull(), "fail"), (at > 0.5, "warn"), otherwise="pass").alias("status"))
 
 
 @check("llms-txt-directive-html")
@@ -186,8 +226,10 @@ def directive_md(t: Tables, o: Options) -> DataFrame:
 @check("markdown-url-support")
 def markdown_url_support(t: Tables, o: Options) -> DataFrame:
     have = t.markdown().filter("source = 'md-url'").select("run_id", "url", F.lit(True).alias("_y"))
-    rows = t.pages.filter(~U.is_non_page(c("url"))).join(have, ["run_id", "url"], "left")
-    return rows.select("run_id", "url", F.when(c("_y"), "pass").otherwise("fail").alias("status"))
+    first = U.markdown_candidates(c("url"))[0]
+    got = variant(t.capture).select("run_id", c("url").alias("_md"), c("status").alias("code"), "error").dropDuplicates(["run_id", "_md"])
+    rows = t.pages.filter(~U.is_non_page(c("url"))).join(have, ["run_id", "url"], "left").withColumn("_md", F.coalesce("original_md", first)).join(got, ["run_id", "_md"], "left")
+    return rows.select("run_id", "url", "code", "error", F.when(c("_y"), "pass").otherwise("fail").alias("status"))
 
 
 @check("content-negotiation")
@@ -195,7 +237,7 @@ def content_negotiation(t: Tables, o: Options) -> DataFrame:
     rows = t.pages.join(variant(t.capture, accept="text/markdown"), ["run_id", "url"])
     typed, md = F.startswith(content_type(), F.lit("text/markdown")), T.looks_markdown(c("body"))
     kind = order_of((T.soft_404(c("body")), "html"), (typed & (md | ~T.looks_html(c("body"))), "markdown-with-correct-type"), (md, "markdown-with-wrong-type"), otherwise="html")
-    rows = rows.select("run_id", "url", kind.alias("classification"))
+    rows = rows.select("run_id", "url", c("status").alias("code"), kind.alias("classification"))
     return rows.withColumn("status", order_of((c("classification") == "markdown-with-correct-type", "pass"), (c("classification") == "html", "fail"), otherwise="warn"))
 
 
@@ -255,8 +297,11 @@ def single_fetch_completeness(t: Tables, o: Options) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ content structure
 def _panels(t: Tables) -> DataFrame:
     def make() -> DataFrame:
-        pages = t.html().select(F.concat_ws("\x1f", "run_id", "url").alias("url"), c("body").alias("html"))
-        return S.tab_panels(pages)
+        # shells hold no tabs: their Markdown is looked at instead
+        md = t.markdown().select("run_id", "url", c("body").alias("_md"))
+        pages = t.html().select("run_id", "url", "body", (c("m.status") == "fail").alias("_shell")).join(md, ["run_id", "url"], "left")
+        body = F.when(c("_shell") & c("_md").isNotNull(), c("_md")).otherwise(c("body"))
+        return S.tab_panels(pages.select(F.concat_ws("\x1f", "run_id", "url").alias("url"), body.alias("html")))
 
     return t.once("panels", make)
 
@@ -278,7 +323,7 @@ def tabbed_content(t: Tables, o: Options) -> DataFrame:
 @check("section-header-quality")
 def section_header_quality(t: Tables, o: Options) -> DataFrame:
     rows = _split_key(S.header_quality(_panels(t)))
-    return rows.select("run_id", "url", "framework", "headers", "generic", order_of((c("generic_majority"), "fail"), (c("cross_group"), "warn"), otherwise="pass").alias("status"))
+    return rows.select("run_id", "url", "framework", "headers", "generic", c("cross_group").alias("crossed"), order_of((c("generic_majority"), "fail"), (c("cross_group"), "warn"), otherwise="pass").alias("status"))
 
 
 @check("markdown-code-fence-validity")
@@ -301,7 +346,7 @@ def link_portability(t: Tables, o: Options) -> DataFrame:
     per = per.join(bad, ["run_id", "ordinal"], "left")
     fail = (c("path_relative") > 0) | (c("unresolvable") > 0) | F.coalesce("_broken", F.lit(False))
     warn = (c("root_relative") > 0) | F.coalesce("_downgraded", F.lit(False))
-    return per.select("run_id", "url", "path_relative", "root_relative", "unresolvable", order_of((fail, "fail"), (warn, "warn"), otherwise="pass").alias("status"))
+    return per.select("run_id", "url", "path_relative", "root_relative", "unresolvable", F.coalesce("_broken", F.lit(False)).alias("broken"), F.coalesce("_downgraded", F.lit(False)).alias("downgraded"), order_of((fail, "fail"), (warn, "warn"), otherwise="pass").alias("status"))
 
 
 @check("embedded-data-serialization")
@@ -309,7 +354,12 @@ def embedded_data(t: Tables, o: Options) -> DataFrame:
     size = T.status_of(T.utf16_length(c("m.markdown")), o.size_limits)
     rows = t.html().withColumn("_b", udf.bulk_data(c("m.markdown"), o.bulk_table_rows, o.bulk_blob_chars))
     dominant = c("_b.share") >= o.bulk_dominant_share
-    return rows.select("run_id", "url", F.size("_b.elements").alias("elements"), c("_b.share").alias("share"), F.when(dominant, size).otherwise("pass").alias("status"))
+    # largest first, ten of them
+    largest = F.slice(F.reverse(F.array_sort(F.transform("_b.elements", lambda e: F.struct(e["chars"].alias("chars"), -e["start"], e["kind"].alias("kind"), e["rows"].alias("rows"), e["share"].alias("share"))))), 1, 10)
+    rows = rows.withColumn("_l", largest)
+    what = lambda e: F.when(e["kind"] == "table", F.concat(F.lit("a table of "), e["rows"].cast("string"), F.lit(" rows"))).otherwise(F.concat(F.lit("a "), e["kind"], F.lit(" block")))
+    told = F.transform("_l", lambda e: F.concat(what(e), F.lit(" ("), e["share"].cast("string"), F.lit(" %)")))
+    return rows.select("run_id", "url", F.size("_b.elements").alias("elements"), told.alias("largest"), c("_b.share").alias("share"), F.when(dominant, size).otherwise("pass").alias("status"))
 
 
 # ------------------------------------------------------------------------------------------------ URL stability
@@ -342,13 +392,19 @@ def redirect_behavior(t: Tables, o: Options) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ observability
 @check("llms-txt-coverage")
 def llms_txt_coverage(t: Tables, o: Options) -> DataFrame:
-    """One row per sitemap page in scope: pass if an llms.txt lists it."""
-    if t.sitemap is None:
-        return t.runs.select("run_id", c("base_url").alias("url"), F.lit("skip").alias("status"))
-    walked = I.walk_indexes(t.files(), t.capture)
-    listed = walked["pages"].select("run_id", U.coverage_path(c("url")).alias("path"), F.lit(True).alias("_y")).distinct()
+    """One row per sitemap page in scope, of one locale where the site has several: pass if an llms.txt lists it."""
+    walked = I.walk_indexes(t.analysed_files(), t.capture)
+    links = t.once("listed", lambda: walked["pages"].select("run_id", "url", F.row_number().over(Window.partitionBy("run_id").orderBy("ordinal")).alias("ordinal")))
+    listed = links.select("run_id", U.coverage_path(c("url")).alias("path"), F.lit(True).alias("_y")).distinct()
     prefixes = walked["omitted"].groupBy("run_id").agg(F.collect_set(U.omitted_prefix(c("url"))).alias("_omitted"))
-    pages = t.sitemap.select("run_id", "url", U.coverage_path(c("url")).alias("path")).filter(~U.is_non_page(c("url")) & ~U.is_excluded_path(c("path")))
+
+    def in_scope() -> DataFrame:
+        pages = t.sitemap if t.sitemap is not None else I.walk_sitemaps(t.capture, D.sitemap_roots(t.sites(), t.capture), most=D.MOST_COVERAGE_PAGES)
+        pages = pages.withColumn("ordinal", F.monotonically_increasing_id()) if "ordinal" not in pages.columns else pages
+        return D.in_scopes(pages.select("run_id", "ordinal", "url"), D.scopes(t.sites(), o)).filter(~U.is_non_page(c("url")))
+
+    wish = t.runs.select("run_id", F.lit(o.preferred_locale).cast("string").alias("wanted"))
+    pages = LO.coverage_scope(t.once("in_scope", in_scope), links, wish).withColumn("path", U.coverage_path(c("url"))).filter(~U.is_excluded_path(c("path")))
     if o.coverage_exclusions:
         pages = pages.filter(~U.matches_globs(c("path"), list(o.coverage_exclusions)))
     pages = pages.groupBy("run_id", "path").agg(F.min("url").alias("url")).join(listed, ["run_id", "path"], "left").join(prefixes, "run_id", "left")
@@ -359,8 +415,9 @@ def llms_txt_coverage(t: Tables, o: Options) -> DataFrame:
 @check("markdown-content-parity")
 def markdown_content_parity(t: Tables, o: Options) -> DataFrame:
     key = F.concat_ws("\x1f", "run_id", "url")
-    pages = t.html().select("run_id", "url", c("body").alias("html")).join(t.markdown().select("run_id", "url", c("body").alias("markdown")), ["run_id", "url"])
-    return _split_key(S.parity(pages.select(key.alias("url"), "html", "markdown"), o.parity_limits))
+    paged = _paged(t).select("run_id", "url", (F.size("_p.signals") > 0).alias("paginated"))
+    pages = t.html().select("run_id", "url", c("body").alias("html")).join(t.markdown().select("run_id", "url", c("body").alias("markdown")), ["run_id", "url"]).join(paged, ["run_id", "url"], "left")
+    return _split_key(S.parity(pages.select(key.alias("url"), "html", "markdown", "paginated"), o.parity_limits, exclusions=o.parity_exclusions))
 
 
 @check("cache-header-hygiene")
@@ -400,41 +457,30 @@ def bot_protection(t: Tables, o: Options) -> DataFrame:
     return L.verdict(t.events).join(t.runs, "run_id").withColumn("url", c("base_url")).drop("base_url")
 
 
-# ------------------------------------------------------------------------------------------------ verdicts
-#: Checks whose verdict is a rate: pass from the first percentage on, warn from the second on (0: any).
-RATES = {"llms-txt-links-resolve": (100, 91), "llms-txt-links-markdown": (90, 0), "markdown-url-support": (90, 0), "content-negotiation": (90, 0)}
-
-
-def verdicts(name: str, items: DataFrame, runs: DataFrame, o: Options) -> DataFrame:
-    """One row per run: check_id, category, status, the three buckets, rate and message; skip where there is nothing to test."""
-    status = c("status")
-    rows = items.filter(c("same_origin")) if name == "llms-txt-links-resolve" else items
-    per = rows.groupBy("run_id").agg(*A.bucket_counts(status), A.worst(status).alias("_worst"), F.count("*").alias("_n"))
-    out = runs.select("run_id").join(per, "run_id", "left")
-    p, w, f = (F.coalesce(f"{x}_bucket", F.lit(0)) for x in ("pass", "warn", "fail"))
-    total = p + w + f
-    rate = F.try_divide(100 * (p + (w if name == "llms-txt-links-markdown" else F.lit(0))), total)
-    if name in RATES or name == "llms-txt-coverage":
-        high, low = RATES.get(name, o.coverage_limits)
-        some = (p + w > 0) if low == 0 else (T.js_round(rate) >= low)
-        verdict = order_of((T.js_round(rate) >= high, "pass"), (some, "warn"), otherwise="fail")
-    elif name == "section-header-quality":
-        worst = F.greatest(F.try_divide(f, total), F.try_divide(w, total))
-        verdict = order_of((worst > 0.5, "fail"), (worst > 0.25, "warn"), otherwise="pass")
-    elif name == "auth-gate-detection":
-        verdict = order_of((p == total, "pass"), (p > 0, "warn"), otherwise="fail")
-    elif name in ("llms-txt-directive-html", "llms-txt-directive-md"):
-        verdict = order_of((p + w == 0, "fail"), ((f > 0) | (p == 0), "warn"), otherwise="pass")
-    elif name == "llms-txt-valid":
-        verdict = order_of((p == total, "pass"), (p + w > 0, "warn"), otherwise="fail")
-    elif name == "http-status-codes":
-        verdict = order_of((f > 0, "fail"), otherwise="pass")
-    else:
-        verdict = c("_worst")
-    nothing = {"http-status-codes": "warn"}.get(name, "skip")
-    final = F.when(F.coalesce("_n", F.lit(0)) == 0, "skip").when(total == 0, nothing).otherwise(verdict)
-    message = F.format_string(f"{name}: %d passed, %d warned, %d failed", p.cast("long"), w.cast("long"), f.cast("long"))
-    return out.select(
-        "run_id", F.lit(name).alias("check_id"), F.lit(CHECKS[name][0]).alias("category"), final.alias("status"), p.cast("int").alias("pass_bucket"), w.cast("int").alias("warn_bucket"),
-        f.cast("int").alias("fail_bucket"), T.js_round(rate).cast("int").alias("rate"), message.alias("message"),
-    )
+# ------------------------------------------------------------------------------------------------ items of any check
+#: Checks over plain responses of pages: pages without one are items that failed to fetch.
+OVER_PAGES = ("llms-txt-directive-html", "rendering-strategy", "page-size-html", "page-size-transfer", "content-start-position", "tabbed-content-serialization", "embedded-data-serialization")
+ITEM = ("run_id", "check_id", "url", "status", "code", "error", "external", "near", "crossed", "details")
+
+
+def items(name: str, t: Tables, o: Options) -> DataFrame:
+    """The items of a check as (run_id, check_id, url, status, code, error, external, near, crossed, details), details in JSON."""
+    rows = REGISTRY[name](t, o)
+    kinds = {"code": "int", "error": "string", "external": "boolean", "near": "boolean", "crossed": "boolean"}
+    more = [x for x in rows.columns if x not in ITEM]
+    details = F.to_json(F.struct(*more)) if more else F.lit(None).cast("string")
+    have = lambda k: c(k).cast(kinds[k]) if k in rows.columns else F.lit(None).cast(kinds[k])
+    out = rows.select("run_id", F.lit(name).alias("check_id"), "url", "status", *[have(k).alias(k) for k in kinds], details.alias("details"))
+    if name in OVER_PAGES:
+        null = lambda k: F.lit(None).cast(k)
+        lost = t.failures().select("run_id", F.lit(name).alias("check_id"), "url", F.lit("error").alias("status"), "code", "error", *[null("boolean").alias(k) for k in ("external", "near", "crossed")], null("string").alias("details"))
+        out = out.unionByName(lost)
+    return out.select(*ITEM)
+
+
+def verdicts(name: str, rows: DataFrame, runs: DataFrame, o: Options) -> DataFrame:
+    """Verdicts of one check from its own rows (see REGISTRY): one row per run, skip where there is nothing to test."""
+    have = lambda k: c(k).cast("boolean") if k in rows.columns else F.lit(None).cast("boolean")
+    slim = rows.select("run_id", F.lit(name).alias("check_id"), "status", *[have(k).alias(k) for k in ("external", "near", "crossed")])
+    counts = runs.select("run_id", F.lit(name).alias("check_id")).join(rules.figures(slim), ["run_id", "check_id"], "left")
+    return rules.verdicts(counts, o)

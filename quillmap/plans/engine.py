@@ -1,47 +1,138 @@
-"""A whole audit: checks in order with their dependencies, scores, diagnostics and the report."""
+"""A whole audit: checks in order with their dependencies, scores, diagnostics and the report.
+
+Each check writes its items to the audit's folder, several checks at a time; from there on all checks and runs are one
+table, so that verdicts, scores and diagnostics are a few short plans whatever the number of checks.
+"""
 
 from __future__ import annotations
 
-import json
-from functools import reduce
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmap.dims import CHECKS, Options
-from quillmap.plans import dag, diagnostics, scoring
-from quillmap.plans.checks import REGISTRY, Tables, verdicts
-from quillmap.session import cut
-
-EMPTY_SYMPTOMS = "run_id string, page_key string, direction string"
-
-
-def audit(tables: Tables, options: Options = Options()) -> dict[str, DataFrame]:
-    """results, items, check_scores, scores, categories, diagnostics and (with tags) tag_scores of all runs."""
+from quillmap.functions import url as U
+from quillmap.operators import ledger as L
+from quillmap.plans import dag, diagnostics, rules, scoring
+from quillmap.plans.checks import ITEM, Tables, items
+from quillmap.session import cut, stored
+
+#: Checks that report rate-limited requests.
+LIMITED = (
+    "page-size-transfer", "page-size-html", "embedded-data-serialization", "llms-txt-links-markdown", "llms-txt-links-resolve", "markdown-url-support", "content-negotiation",
+)
+Progress = Callable[[dict], None]
+
+
+def audit(
+    tables: Tables, options: Options = Options(), warnings: DataFrame | None = None, progress: Progress | None = None, at_once: int = 6, context: str | None = None,
+) -> dict[str, DataFrame]:
+    """results, items, check_scores, scores, categories, diagnostics, tag_scores, requests and findings of all runs.
+
+    warnings: (run_id, warning) of discovery. progress: called with the state of each check as it begins and ends. The
+    results are tables of their own; tables.release() removes what was written on the way.
+    """
     if wrong := options.validate(pages=True):
         raise ValueError("; ".join(wrong))
     spark = tables.runs.sparkSession
+    tables.options = options
     chosen = [k for k in dag.order() if (not options.check_ids or k in options.check_ids) and k not in options.skip_check_ids]
-    items = {k: REGISTRY[k](tables, options) for k in chosen}
-    raw = reduce(DataFrame.unionByName, [verdicts(k, items[k], tables.runs, options) for k in chosen])
-    results = cut(gated(cut(raw)))
-    union = reduce(DataFrame.unionByName, [v.select("run_id", F.lit(k).alias("check_id"), "url", "status") for k, v in items.items()])
-    union = cut(union)
+    everything = _items(tables, options, chosen, progress or (lambda event: None), at_once)
+    counts = rules.figures(everything)
+    limited = everything.filter(F.col("check_id").isin(*LIMITED)).groupBy("run_id", "check_id").agg(F.count("*").cast("int").alias("tested"), F.count_if(F.col("code") == 429).cast("int").alias("limited"))
+    grid = tables.runs.select("run_id", F.explode(F.array(*map(F.lit, chosen))).alias("check_id"))
+    rows = rules.verdicts(grid.join(counts, ["run_id", "check_id"], "left").join(limited, ["run_id", "check_id"], "left"), options)
+    rows = gated(cut(rows))
+    results = rows.select(
+        "run_id", "check_id", rules.categories()[F.col("check_id")].alias("category"), "status", F.col("p").cast("int").alias("pass_bucket"), F.col("w").cast("int").alias("warn_bucket"), F.col("f").cast("int").alias("fail_bucket"),
+        "rate", F.col("e").cast("int").alias("fetch_errors"), "tested", F.col("limited").alias("rate_limited"), "ext", "ext_f", rules.message().alias("message"),
+    )
+    results = cut(results)
+    typed, requests = _typed(results, everything, tables, warnings)
+    runs = _runs(tables, options, requests)
+    findings = symptoms(everything)
+    found = cut(diagnostics.evaluate(typed, runs, findings))
+    scores = cut(scoring.check_scores(typed, everything, runs, scoring.dim_check(spark)))
+    out = {
+        "results": results, "items": everything, "check_scores": scores, "scores": scoring.overall(scores, runs, scoring.caps(scores, typed, found)), "categories": scoring.categories(scores),
+        "diagnostics": found, "findings": findings, "requests": requests, "runs": runs.withColumn("network_context", F.lit(context).cast("string")),
+    }
+    if "tag" in tables.pages.columns:
+        out["tag_scores"] = scoring.tag_scores(scores, everything, tables.pages.filter("tag is not null").select("run_id", "url", "tag"))
+    return out
+
+
+def _items(tables: Tables, options: Options, chosen: list[str], progress: Progress, at_once: int) -> DataFrame:
+    spark, place = tables.runs.sparkSession, tables.place()
+
+    def one(k: int, name: str) -> None:
+        progress({"event": "start", "check_id": name, "index": k, "total": len(chosen)})
+        stored(items(name, tables, options).drop("check_id"), f"{place}/items/check_id={name}")
+        progress({"event": "done", "check_id": name, "index": k, "total": len(chosen)})
+
+    tables.html(), tables.markdown(), tables.files(), tables.failures()  # several checks wait for these
+    with ThreadPoolExecutor(at_once) as pool:
+        for job in [pool.submit(one, k, name) for k, name in enumerate(chosen, 1)]:
+            job.result()
+    kinds = "run_id string, url string, status string, code int, error string, external boolean, near boolean, crossed boolean, details string, check_id string"
+    return spark.read.schema(kinds).parquet(f"{place}/items").select(*ITEM)
+
+
+def _typed(results: DataFrame, everything: DataFrame, tables: Tables, warnings: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """results with what scores and diagnostics read besides, and the request figures of the runs.
+
+    Requests and failures are the bot-protection check's own where it warned or failed, else the ledger's.
+    """
     null = lambda kind: F.lit(None).cast(kind)
-    typed = results.withColumns({"requests": null("int"), "failed": null("int"), "max_chars": null("int"), "tested": null("int"), "rate_limited": null("int"), "same_origin": null("int"), "cross_origin": null("int"), "gzipped_skipped": null("boolean")})
-    if "llms-txt-size" in items:
-        most = items["llms-txt-size"].groupBy("run_id").agg(F.max("characters").cast("int").alias("_chars"))
-        typed = typed.join(most, "run_id", "left").withColumn("max_chars", F.when(F.col("check_id") == "llms-txt-size", F.col("_chars"))).drop("_chars")
+    if tables.events is not None:
+        summary = L.summary(L.flags(tables.events)).select("run_id", F.col("requests").cast("int"), F.col("failed").cast("int"), "stalled_bodies", "challenge_pages", "fetch_errors", "failure_rate")
+        own = everything.filter("check_id = 'bot-protection-interference'").select("run_id", F.get_json_object("details", "$.failed").cast("int").alias("_f"), F.get_json_object("details", "$.requests").cast("int").alias("_r"), F.col("status").alias("_s"))
+        requests = summary.join(own, "run_id", "left")
+        flagged = F.coalesce(F.col("_s").isin("warn", "fail"), F.lit(False))
+        requests = requests.withColumn("failed", F.when(flagged, F.coalesce("_f", "failed")).otherwise(F.col("failed"))).withColumn("requests", F.when(flagged, F.coalesce("_r", "requests")).otherwise(F.col("requests"))).drop("_f", "_r", "_s")
+    else:
+        requests = tables.runs.select("run_id").limit(0).select("run_id", *[null("int").alias(x) for x in ("requests", "failed")], *[null("long").alias(x) for x in ("stalled_bodies", "challenge_pages", "fetch_errors", "failure_rate")])
+    chars = everything.filter("check_id = 'llms-txt-size'").groupBy("run_id").agg(F.max(F.get_json_object("details", "$.characters").cast("int")).alias("_chars"))
+    gz = warnings.filter("warning like 'skipped gzipped sitemap%'").select("run_id").distinct().withColumn("_gz", F.lit(True)) if warnings is not None else tables.runs.select("run_id").limit(0).withColumn("_gz", F.lit(True))
+    rows = results.join(requests.select("run_id", F.col("requests").alias("_requests"), F.col("failed").alias("_failed")), "run_id", "left").join(chars, "run_id", "left").join(gz, "run_id", "left")
+    only = lambda check, value, kind: F.when(F.col("check_id") == check, value).cast(kind)
+    inside = F.col("pass_bucket") + F.col("warn_bucket") + F.col("fail_bucket")
+    typed = rows.withColumns({
+        "requests": only("bot-protection-interference", F.col("_requests"), "int"), "failed": only("bot-protection-interference", F.col("_failed"), "int"), "max_chars": only("llms-txt-size", F.col("_chars"), "int"),
+        "same_origin": only("llms-txt-links-resolve", inside, "int"), "cross_origin": only("llms-txt-links-resolve", F.col("ext"), "int"), "gzipped_skipped": F.coalesce("_gz", F.lit(False)),
+    }).drop("_requests", "_failed", "_chars", "_gz", "ext", "ext_f", "fetch_errors", "message")
+    return cut(typed), cut(requests)
+
+
+def _runs(tables: Tables, options: Options, requests: DataFrame) -> DataFrame:
     tested = tables.pages.groupBy("run_id").agg(F.count("*").cast("int").alias("tested_pages"))
-    runs = tables.runs.select("run_id").join(tested, "run_id", "left").select("run_id", F.lit(options.sampling_strategy).alias("sampling_strategy"), F.coalesce("tested_pages", F.lit(0)).alias("tested_pages"), F.lit(0).alias("requests"), F.lit(0).alias("failed"))
-    symptoms = spark.createDataFrame([], EMPTY_SYMPTOMS)
-    found = diagnostics.evaluate(typed, runs, symptoms)
-    scores = scoring.check_scores(typed, union, runs, scoring.dim_check(spark))
-    scores = cut(scores)
-    return {
-        "results": results, "items": union, "check_scores": scores, "scores": scoring.overall(scores, runs, scoring.caps(scores, typed, found)),
-        "categories": scoring.categories(scores), "diagnostics": found,
-    }
+    rows = tables.runs.select("run_id").join(tested, "run_id", "left").join(requests.select("run_id", "requests", "failed"), "run_id", "left")
+    return cut(rows.select("run_id", F.lit(options.sampling_strategy).alias("sampling_strategy"), *[F.coalesce(x, F.lit(0)).alias(x) for x in ("tested_pages", "requests", "failed")]))
+
+
+def symptoms(everything: DataFrame) -> DataFrame:
+    """(run_id, page_key, direction, evidence): what checks saw of dynamic pages that became static ones."""
+    get = lambda k: F.get_json_object("details", f"$.{k}")
+    flagged = F.col("status").isin("warn", "fail")
+    check = F.col("check_id")
+    counts, twice = get("items.diverges") == "true", get("items.duplicates").cast("int") > 0
+    differs = F.coalesce(counts | twice, F.lit(False))
+    direction = (
+        F.when((check == "embedded-data-serialization") & flagged, "too much").when((check == "single-fetch-completeness") & flagged, "too little")
+        .when((check == "markdown-content-parity") & (flagged | differs), "inconsistent").when((check == "markdown-link-portability") & flagged, "unnavigable")
+    )
+    evidence = (
+        F.when(check == "embedded-data-serialization", F.concat(F.lit("generated data is "), get("share"), F.lit(" % of the converted content")))
+        .when(check == "single-fetch-completeness", "the Markdown is one part of several")
+        .when(F.coalesce(counts, F.lit(False)), F.concat(F.lit("the HTML shows "), get("items.html"), F.lit(" items, the Markdown "), get("items.distinct"), F.coalesce(F.concat(F.lit(" (likely "), get("items.cause"), F.lit(")")), F.lit(""))))
+        .when(F.coalesce(twice, F.lit(False)), F.concat(F.lit("the Markdown lists "), get("items.markdown"), F.lit(" entries, of which "), get("items.distinct"), F.lit(" differ")))
+        .when(check == "markdown-content-parity", F.concat(get("missing"), F.lit(" of "), get("segments"), F.lit(" passages of the HTML are missing")))
+        .otherwise("links need the page's place to resolve")
+    )
+    rows = everything.withColumn("direction", direction).withColumn("evidence", evidence).filter("direction is not null")
+    return rows.groupBy("run_id", U.page_key(F.col("url")).alias("page_key"), "direction").agg(F.min("evidence").alias("evidence"))
 
 
 def gated(results: DataFrame) -> DataFrame:
@@ -51,59 +142,3 @@ def gated(results: DataFrame) -> DataFrame:
         mine = F.col("check_id").isin(level)
         results = results.join(skipped, ["run_id", "check_id"], "left").withColumn("status", F.when(mine & F.col("_skip"), "skip").otherwise(F.col("status"))).drop("_skip")
     return results
-
-
-RESOLUTIONS = {
-    "llms-txt-exists": "Publish an llms.txt at the documentation root.", "llms-txt-valid": "Start llms.txt with one H1, a quoted summary and linked sections.",
-    "llms-txt-size": "Split llms.txt into indexes that fit one fetch.", "llms-txt-links-resolve": "Repair or remove the broken links of llms.txt.",
-    "llms-txt-links-markdown": "Link the Markdown form of pages from llms.txt.", "llms-txt-directive-html": "Point to llms.txt near the top of each page.",
-    "llms-txt-directive-md": "Point to llms.txt near the top of each Markdown page.", "markdown-url-support": "Serve each page as Markdown at its .md URL.",
-    "content-negotiation": "Answer Accept: text/markdown with Markdown and its content type.", "rendering-strategy": "Render content on the server.",
-    "page-size-markdown": "Split long Markdown pages.", "page-size-html": "Split long pages or trim their boilerplate.", "page-size-transfer": "Serve less script and inline data with each page.",
-    "content-start-position": "Move the content before navigation and scripts.", "single-fetch-completeness": "Declare the next part of paginated pages early, with an absolute URL.",
-    "tabbed-content-serialization": "Split pages whose tabs serialise to too much text.", "section-header-quality": "Name the variant in the headings of tab panels.",
-    "markdown-code-fence-validity": "Close every code fence.", "markdown-link-portability": "Use absolute links in Markdown.", "embedded-data-serialization": "Move large tables and data into files of their own.",
-    "http-status-codes": "Answer missing pages with 404.", "redirect-behavior": "Redirect with HTTP status codes, within the site.", "llms-txt-coverage": "List all pages of the sitemap in llms.txt.",
-    "markdown-content-parity": "Generate Markdown and HTML from one source.", "cache-header-hygiene": "Send validators, or an age of an hour at most.", "auth-gate-detection": "Serve documentation without a login.",
-    "auth-alternative-access": "Offer a public copy of gated documentation.", "bot-protection-interference": "Let documentation agents through bot protection.",
-}
-
-
-def resolution(check_id: str, status: str) -> str | None:
-    return RESOLUTIONS[check_id] if status in ("warn", "fail") else None
-
-
-def json_report(out: dict[str, DataFrame]) -> DataFrame:
-    """(run_id, report): one JSON document per run."""
-    results = out["results"].groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("check_id", "category", "status", "message", "pass_bucket", "warn_bucket", "fail_bucket"))).alias("results"))
-    cats = out["categories"].groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("category", "score", "grade"))).alias("categories"))
-    found = out["diagnostics"].groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("position", "diagnostic", "severity"))).alias("diagnostics"))
-    counts = out["results"].groupBy("run_id").pivot("status", ["pass", "warn", "fail", "skip", "error"]).count().na.fill(0)
-    rows = out["scores"].join(results, "run_id", "left").join(cats, "run_id", "left").join(found, "run_id", "left").join(counts, "run_id", "left")
-    return rows.select("run_id", F.to_json(F.struct(*[c for c in rows.columns if c != "run_id"])).alias("report"))
-
-
-def text_report(report: str, fixes: bool = False) -> str:
-    """A report document as text, by category."""
-    r = json.loads(report)
-    lines = [f"Score {r['score']} ({r['grade']})" + (f", capped at {r['cap']} by {r['cap_cause']}" if r.get("cap") is not None else "")]
-    for cat in sorted({x["category"] for x in r["results"]}):
-        lines.append(f"\n{cat}")
-        for x in r["results"]:
-            if x["category"] == cat:
-                lines.append(f"  [{x['status']}] {x['message']}")
-                if fixes and (fix := resolution(x["check_id"], x["status"])):
-                    lines.append(f"      fix: {fix}")
-    lines += [f"\n{d['severity']}: {d['diagnostic']}" for d in r.get("diagnostics") or []]
-    return "\n".join(lines)
-
-
-def scorecard(report: str) -> str:
-    r = json.loads(report)
-    rows = [f"{x['category']:26} {'-' if x.get('score') is None else x['score']:>4} {x.get('grade') or ''}" for x in r.get("categories") or []]
-    return "\n".join([f"{'overall':26} {r['score']:>4} {r['grade']}", *rows])
-
-
-def exit_status(results: DataFrame) -> int:
-    """1 if any check failed."""
-    return int(not results.filter("status = 'fail'").isEmpty())

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmap.dims import Options
 from quillmap.functions import url as U
 from quillmap.operators import locales, page_ops
+from quillmap.session import cut
 from quillmap.sources import indexes
 from quillmap.sources.capture import variant
 
@@ -114,28 +115,29 @@ def discover(runs: DataFrame, capture: DataFrame, files: DataFrame, options: Opt
     def refined(urls: DataFrame) -> DataFrame:
         return page_ops.version_dedupe_runs(locales.one_locale(urls, locale), version)
 
+    # lists that later steps read several times are cut: unfolded, their plans would multiply
     walked = indexes.walk_indexes(files, capture)["pages"]
-    listed = _ranked(walked, ["ordinal"], "original_md")
+    listed = cut(_ranked(walked, ["ordinal"], "original_md"))
     scoped = in_scopes(listed, where)
-    first = refined(scoped.select("run_id", "ordinal", "url"))
+    first = cut(refined(scoped.select("run_id", "ordinal", "url")))
     counts = runs.select("run_id").join(first.groupBy("run_id").agg(F.count("*").alias("_n")), "run_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     full = first.join(counts.filter(c("_n") >= options.max_links).select("run_id"), "run_id", "left_semi")
 
     short = runs.join(counts.filter(c("_n") < options.max_links).select("run_id"), "run_id", "left_semi")
     roots = sitemap_roots(short, capture)
     maps = indexes.walk_sitemaps(capture, roots, most=20 * MOST_PAGES, wanted=locale)
-    maps = _ranked(in_scopes(maps, where), ["ordinal"])
+    maps = cut(_ranked(in_scopes(maps, where), ["ordinal"]))
     pool = scoped.join(short.select("run_id"), "run_id", "left_semi").select("run_id", F.lit(0).alias("_source"), "ordinal", "url").unionByName(maps.select("run_id", F.lit(1).alias("_source"), "ordinal", "url"))
     # the first list's rows before the second's, each URL once
     merged = pool.groupBy("run_id", "url").agg(F.min(F.struct("_source", "ordinal")).alias("_m")).select("run_id", "url", "_m._source", "_m.ordinal")
     merged = _ranked(merged, ["_source", "ordinal"], "_source")
     # a run without a page of its own list has the sitemap alone
     own = first.select("run_id").distinct().withColumn("_own", F.lit(True))
-    merged = merged.join(own, "run_id", "left").filter((c("_source") == 1) | c("_own"))
+    merged = cut(merged.join(own, "run_id", "left").filter((c("_source") == 1) | c("_own")))
     kept = refined(merged.select("run_id", "ordinal", "url")).join(merged.select("run_id", "url", "_source"), ["run_id", "url"])
     added = F.sum("_source").over(Window.partitionBy("run_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     thin = kept.withColumn("_added", added).filter((c("_source") == 0) | (c("_added") <= MOST_PAGES)).select("run_id", "ordinal", "url")
-    found = full.select("run_id", "ordinal", "url").unionByName(thin)
+    found = cut(full.select("run_id", "ordinal", "url").unionByName(thin))
     bare = runs.join(found.select("run_id").distinct(), "run_id", "left_anti").select("run_id", F.lit(1).cast("long").alias("ordinal"), c("base_url").alias("url"))
     urls = found.unionByName(bare).join(listed.select("run_id", "url", "original_md"), ["run_id", "url"], "left")
 

@@ -2,14 +2,15 @@
 
 import datetime
 import json
+import time
 
 import pytest
 
 from quillmap.dims import CHECKS, Options
-from quillmap.plans import dag, engine
+from quillmap.plans import dag, engine, reports
 from quillmap.plans.checks import REGISTRY, Tables, missing_url
 from quillmap.sources import capture as C
-from quillmap.sources import config, indexes
+from quillmap.sources import config, discovery, indexes
 from pyspark.sql import functions as F
 
 NOW = datetime.datetime(2026, 1, 1)
@@ -48,26 +49,66 @@ def site(spark):
 
 
 def test_whole_audit(spark, site):
+    """All 28 checks of two sites: a good one, and one that is a shell without an index."""
     assert set(REGISTRY) == set(CHECKS)
-    # a few checks of each kind: all 28 at once are one plan of several minutes on a small machine
-    chosen = ("llms-txt-exists", "llms-txt-valid", "llms-txt-links-resolve", "markdown-url-support", "content-negotiation", "rendering-strategy", "page-size-html", "page-size-markdown",
-              "http-status-codes", "llms-txt-coverage", "markdown-link-portability", "auth-gate-detection")
-    out = engine.audit(site, Options(check_ids=chosen))
+    seen = []
+    began = time.monotonic()
+    events = C.ledger(site.capture)
+    tables = Tables(site.runs, site.pages.withColumn("tag", F.when(F.col("ordinal") < 3, "first")), site.capture, events, site.sitemap)
+    out = engine.audit(tables, Options(), progress=seen.append, context="ci")
     status = {(r["run_id"], r["check_id"]): r["status"] for r in out["results"].collect()}
-    good = [k for k in chosen if k != "llms-txt-coverage"]
-    # the directive's link to /llms.txt is root-relative
-    assert {k: status[("r", k)] for k in good} == {k: "pass" for k in good} | {"markdown-link-portability": "warn"}
-    assert status[("r", "llms-txt-coverage")] == "warn"  # 6 of 7 pages of the sitemap
+    assert len(status) == 56 and len(seen) == 56 and time.monotonic() - began < 120
+    good = {k: status[("r", k)] for k in CHECKS}
+    # the directive's link to /llms.txt is root-relative; six of seven pages of the sitemap are listed; no tabs
+    want = {k: "pass" for k in CHECKS} | {"markdown-link-portability": "warn", "llms-txt-coverage": "warn", "section-header-quality": "skip", "auth-alternative-access": "skip"}
+    assert good == want
     assert status[("s", "llms-txt-exists")] == "fail" and status[("s", "rendering-strategy")] == "fail"
     assert status[("s", "llms-txt-valid")] == "skip" and status[("s", "page-size-markdown")] == "skip"
     scores = {r["run_id"]: r for r in out["scores"].collect()}
     assert scores["r"]["score"] >= 90 and scores["r"]["grade"] in ("A", "A+")
     assert scores["s"]["score"] <= 39 and scores["s"]["grade"] == "F"
-    report = {r["run_id"]: r["report"] for r in engine.json_report(out).collect()}
-    assert json.loads(report["r"])["score"] == scores["r"]["score"]
-    assert "llms-txt-exists" in engine.text_report(report["s"], fixes=True) and "fix:" in engine.text_report(report["s"], fixes=True)
-    assert engine.scorecard(report["r"]).startswith("overall")
-    assert engine.exit_status(out["results"]) == 1
+    assert [(r["run_id"], r["tag"], r["pages"]) for r in out["tag_scores"].collect() if r["run_id"] == "r"] == [("r", "first", 3)]
+    report = {r["run_id"]: r["report"] for r in reports.json_report(out).collect()}
+    assert json.loads(report["r"])["score"] == scores["r"]["score"] and json.loads(report["r"])["tag_scores"][0]["tag"] == "first"
+    text = reports.text_report(report["s"], fixes=True, verbose=True)
+    assert "llms-txt-exists: no llms.txt file was found" in text and "fix:" in text and "a CI system" in text and "single-page-sample" in text
+    assert "root-relative link" in reports.text_report(report["r"], verbose=True)
+    assert reports.scorecard(report["r"]).startswith("overall") and "#first" in reports.scorecard(report["r"])
+    assert reports.exit_status(out["results"]) == 1
+    for _, check, verdict, message in reports.cases(out["results"].filter("run_id = 'r'")):
+        reports.expect(verdict, message)
+    with pytest.raises(AssertionError):
+        reports.expect("fail", "x")
+    tables.release()
+
+
+def test_diagnostics_reach_the_audit(spark):
+    """A site with flattened dynamic pages, rate limits, a gzipped sitemap, foreign links and bot protection."""
+    base = "https://d.io"
+    rows = [row(f"{base}/llms.txt", "# D\n\n" + "\n".join(f"- [x{k}](https://other.io/x{k})" for k in range(4)), kind="text/plain")]
+    table = "| a | b |\n| - | - |\n" + "| value | other |\n" * 9000
+    for k in range(6):
+        url = f"{base}/p{k}"
+        html = "<html><body><main><h1>T</h1><table>" + "<tr><th>a</th><th>b</th></tr>" + "<tr><td>value</td><td>other</td></tr>" * 9000 + "</table></main></body></html>"
+        rows += [row(url, html, status=429 if k > 2 else 200), row(f"{url}.md", f"# T\n\n{table}\n[next page](?page=2) [rel](a.md)\n", kind="text/markdown", status=429 if k > 3 else 200)]
+    rows += [row(f"{base}/robots.txt", f"Sitemap: {base}/s.xml.gz\n", kind="text/plain")]
+    rows += [row(f"{base}/blocked{k}", "<html><title>Just a moment...</title></html>", status=403) for k in range(30)]
+    capture = spark.createDataFrame([(*r[:-1], NOW + datetime.timedelta(seconds=i)) for i, r in enumerate(rows)], C.SCHEMA)
+    runs = spark.createDataFrame([("r", base)], "run_id string, base_url string")
+    pages = spark.createDataFrame([("r", k, f"{base}/p{k}", None) for k in range(6)], "run_id string, ordinal long, url string, original_md string")
+    files = indexes.llms_txt_files(runs, capture)
+    found = discovery.discover(runs, capture, files)
+    assert [r["warning"] for r in found.warnings.collect()] == [f"skipped gzipped sitemap {base}/s.xml.gz"]
+    tables = Tables(runs, pages, capture, C.ledger(capture))
+    out = engine.audit(tables, Options(), found.warnings)
+    told = {r["diagnostic"] for r in out["diagnostics"].collect()}
+    assert {"dynamic-content-rendered-statically", "bot-protection-scan-reliability", "cross-origin-llms-txt", "gzipped-sitemap-skipped", "rate-limiting-severe"} <= told
+    results = {r["check_id"]: r for r in out["results"].collect()}
+    assert results["page-size-html"]["rate_limited"] == 3 and results["page-size-html"]["fetch_errors"] == 3 and results["bot-protection-interference"]["status"] == "fail"
+    assert "3 failed to fetch; 3 were rate-limited" in results["page-size-html"]["message"]
+    directions = {r["direction"] for r in out["findings"].filter(F.col("page_key").contains("/p0")).collect()}
+    assert directions == {"too much", "too little", "unnavigable"}
+    tables.release()
 
 
 @pytest.mark.parametrize("name", ["llms-txt-size", "llms-txt-links-markdown", "llms-txt-directive-html", "llms-txt-directive-md", "page-size-transfer", "content-start-position", "single-fetch-completeness",
