@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from quillmap.plans import parsed  # noqa: F401  registers the queries of parsers
+    from quillmap.plans import audited, parsed  # noqa: F401  register the queries of parsers and of audits
 
     return dict(QUERIES)
 
@@ -190,28 +190,35 @@ def sample_stride(spark, d):
     return P.sample_stride(table(spark, d, "pages"), 40)
 
 
-@query("sample_backfill")
+@query("sample_backfill", """WITH RECURSIVE r AS (SELECT 'r' || (page_id % 4) AS run_id, page_id AS ordinal, url, page_id % 3 <> 0 AS present, row_number() OVER w AS rn,
+count(*) FILTER (page_id % 3 <> 0) OVER w AS found, count(*) OVER (PARTITION BY page_id % 4) AS n FROM pages WINDOW w AS (PARTITION BY page_id % 4 ORDER BY page_id)),
+s(run_id, pos, kept) AS (SELECT DISTINCT run_id, 0::BIGINT, 0::BIGINT FROM r UNION ALL
+SELECT s.run_id, s.pos + 10 - s.kept, r.found FROM s JOIN r ON r.run_id = s.run_id AND r.rn = least(s.pos + 10 - s.kept, r.n) WHERE s.kept < 10 AND s.pos < least(r.n, 20))
+SELECT r.run_id, r.ordinal, r.url FROM r JOIN (SELECT run_id, max(pos) AS pos FROM s GROUP BY run_id) AS e ON e.run_id = r.run_id WHERE present AND rn <= e.pos""")
 def sample_backfill(spark, d):
     rows = table(spark, d, "pages").select(
         F.concat(F.lit("r"), (F.col("page_id") % 4).cast("string")).alias("run_id"), F.col("page_id").alias("ordinal"), "url", (F.col("page_id") % 3 != 0).alias("present"))
     return P.backfill(rows, 10)
 
 
-@query("url_union_first_wins", """WITH a AS (SELECT url, 0 AS source, page_id AS ordinal FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT url, 1, page_id FROM pages WHERE page_id % 2 = 0)
+@query("url_union_first_wins", r"""WITH a AS (SELECT regexp_replace(url, '[?#].*$', '') AS url, 0 AS source, page_id AS ordinal FROM pages UNION ALL SELECT url, 1, page_id FROM pages)
 SELECT url, source, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source, ordinal) AS rn FROM a) WHERE rn = 1""")
 def url_union_first_wins(spark, d):
     pages = table(spark, d, "pages").select("url", F.col("page_id").alias("ordinal"))
-    return P.merge_first_wins(pages.filter("ordinal % 3 = 0"), pages.filter("ordinal % 2 = 0"))
+    return P.merge_first_wins(pages.withColumn("url", F.regexp_replace("url", "[?#].*$", "")), pages)
 
 
 # ------------------------------------------------------------------------------------------------ coverage
-SITES = rf"""{PARTS}, {NORMAL}, s AS (SELECT DISTINCT norm FROM n WHERE NOT regexp_matches(norm, '^/({"|".join(U.NON_DOC)})(/|$)')), x AS (SELECT DISTINCT norm FROM n WHERE page_id % 5 <> 0),
+SITES = rf"""{PARTS}, {NORMAL}, s AS (SELECT DISTINCT norm FROM n WHERE NOT regexp_matches(norm, '^/({"|".join(U.NON_DOC)})(/|$)')), x AS (SELECT DISTINCT CASE WHEN scheme = 'https' THEN norm ELSE regexp_replace(norm, '/[^/]*$', '/overview') END AS norm FROM n),
 miss AS (SELECT norm FROM s WHERE norm NOT IN (SELECT norm FROM x))"""
 
 
 def _coverage(spark, d):
     pages = table(spark, d, "pages")
-    return P.coverage(pages.filter("page_id % 5 <> 0"), pages, ["/de/"])
+    # the index has the secure pages themselves, and an overview in place of the others
+    overview = F.concat(U.origin(F.col("url")), F.regexp_replace(U.coverage_path(F.col("url")), "/[^/]*$", "/overview"))
+    index = pages.withColumn("url", F.when(U.scheme(F.col("url")) == "https", F.col("url")).otherwise(overview))
+    return P.coverage(index, pages, ["/de/"])
 
 
 @query("coverage_missing", f"WITH {SITES} SELECT norm AS path FROM miss WHERE NOT starts_with(norm, '/de/')")
@@ -406,7 +413,12 @@ def ledger_onset(spark, d):
     return L.onset(_ledger(spark, d)).withColumn("onset", F.col("onset").cast("long"))
 
 
-@query("ledger_verdict")
+@query("ledger_verdict", f"""WITH {LEDGER}, t AS (SELECT *, n // 3 AS third FROM e),
+a AS (SELECT run_id, count(*) AS requests, count(*) FILTER (failed) AS failed, max(third) AS third, count(*) FILTER (failed AND rn <= third) AS early, count(*) FILTER (failed AND rn > n - third) AS late, min(rn) FILTER (failed AND rn > third) AS onset FROM t GROUP BY run_id),
+b AS (SELECT a.run_id, count(*) AS post_requests, count(*) FILTER (e.failed) AS post_failures FROM e JOIN a USING (run_id) WHERE rn >= onset GROUP BY a.run_id),
+c AS (SELECT a.*, post_requests, post_failures, requests >= 6 AND late >= 2 AND late / third >= 0.2 AND late / third >= 3 * (early / third) AS correlated FROM a LEFT JOIN b USING (run_id))
+SELECT run_id, requests, 0::BIGINT AS stalled_bodies, 0::BIGINT AS challenge_pages, failed AS fetch_errors, failed, floor(100.0 * failed / requests + 0.5)::BIGINT AS failure_rate, 0::BIGINT AS interference_events, correlated, onset, post_requests, post_failures,
+requests < 50 AS limited_evidence, CASE WHEN NOT correlated THEN 'pass' WHEN failed >= 5 AND 2 * failed >= requests OR coalesce(post_requests >= 10 AND post_failures >= 5 AND 2 * post_failures >= post_requests, false) THEN 'fail' ELSE 'warn' END AS status FROM c""")
 def ledger_verdict(spark, d):
     return L.verdict(_ledger(spark, d).drop("failed", "interference", "denied", "rate_limited"))
 
