@@ -121,10 +121,21 @@ def normal_segment(text: Column) -> Column:
 
 
 def segments(text: Column, least: int = 20) -> Column:
-    """Distinct normal forms of the lines of `least` characters or more that are content, in order."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    lines = F.filter(lines, lambda x: (F.length(x) >= least) & ~F.lower(x).rlike(NOISE))
-    return F.array_distinct(F.transform(lines, normal_segment))
+    """Distinct normal forms of the lines of `least` characters or more that are content, in order.
+
+    The normal form (see normal_segment) is made of the whole text at once, line breaks apart, so that only its choice of
+    lines is made line by line.
+    """
+    blank = r"[ \t\x0B\f\r]"
+    edges = rf"(?md)^{blank}+|{blank}+$"
+    raw = F.regexp_replace(text, edges, "")
+    norm = F.translate(F.translate(raw, INVISIBLE, ""), QUOTES_DASHES, PLAIN)
+    norm = F.regexp_replace(F.replace(norm, F.lit("…"), F.lit("...")), "-{2,}", "-")
+    norm = F.lower(F.replace(F.regexp_replace(norm, r"<([^>\n]+)>", "$1"), F.lit("`"), F.lit("")))
+    norm = F.regexp_replace(F.regexp_replace(norm, rf"{blank}+", " "), r"(?md)^ | $", "")
+    norm = F.regexp_replace(norm, r"(?md)^([-*+]|[0-9]+\.) +", "")
+    content = lambda x: (F.length(x) >= least) & ~F.lower(x).rlike(NOISE)
+    return F.array_distinct(F.filter(F.zip_with(F.split(raw, "\n"), F.split(norm, "\n"), lambda r, x: F.when(content(r), x)), lambda x: x.isNotNull()))
 
 
 def cache_directives(header: Column) -> Column:

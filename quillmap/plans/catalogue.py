@@ -48,6 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores where the scan has fewer splits than there are (small files); larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def literal(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {sql} AS f")
 
@@ -337,14 +343,14 @@ def doc_normalise(spark, d):
 
 @query("doc_segments", f"SELECT doc_id, len({_segments('text')})::BIGINT AS segments FROM documents")
 def doc_segments(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(T.segments(F.col("text"))).cast("long").alias("segments"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(T.segments(F.col("text"))).cast("long").alias("segments"))
 
 
 @query("doc_parity_missing", f"""WITH p AS (SELECT a.doc_id, {_segments('a.text')} AS segs, {_norm('b.text')} AS md FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
 c AS (SELECT doc_id, len(segs) AS n, len(list_filter(segs, lambda s: NOT contains(md, s))) AS missing FROM p)
 SELECT doc_id, n::BIGINT AS segments, missing::BIGINT AS missing, CASE WHEN n < 10 THEN 'pass' WHEN floor(100.0 * missing / n + 0.5) >= 20 THEN 'fail' WHEN floor(100.0 * missing / n + 0.5) >= 5 THEN 'warn' ELSE 'pass' END AS status FROM c""")
 def doc_parity_missing(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), T.normal_segment(F.col("text")).alias("md"))
     rows = docs.select("doc_id", T.segments(F.col("text")).alias("segs")).join(other, "doc_id")
     n, missing = F.size("segs"), F.size(F.filter("segs", lambda s: ~F.contains(F.col("md"), s)))
