@@ -7,7 +7,8 @@ keeps less than `min_left` of its word characters is depleted and rejected. Dupl
 line for the count, and all of them go. `cleaned_text` is the text without them; the figures are those of the text as
 it came.
 
-Distribution. The distinct count runs in two levels, so that a line in a third of all documents is summed from partial
+Distribution. Texts are read twice: for the hashes of their lines, which are written as a table, and for their figures.
+The distinct count runs in two levels, so that a line in a third of all documents is summed from partial
 counts. Only rows of frequent lines reach the last aggregate, which is by document. All of it is built-in column
 expressions; repeated windows are found by sorting the window hashes of the documents that have any.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, words
+from .common import SPACE, documents, words, written
 
 WINDOW = 8
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -53,7 +54,7 @@ def base_rules(df: DataFrame, text: str) -> DataFrame:
     size = F.size("_hashed")
     windows = F.when(
         size >= WINDOW,
-        F.transform(F.sequence(F.lit(1), size - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_hashed", i, WINDOW))),
+        F.transform(F.sequence(F.lit(0), size - WINDOW), lambda i: F.xxhash64(*[F.get("_hashed", i + k) for k in range(WINDOW)])),
     )
     df = df.withColumn("_windows", windows)
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
@@ -82,10 +83,11 @@ def line_frequency(df: DataFrame, id_col: str, text_col: str, host_col: str, max
     raw = F.coalesce(named(text_col), F.lit(""))
     slim = df.select(named(id_col).alias("_id"), named(host_col).alias("_host"), F.xxhash64(raw).alias("_text_hash"), raw.alias("_text"))
     lines = F.filter(F.transform(F.split("_text", "\n"), _normal), lambda x: x != "")
-    each = slim.select("_id", "_host", "_text_hash", F.posexplode(lines).alias("_at", "_line")).select(
-        "_id", "_host", "_text_hash", "_at", F.xxhash64("_line").alias("_line_hash"), F.length(F.replace("_line", F.lit(" "), F.lit(""))).cast("long").alias("_chars"),
-    )
-    hosts = slim.groupBy("_host").agg(F.count_distinct("_text_hash").alias("_documents"))
+    marks = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("_line_hash"), F.length(F.replace(x, F.lit(" "), F.lit(""))).cast("long").alias("_chars")))
+    # hashes of lines are made once; what follows reads this table, not the texts
+    lined = written(slim.select("_id", "_host", "_text_hash", marks.alias("_lines")), "lines")
+    each = lined.select("_id", "_host", "_text_hash", F.posexplode("_lines").alias("_at", "_line")).select("_id", "_host", "_text_hash", "_at", "_line.*")
+    hosts = lined.groupBy("_host").agg(F.count_distinct("_text_hash").alias("_documents"))
     counts = each.groupBy("_host", "_line_hash", "_text_hash").agg(F.lit(1)).groupBy("_host", "_line_hash").agg(F.count("*").alias("_in"))
     # a line over the limit is in more than max_share of its host's documents, so few are: hosts x words of a document
     frequent = (
