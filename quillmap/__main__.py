@@ -1,4 +1,5 @@
-"""python -m quillmap CAPTURE BASE_URL [--format json|text|scorecard] [--fixes] [--verbose] [--config FILE]: audit a recorded capture."""
+"""python -m quillmap CAPTURE BASE_URL [--record] [--format json|text|scorecard] [--fixes] [--verbose] [--config FILE]: audit a
+recorded capture; with --record, fetch what it lacks first."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ import argparse
 import sys
 from dataclasses import replace
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from quillmap.plans import engine, reports
 from quillmap.plans.checks import Tables
 from quillmap.session import session
 from quillmap.sources import capture as C
-from quillmap.sources import discovery, indexes
+from quillmap.sources import crawl, discovery, indexes
 from quillmap.sources.config import find_config, load_config, network_context
 
 
@@ -30,6 +32,7 @@ def main(argv: list[str]) -> int:
     parser.add_argument("--checks", default="")
     parser.add_argument("--skip-checks", default="")
     parser.add_argument("--urls", default="", help="pages to test instead of discovered ones")
+    parser.add_argument("--record", action="store_true", help="fetch what the capture lacks")
     parser.add_argument("--sampling", choices=["random", "deterministic", "curated", "none"])
     args = parser.parse_args(argv)
     path = args.config or find_config(Path.cwd())
@@ -48,15 +51,20 @@ def main(argv: list[str]) -> int:
         print(f"{name} is both asked for and skipped: it is skipped", file=sys.stderr)
     spark = session()
     base = spark.range(1).select(U.canonical_base(U.with_scheme(F.lit(url))).alias("u")).first()["u"]
+    each = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(p["url"]).alias("url"), F.lit(p["tag"]).cast("string").alias("tag")) for k, p in enumerate(listed)]) if listed else None
+    pages_of = lambda runs: runs.select("run_id", F.inline(each)) if listed else None
+    if args.record:
+        port = urlsplit(base).port
+        if port is not None and str(port) in C.BLOCKED_PORTS.split():
+            print(C.blocked_port_message(port), file=sys.stderr)
+            return 2
+        one = spark.createDataFrame([("run", base)], "run_id string, base_url string")
+        crawl.record(spark, one, args.capture, options, pages_of(one))
     captured = C.read_capture(spark, args.capture, options.canonical_origin, base)
     runs = captured.select("run_id").distinct().withColumn("base_url", F.lit(base))
     files = indexes.llms_txt_files(runs, captured, options.llms_txt_url)
     runs = discovery.with_effective_origin(runs, files)
-    curated = None
-    if listed:
-        each = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(p["url"]).alias("url"), F.lit(p["tag"]).cast("string").alias("tag")) for k, p in enumerate(listed)])
-        curated = runs.select("run_id", F.inline(each))
-    pages, found = discovery.sampled_pages(runs, captured, files, options, curated)
+    pages, found = discovery.sampled_pages(runs, captured, files, options, pages_of(runs))
     tables = Tables(runs, pages, captured, C.ledger(captured), options=options)
     tables.pages = tables.once("pages", lambda: pages)
     tables.events = tables.once("events", lambda: tables.events)

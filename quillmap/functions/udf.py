@@ -6,6 +6,7 @@ Null bodies count as empty. Rows are independent, so these run where the scan pu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -95,6 +96,22 @@ def links(body: Column, base: Column) -> Column:
     return run(body, base)
 
 
+def resolved(url: Column, base: Column) -> Column:
+    """url against base; null where it cannot be."""
+
+    @F.pandas_udf("string")
+    def run(url: pd.Series, base: pd.Series) -> pd.Series:
+        def one(x, y):
+            try:
+                return urljoin(y or "", x or "") or None
+            except ValueError:
+                return None
+
+        return pd.Series([one(x, y) for x, y in zip(url, base)], dtype=object)
+
+    return run(url, base)
+
+
 def pagination(body: Column, base: Column, header: Column | None = None) -> Column:
     @F.pandas_udf(WINDOWS)
     def run(body: pd.Series, base: pd.Series, header: pd.Series) -> pd.DataFrame:

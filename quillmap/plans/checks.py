@@ -96,25 +96,26 @@ class Tables:
         return self.once("sites", lambda: D.with_effective_origin(self.runs, self.files()))
 
     def markdown(self) -> DataFrame:
-        """Pages with their Markdown: the first candidate URL that serves it, else the negotiated response."""
-
-        def make() -> DataFrame:
-            pages = self.pages.select("run_id", "ordinal", "url", "original_md")
-            none = F.array().cast("array<string>")
-            told = F.when(c("original_md").isNotNull(), F.array("original_md")).otherwise(none)
-            parent = U.parent_markdown(c("url"), c("original_md"))
-            urls = F.array_distinct(F.concat(told, F.when(parent.isNotNull(), F.array(parent)).otherwise(none), U.markdown_candidates(c("url"))))
-            tries = pages.select("run_id", "ordinal", "url", F.posexplode(urls).alias("rank", "md_url"))
-            got = variant(self.capture).filter("status = 200").select("run_id", c("url").alias("md_url"), "body", "headers")
-            direct = tries.join(got, ["run_id", "md_url"]).filter(is_markdown_response()).select("run_id", "ordinal", "url", "rank", "md_url", "body", F.lit("md-url").alias("source"))
-            asked = variant(self.capture, accept="text/markdown").filter("status = 200").select("run_id", "url", "body", "headers")
-            asked = pages.join(asked, ["run_id", "url"]).filter(is_markdown_response() & ~T.soft_404(c("body")))
-            asked = asked.select("run_id", "ordinal", "url", F.lit(99).alias("rank"), c("url").alias("md_url"), "body", F.lit("negotiated").alias("source"))
-            both = direct.unionByName(asked)
-            best = both.groupBy("run_id", "url").agg(F.min_by(F.struct("ordinal", "md_url", "body", "source"), "rank").alias("b"))
-            return best.select("run_id", "url", "b.*")
-
-        return self.once("markdown", make)
+        """Pages with their Markdown."""
+        return self.once("markdown", lambda: markdown_pages(self))
+
+
+def markdown_pages(t: Tables) -> DataFrame:
+    """Pages with their Markdown: the first candidate URL that serves it, else the negotiated response."""
+    pages = t.pages.select("run_id", "ordinal", "url", "original_md")
+    none = F.array().cast("array<string>")
+    told = F.when(c("original_md").isNotNull(), F.array("original_md")).otherwise(none)
+    parent = U.parent_markdown(c("url"), c("original_md"))
+    urls = F.array_distinct(F.concat(told, F.when(parent.isNotNull(), F.array(parent)).otherwise(none), U.markdown_candidates(c("url"))))
+    tries = pages.select("run_id", "ordinal", "url", F.posexplode(urls).alias("rank", "md_url"))
+    got = variant(t.capture).filter("status = 200").select("run_id", c("url").alias("md_url"), "body", "headers")
+    direct = tries.join(got, ["run_id", "md_url"]).filter(is_markdown_response()).select("run_id", "ordinal", "url", "rank", "md_url", "body", F.lit("md-url").alias("source"))
+    asked = variant(t.capture, accept="text/markdown").filter("status = 200").select("run_id", "url", "body", "headers")
+    asked = pages.join(asked, ["run_id", "url"]).filter(is_markdown_response() & ~T.soft_404(c("body")))
+    asked = asked.select("run_id", "ordinal", "url", F.lit(99).alias("rank"), c("url").alias("md_url"), "body", F.lit("negotiated").alias("source"))
+    both = direct.unionByName(asked)
+    best = both.groupBy("run_id", "url").agg(F.min_by(F.struct("ordinal", "md_url", "body", "source"), "rank").alias("b"))
+    return best.select("run_id", "url", "b.*")
 
 
 def is_markdown_response() -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -38,13 +39,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df):
-    """df from a reliable checkpoint: later plans are short, and a lost executor loses nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a table in the shared folder: later plans are short, and a lost executor loses nothing.
+
+    A written table rather than a checkpoint: it is read by column, and claims no partitioning. It goes with the driver.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "cut")
+    atexit.register(_forget, spark, path)
+    return stored(df, path)
 
 
 def stored(df, path: str):
-    """df as a Parquet table: like a checkpoint, but smaller and read by column."""
+    """df as a Parquet table at a path. Columns without a type become strings."""
+    df = df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"})
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,3 +64,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def remove_folder(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        remove_folder(spark, path)
+    except Exception:  # the session has gone: whoever set the folder clears it
+        pass

@@ -118,53 +118,42 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
         return None
 
 
-class HttpReader(DataSourceReader):
-    """Options: urls (a JSON list), run_id, variants (a JSON list of {method, accept, redirect}), or method, accept and
-    redirect for one; delay_ms, timeout_ms, concurrency (per host), user_agent, headers (a JSON object)."""
+class Fetcher:
+    """Requests of one host: paced, with retries, time-outs and caps. settings: see HttpReader."""
 
-    def __init__(self, options: dict):
-        self.options = options
-        get = options.get
-        self.urls = json.loads(get("urls", "[]"))
-        one = {"method": get("method", "GET"), "accept": get("accept"), "redirect": get("redirect", "follow")}
-        self.variants = [one | v for v in json.loads(get("variants", "[{}]"))]
-        self.run_id, self.workers = get("run_id", "run"), int(get("concurrency", 1))
+    def __init__(self, settings: dict):
+        get = settings.get
+        self.workers = int(get("concurrency", 1))
         self.delay, self.timeout = float(get("delay_ms", 200)) / 1000, float(get("timeout_ms", 15_000)) / 1000
         self.headers = {"User-Agent": get("user_agent", "quillmap/1.0"), "Accept-Encoding": "gzip"}
         self.own = json.loads(get("headers", "{}"))
 
-    def partitions(self) -> list[InputPartition]:
-        hosts: dict[str, list[str]] = {}
-        for url in dict.fromkeys(self.urls):
-            hosts.setdefault(urlsplit(url).netloc.lower(), []).append(url)
-        return [_Host(u) for u in hosts.values()] or [_Host([])]
-
-    def read(self, partition: _Host) -> Iterator[tuple]:
-        """Requests begin `delay` apart, at most `workers` at a time. A URL that stalled is not asked again."""
+    def paced(self, requests: list[tuple[str, str, dict]]) -> Iterator[tuple]:
+        """Rows of (run_id, url, variant) requests, which begin `delay` apart, at most `workers` at a time. A URL that
+        stalled is not asked again."""
         stalled: set[str] = set()
         began = 0.0
 
-        def one(url: str, variant: dict) -> tuple | None:
+        def one(run_id: str, url: str, variant: dict) -> tuple | None:
             if url in stalled:
                 return None
-            row = self.fetch(url, variant)
+            row = self.fetch(run_id, url, variant)
             if row[13] == "stalled-body":
                 stalled.add(url)
             return row
 
-        for variant in self.variants:
-            with ThreadPoolExecutor(self.workers) as pool:
-                waiting = deque()
-                for url in partition.urls:
-                    time.sleep(max(0.0, began + self.delay - time.monotonic()))
-                    began = time.monotonic()
-                    waiting.append(pool.submit(one, url, variant))
-                    while len(waiting) >= self.workers or waiting and waiting[0].done():
-                        if (row := waiting.popleft().result()) is not None:
-                            yield row
-                for job in waiting:
-                    if (row := job.result()) is not None:
+        with ThreadPoolExecutor(self.workers) as pool:
+            waiting = deque()
+            for request in requests:
+                time.sleep(max(0.0, began + self.delay - time.monotonic()))
+                began = time.monotonic()
+                waiting.append(pool.submit(one, *request))
+                while len(waiting) >= self.workers or waiting and waiting[0].done():
+                    if (row := waiting.popleft().result()) is not None:
                         yield row
+            for job in waiting:
+                if (row := job.result()) is not None:
+                    yield row
 
     def request_headers(self, accept: str | None) -> dict[str, str]:
         """The reader's headers; the caller's own replace them whatever their case."""
@@ -189,7 +178,7 @@ class HttpReader(DataSourceReader):
             return b"".join(parts), "body-error", f"{type(e).__name__}: {e}"
         return b"".join(parts), "ok", None
 
-    def fetch(self, url: str, variant: dict) -> tuple:
+    def fetch(self, run_id: str, url: str, variant: dict) -> tuple:
         opener = urllib.request.build_opener(*([_NoRedirect()] if variant["redirect"] == "manual" else []))
         status = final = raw = error = None
         got: dict[str, str] = {}
@@ -220,11 +209,51 @@ class HttpReader(DataSourceReader):
             body = zlib.decompressobj(wbits=31).decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
         size = len(body) if body is not None else None
         return (
-            self.run_id, url, variant["method"], variant["accept"], variant["redirect"], status, final, bool(final and final != url), got, decoded(body, got.get("content-type", "")),
+            run_id, url, variant["method"], variant["accept"], variant["redirect"], status, final, bool(final and final != url), got, decoded(body, got.get("content-type", "")),
             size, len(raw) if raw is not None else None, got.get("content-encoding"), outcome, error, datetime.datetime.now(datetime.timezone.utc),
         )
 
 
+class HttpReader(DataSourceReader):
+    """Options: urls (a JSON list), run_id, variants (a JSON list of {method, accept, redirect}), or method, accept and
+    redirect for one; delay_ms, timeout_ms, concurrency (per host), user_agent, headers (a JSON object)."""
+
+    def __init__(self, options: dict):
+        get = options.get
+        self.options, self.urls, self.run_id = options, json.loads(get("urls", "[]")), get("run_id", "run")
+        one = {"method": get("method", "GET"), "accept": get("accept"), "redirect": get("redirect", "follow")}
+        self.variants = [one | v for v in json.loads(get("variants", "[{}]"))]
+
+    def partitions(self) -> list[InputPartition]:
+        hosts: dict[str, list[str]] = {}
+        for url in dict.fromkeys(self.urls):
+            hosts.setdefault(urlsplit(url).netloc.lower(), []).append(url)
+        return [_Host(u) for u in hosts.values()] or [_Host([])]
+
+    def read(self, partition: _Host) -> Iterator[tuple]:
+        yield from Fetcher(self.options).paced([(self.run_id, u, v) for v in self.variants for u in partition.urls])
+
+
+def fetched(requests: DataFrame, settings: dict) -> DataFrame:
+    """The capture rows of requests (run_id, url, method, accept, redirect_mode). A host's requests run in one task, so
+    that pacing holds; hosts run side by side. settings: those of HttpReader, by name."""
+
+    def run(frames):
+        import pandas as pd
+
+        fetcher, names = Fetcher(settings), [x.split()[0] for x in SCHEMA.split(", ")]
+        for frame in frames:
+            for _, host in frame.groupby(frame["url"].map(lambda u: urlsplit(u).netloc.lower()), sort=False):
+                asked = [(r.run_id, r.url, {"method": r.method, "accept": None if pd.isna(r.accept) else r.accept, "redirect": r.redirect_mode}) for r in host.itertuples()]
+                rows = list(fetcher.paced(asked))
+                if rows:
+                    yield pd.DataFrame(dict(zip(names, map(list, zip(*rows)))), columns=names).astype({"status": "Int32", "bytes": "Int64", "wire_bytes": "Int64"})
+
+    host = F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1))
+    rows = requests.select("run_id", "url", "method", "accept", "redirect_mode").withColumn("_host", host).repartition("_host").sortWithinPartitions("_host", "method", "url")
+    return rows.drop("_host").mapInPandas(run, SCHEMA)
+
+
 def decoded(body: bytes | None, content_type: str) -> str | None:
     """A body by the charset of its type; UTF-8 where there is none or an unknown one."""
     if body is None:

@@ -190,6 +190,11 @@ def sampled_pages(runs: DataFrame, capture: DataFrame, files: DataFrame, options
     if options.sampling_strategy in ("none", "curated"):
         return base, quiet
     found = discover(runs, capture, files, options)
-    pages = sample(found.urls, capture, options).withColumn("tag", no_text)
-    rest = base.join(pages.select("run_id").distinct(), "run_id", "left_anti")
-    return pages.unionByName(rest), found
+    return with_base(sample(found.urls, capture, options), runs), found
+
+
+def with_base(pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """Sampled pages with a tag column, and the base URL of runs that have none."""
+    no_text = F.lit(None).cast("string")
+    rest = runs.join(pages.select("run_id").distinct(), "run_id", "left_anti").select("run_id", F.lit(0).cast("long").alias("ordinal"), c("base_url").alias("url"), no_text.alias("original_md"), no_text.alias("tag"))
+    return pages.withColumn("tag", no_text).unionByName(rest)

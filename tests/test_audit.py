@@ -10,7 +10,7 @@ from quillmap.dims import CHECKS, Options
 from quillmap.plans import dag, engine, reports
 from quillmap.plans.checks import REGISTRY, Tables, missing_url
 from quillmap.sources import capture as C
-from quillmap.sources import config, discovery, indexes
+from quillmap.sources import config, crawl, discovery, indexes
 from pyspark.sql import functions as F
 
 NOW = datetime.datetime(2026, 1, 1)
@@ -196,6 +196,64 @@ def test_http_source(spark):
     assert [C.usable_retry_after(x) for x in ("5", "0", "61", "x", None)] == [5, None, None, None, None]
 
 
+def test_record_and_audit_a_served_site(spark, tmp_path, capsys):
+    """A site on a local port: recorded, recorded again without new requests, and audited from the command line."""
+    import http.server
+    import threading
+
+    from quillmap.__main__ import main
+
+    asked = []
+
+    class Site(http.server.BaseHTTPRequestHandler):
+        def answer(self, send_body):
+            asked.append((self.command, self.path))
+            base = f"http://127.0.0.1:{self.server.server_port}"
+            path, number = self.path.split("?")[0], self.path.removeprefix("/p").removesuffix(".md")
+            md = f"[index]({base}/llms.txt)\n\n# Page {number}\n\n" + "\n\n".join(PROSE + f"{number}{i}" for i in range(12))
+            body, kind, status = "not found", "text/plain", 404
+            if path == "/llms.txt":
+                body, kind, status = "# Site\n\n> Docs\n\n## Pages\n\n" + "\n".join(f"- [P{k}]({base}/p{k}.md)" for k in range(6)), "text/plain", 200
+            elif number in "0 1 2 3 4 5 6".split():
+                status = 200
+                if path.endswith(".md") or self.headers.get("Accept") == "text/markdown":
+                    body, kind = md, "text/markdown"
+                else:
+                    body, kind = page(number), "text/html"
+            elif path == "/sitemap.xml":
+                body, kind, status = "<urlset>" + "".join(f"<url><loc>{base}/p{k}</loc></url>" for k in range(7)) + "</urlset>", "application/xml", 200
+            self.send_response(status)
+            self.send_header("Content-Type", kind)
+            self.send_header("Cache-Control", "max-age=60")
+            self.end_headers()
+            if send_body:
+                self.wfile.write(body.encode())
+
+        def do_GET(self):
+            self.answer(True)
+
+        def do_HEAD(self):
+            self.answer(False)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, path = f"http://127.0.0.1:{server.server_port}", str(tmp_path / "capture")
+    runs = spark.createDataFrame([("r", base)], "run_id string, base_url string")
+    quick = {"delay_ms": "0"}
+    sample = crawl.record(spark, runs, path, Options(), settings=quick)
+    assert {r["url"] for r in sample.collect()} == {f"{base}/p{k}" for k in range(7)}
+    before = len(asked)
+    crawl.Recorder(spark, runs, path, Options(), quick).representations(sample)
+    assert len(asked) == before
+    server.shutdown()
+    assert main([path, base, "--format", "text", "--fixes"]) == 0
+    text = capsys.readouterr().out
+    assert "llms-txt-exists: an llms.txt file was found" in text and "7 pages tested (random)" in text and "0 fail" in text
+
+
 def test_missing_url_and_rewrite(spark):
     df = spark.createDataFrame([("https://a.io/x/#t", 'go to https://c.io/y and https://c.io.evil/z "https://c.io"')], "u string, b string")
     got = df.select(missing_url(F.col("u")).alias("m"), C.rewrite_origin(F.col("b"), "https://c.io", "http://local$1").alias("r")).first()
