@@ -36,6 +36,22 @@ def js_round(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def html_escaped(text: Column) -> Column:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text
+
+
+def percent_decoded(text: Column) -> Column:
+    """text with %XX decoded; as it is where that is malformed. A plus stays a plus."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def grouped_number(text: Column) -> Column:
+    """The number that digits with commas write; null for other text."""
+    return F.when(text.rlike("^[0-9][0-9,]*$"), F.replace(text, F.lit(","), F.lit("")).try_cast("long"))
+
+
 def without_blocks(html: Column, *tags: str) -> Column:
     for t in tags:
         html = F.regexp_replace(html, rf"(?is)<{t}\b.*?</{t}>", "")

@@ -32,12 +32,7 @@ def rate(hits: Column, total: Column, empty: float) -> Column:
 def mode_first(df: DataFrame, keys: list[str], value: str, ordinal: str) -> DataFrame:
     """(keys, value, n): the most frequent value, the first seen among equals."""
     each = df.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(ordinal).alias("_o"))
-    return each.groupBy(*keys).agg(F.max_by(F.struct(value, "n"), F.struct(F.col("n"), -F.col("_o"))).alias("_m")).select(*keys, f"_m.{value}", "_m.n")
-
-
-def first_n(value: Column, order: Column, n: int) -> Column:
-    """The first n values by order."""
-    return F.transform(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), 1, n), lambda x: x["v"])
+    return each.groupBy(*keys).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col("_o"))).alias("_m")).select(*keys, f"_m.{value}", "_m.n")
 
 
 def union_length(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -34,13 +34,6 @@ def header_quality(panels: DataFrame) -> DataFrame:
     return out.withColumn("generic_majority", 2 * F.col("generic") > F.col("headers"))
 
 
-def header_verdict(quality: DataFrame) -> DataFrame:
-    """One row: share of groups with each flag, and the worse of the two statuses (fail over 1/2, warn over 1/4)."""
-    share = quality.agg(F.avg(F.col("generic_majority").cast("double")).alias("generic"), F.avg(F.col("cross_group").cast("double")).alias("cross"))
-    worst = F.greatest(F.coalesce("generic", F.lit(0.0)), F.coalesce("cross", F.lit(0.0)))
-    return share.withColumn("status", F.when(worst > 0.5, "fail").when(worst > 0.25, "warn").otherwise("pass"))
-
-
 # Items from which a structure counts, that each side needs, and the difference that is noise.
 REPEATED, EACH_SIDE, TOLERANCE = 20, 5, 0.02
 

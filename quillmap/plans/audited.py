@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from quillmap.dims import CHECKS, Options
+from quillmap.functions import text as T
 from quillmap.functions import url as U
 from quillmap.functions.challenge import challenge_page
 from quillmap.functions import udf
@@ -174,6 +175,15 @@ def render_cases(spark, d):
     return rows.select("id", "m.status", "m.headings", "m.paragraphs")
 
 
+TEXTS = "(SELECT * FROM (VALUES (1, 'a%20b+c', '1,234', '<b>&'), (2, '100%', '12', 'x'), (3, '%C3%A9', ',1', ''), (4, '', 'x', '>')) AS v(id, url, n, html))"
+
+
+@query("scalar_texts", "SELECT * FROM (VALUES (1, 'a b+c', 1234, '&lt;b&gt;&amp;'), (2, '100%', 12, 'x'), (3, 'é', NULL, ''), (4, '', NULL, '&gt;')) AS v(id, decoded, n, escaped)")
+def scalar_texts(spark, d):
+    c = F.col
+    return literal(spark, TEXTS).select("id", T.percent_decoded(c("url")).alias("decoded"), T.grouped_number(c("n")).alias("n"), T.html_escaped(c("html")).alias("escaped"))
+
+
 # ------------------------------------------------------------------------------------------------ a recorded site
 NOW = datetime.datetime(2026, 1, 1)
 PROSE = "This paragraph explains at length how the widget is set up and what to expect of it. "

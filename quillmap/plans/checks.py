@@ -109,15 +109,28 @@ def markdown_pages(t: Tables) -> DataFrame:
     urls = F.array_distinct(F.concat(told, F.when(parent.isNotNull(), F.array(parent)).otherwise(none), U.markdown_candidates(c("url"))))
     tries = pages.select("run_id", "ordinal", "url", F.posexplode(urls).alias("rank", "md_url"))
     got = variant(t.capture).filter("status = 200").select("run_id", c("url").alias("md_url"), "body", "headers")
-    direct = tries.join(got, ["run_id", "md_url"]).filter(is_markdown_response()).select("run_id", "ordinal", "url", "rank", "md_url", "body", F.lit("md-url").alias("source"))
+    link = header("link").alias("link")
+    direct = tries.join(got, ["run_id", "md_url"]).filter(is_markdown_response()).select("run_id", "ordinal", "url", "rank", "md_url", "body", F.lit("md-url").alias("source"), link)
     asked = variant(t.capture, accept="text/markdown").filter("status = 200").select("run_id", "url", "body", "headers")
     asked = pages.join(asked, ["run_id", "url"]).filter(is_markdown_response() & ~T.soft_404(c("body")))
-    asked = asked.select("run_id", "ordinal", "url", F.lit(99).alias("rank"), c("url").alias("md_url"), "body", F.lit("negotiated").alias("source"))
+    asked = asked.select("run_id", "ordinal", "url", F.lit(99).alias("rank"), c("url").alias("md_url"), "body", F.lit("negotiated").alias("source"), link)
     both = direct.unionByName(asked)
-    best = both.groupBy("run_id", "url").agg(F.min_by(F.struct("ordinal", "md_url", "body", "source"), "rank").alias("b"))
+    best = both.groupBy("run_id", "url").agg(F.min_by(F.struct("ordinal", "md_url", "body", "source", "link"), "rank").alias("b"))
     return best.select("run_id", "url", "b.*")
 
 
+def linked_markdown(t: Tables) -> DataFrame:
+    """Markdown that llms.txt links lead to, for runs whose pages have none: links with a Markdown extension first, max_links
+    at most, in the form of markdown_pages."""
+    have = t.markdown().select("run_id").distinct()
+    rows = I.file_links(t.analysed_files()).groupBy("run_id", "fetch").agg(F.min(F.struct("ordinal", "offset")).alias("_o")).join(have, "run_id", "left_anti")
+    turn = F.row_number().over(Window.partitionBy("run_id").orderBy((~U.is_markdown(c("fetch"))), "_o"))
+    rows = rows.withColumn("ordinal", turn.cast("long")).filter(c("ordinal") <= t.options.max_links)
+    got = variant(t.capture).filter("status = 200").select("run_id", c("url").alias("fetch"), "body", "headers")
+    rows = rows.join(got, ["run_id", "fetch"]).filter(is_markdown_response())
+    return rows.select("run_id", c("fetch").alias("url"), "ordinal", c("fetch").alias("md_url"), "body", F.lit("llms-txt").alias("source"), header("link").alias("link"))
+
+
 def is_markdown_response() -> Column:
     return F.startswith(content_type(), F.lit("text/markdown")) | T.looks_markdown(c("body"))
 
@@ -251,7 +264,7 @@ def rendering_strategy(t: Tables, o: Options) -> DataFrame:
 @check("page-size-markdown")
 def page_size_markdown(t: Tables, o: Options) -> DataFrame:
     n = T.utf16_length(c("body"))
-    return t.markdown().select("run_id", "url", n.alias("characters"), T.status_of(n, o.size_limits).alias("status"))
+    return t.markdown().select("run_id", "url", "md_url", "source", n.alias("characters"), T.status_of(n, o.size_limits).alias("status"))
 
 
 @check("page-size-html")
@@ -275,7 +288,7 @@ def content_start_position(t: Tables, o: Options) -> DataFrame:
 
 
 def _paged(t: Tables) -> DataFrame:
-    return t.once("paged", lambda: t.markdown().withColumn("_p", udf.pagination(c("body"), c("md_url"))))
+    return t.once("paged", lambda: t.markdown().unionByName(t.once("linked", lambda: linked_markdown(t))).withColumn("_p", udf.pagination(c("body"), c("md_url"), c("link"))))
 
 
 @check("single-fetch-completeness")
@@ -335,7 +348,8 @@ def code_fences(t: Tables, o: Options) -> DataFrame:
 
 @check("markdown-link-portability")
 def link_portability(t: Tables, o: Options) -> DataFrame:
-    rows = t.markdown().select("run_id", "ordinal", "url", F.explode_outer(udf.links(c("body"), c("md_url"))).alias("l")).filter("l is null or not l.image")
+    bodies = t.markdown().unionByName(t.once("linked", lambda: linked_markdown(t)))
+    rows = bodies.select("run_id", "ordinal", "url", F.explode_outer(udf.links(c("body"), c("md_url"))).alias("l")).filter("l is null or not l.image")
     wanted = rows.filter("l.fetch is not null and not l.cross_origin").select("run_id", c("ordinal").alias("page_ordinal"), c("l.offset").cast("long").alias("offset"), c("l.fetch").alias("fetch"))
     plan = S.link_plan(wanted, o.max_links)
     got = variant(t.capture).select("run_id", c("url").alias("fetch"), c("status").alias("_code"), content_type().alias("_type"))
@@ -400,7 +414,13 @@ def llms_txt_coverage(t: Tables, o: Options) -> DataFrame:
     prefixes = walked["omitted"].groupBy("run_id").agg(F.collect_set(U.omitted_prefix(c("url"))).alias("_omitted"))
 
     def in_scope() -> DataFrame:
-        pages = t.sitemap if t.sitemap is not None else I.walk_sitemaps(t.capture, D.sitemap_roots(t.sites(), t.capture), most=D.MOST_COVERAGE_PAGES)
+        if t.sitemap is not None:
+            pages = t.sitemap
+        else:
+            walk = lambda docs: I.walk_sitemaps(t.capture, D.sitemap_roots(t.sites(), t.capture, docs), most=D.MOST_COVERAGE_PAGES)
+            main = D.in_scopes(walk(False), D.scopes(t.sites(), o))
+            # a site whose sitemap has none of the documentation may have one beside it
+            pages = main.unionByName(walk(True).join(main.select("run_id").distinct(), "run_id", "left_anti"))
         pages = pages.withColumn("ordinal", F.monotonically_increasing_id()) if "ordinal" not in pages.columns else pages
         return D.in_scopes(pages.select("run_id", "ordinal", "url"), D.scopes(t.sites(), o)).filter(~U.is_non_page(c("url")))
 

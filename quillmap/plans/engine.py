@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmap.dims import CHECKS, Options
 from quillmap.functions import url as U
+from quillmap.operators import aggregates as A
 from quillmap.operators import ledger as L
 from quillmap.plans import dag, diagnostics, rules, scoring
 from quillmap.plans.checks import ITEM, Tables, items
@@ -29,7 +30,8 @@ Progress = Callable[[dict], None]
 def audit(
     tables: Tables, options: Options = Options(), warnings: DataFrame | None = None, progress: Progress | None = None, at_once: int = 6, context: str | None = None,
 ) -> dict[str, DataFrame]:
-    """results, items, check_scores, scores, categories, diagnostics, tag_scores, requests and findings of all runs.
+    """results, items, check_scores, scores, categories, diagnostics, tag_scores, requests, findings
+    and foreign_origins (the host that most links to other hosts lead to) of all runs.
 
     warnings: (run_id, warning) of discovery. progress: called with the state of each check as it begins and ends. The
     results are tables of their own; tables.release() removes what was written on the way.
@@ -59,6 +61,8 @@ def audit(
         "results": results, "items": everything, "check_scores": scores, "scores": scoring.overall(scores, runs, scoring.caps(scores, typed, found)), "categories": scoring.categories(scores),
         "diagnostics": found, "findings": findings, "requests": requests, "runs": runs.withColumn("network_context", F.lit(context).cast("string")),
     }
+    away = everything.filter("check_id = 'llms-txt-links-resolve' and external").select("run_id", U.origin(F.col("url")).alias("origin"), "url")
+    out["foreign_origins"] = A.mode_first(away, ["run_id"], "origin", "url")
     if "tag" in tables.pages.columns:
         out["tag_scores"] = scoring.tag_scores(scores, everything, tables.pages.filter("tag is not null").select("run_id", "url", "tag"))
     return out

@@ -66,3 +66,14 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r["start"]: (r["requests"], r["failed"], r["denied"]) for r in spark.table("failures").collect()}
     batch = spark.createDataFrame(rows, schema).groupBy(F.window("ts", "1 minute")["start"].alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") != "ok").alias("f"), F.count_if(F.col("status") == 403).alias("d"))
     assert got == {r["s"]: (r["n"], r["f"], r["d"]) for r in batch.collect()}
+
+
+def test_latest_outcomes_of_a_stream(spark, tmp_path):
+    """A body that stalls after its headers came replaces the outcome that was told first."""
+    rows = [("r", k, f"u{k % 3}", T0 + datetime.timedelta(seconds=k), "stalled-body" if k == 5 else "ok") for k in range(7)]
+    schema = "run_id string, seq long, url string, ts timestamp, outcome string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = ledger_stream.latest_outcome(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("latest").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r["url"], r["outcome"], r["seq"]) for r in spark.table("latest").collect()} == {("u0", "ok", 6), ("u1", "ok", 4), ("u2", "stalled-body", 5)}
