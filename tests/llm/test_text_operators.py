@@ -46,6 +46,14 @@ def test_stable_ranges_agree_with_the_library():
     for s in range(0, len(points), 500):
         text = "".join(f"a{chr(c)}1{chr(c)}!{chr(c)}a\n" for c in points[s : s + 500])
         assert [text[i:j] for _, (i, j) in v.library.pre_tokenizer.pre_tokenize_str(text)] == pattern.findall(text)
+    points = [c for a, b in tokenizer.SAFE for c in range(a, b + 1)]
+    for s in range(0, len(points), 997):
+        text = "".join(f"a{chr(c)}1{chr(c)}!{chr(c)}a\n {chr(c)} {chr(c)}{chr(c)}  '{chr(c)}" for c in points[s : s + 997])
+        assert tokenizer.pieces(text) == pattern.findall(text)
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choices(["\x1c", "\x85", "\n", " ", "  ", "'s", "'S", "a", "_", "1", "²", "é", "你", "。", "\t", "!", "\x00", "\u3000", "\u200b"], k=rng.randint(0, 30)))
+        assert tokenizer.pieces(text) == pattern.findall(text), text
 
 
 def test_prefix_scan_composes_maps():
