@@ -17,11 +17,12 @@ CLOSES = {
     **{t: ("p",) for t in "div ul ol dl table pre h1 h2 h3 h4 h5 h6 section article header footer nav aside main form blockquote hr figure".split()},
 }
 SCOPE = {"ul": "li", "ol": "li", "table": "td th tr"}
+# Elements and roles around content, and what marks the shell of a script application.
 CHROME_TAGS = set("script style noscript svg nav header footer aside".split())
+SPA_MARKERS = ('id="___gatsby"', 'id="__next"', 'id="__nuxt"', 'id="root"')
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = HEADINGS | set("address article blockquote br dd details div dl dt figcaption figure hr li main ol p pre section summary table td th tr ul".split())
-SPA_MARKERS = ('id="___gatsby"', 'id="__next"', 'id="__nuxt"', 'id="root"')
 
 
 class Node:

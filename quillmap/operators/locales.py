@@ -141,7 +141,7 @@ def coverage_scope(pages: DataFrame, listed: DataFrame, wanted: DataFrame) -> Da
     return others.select(*pages.columns, "locale").unionByName(judged)
 
 
-#: language[-script][-region], in this order
+# Fixed value: how names of sitemaps write a locale, language[-script][-region] in this order.
 CODE = r"([a-z]{2}(?:-[a-z]{4})?(?:-[a-z]{2})?)"
 
 
