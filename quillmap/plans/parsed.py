@@ -114,3 +114,14 @@ def tab_header_quality(spark, d):
 def bulk_data(spark, d):
     rows = literal(spark, BULKY).select("id", udf.bulk_data(F.col("body")).alias("b"))
     return rows.select("id", F.explode("b.elements").alias("e")).select("id", "e.kind", "e.form", "e.rows", "e.columns")
+
+
+CHROME_FREE = "regexp_replace(html, '(?is)<(nav|header|footer|aside|script|style|noscript|svg)\\b.*?</(nav|header|footer|aside|script|style|noscript|svg)>', '', 'g')"
+
+
+@query("html_heading_counts", f"""SELECT page_id, len(list_filter(regexp_extract_all({CHROME_FREE}, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1),
+lambda x: length(trim(regexp_replace(x, '<[^>]*>', '', 'g'))) > 3))::INT AS headings, len(regexp_extract_all({CHROME_FREE}, '(?i)<(pre|code)[\\s>]'))::INT AS code_blocks FROM pages""")
+def html_heading_counts(spark, d):
+    """Of the rendering figures those that patterns can tell on these pages."""
+    pages = table(spark, d, "pages").repartition(8, "page_id")
+    return pages.select("page_id", udf.page_metrics(F.col("html")).alias("m")).select("page_id", "m.headings", "m.code_blocks")

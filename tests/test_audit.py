@@ -249,7 +249,7 @@ def test_record_and_audit_a_served_site(spark, tmp_path, capsys):
     crawl.Recorder(spark, runs, path, Options(), quick).representations(sample)
     assert len(asked) == before
     server.shutdown()
-    assert main([path, base, "--format", "text", "--fixes"]) == 0
+    assert main([path, base, "--format", "text", "--fixes", "--checks", "llms-txt-exists,llms-txt-links-resolve,markdown-url-support,llms-txt-coverage"]) == 0
     text = capsys.readouterr().out
     assert "llms-txt-exists: an llms.txt file was found" in text and "7 pages tested (random)" in text and "0 fail" in text
 
