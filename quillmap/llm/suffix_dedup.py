@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, written
 
-LENGTH, GRAM, HOT, SPLIT = 400, 64, 4096, 8
+LENGTH, GRAM, HOT, SPLIT = 400, 64, 512, 8
 SEGMENT = 1 << 22
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
