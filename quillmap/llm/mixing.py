@@ -13,8 +13,8 @@ part, so that a source's words meet its target to the word.
 Distribution. Words are summed by (source, first three digits of the md5), with map-side pre-aggregation, so that a
 source with a third of all rows is 4,096 partial sums; the bucket in which a source's fraction ends is summed by its
 next three digits once more. Only the rows of the one bucket of six digits in which it ends, a sixteen-millionth of the
-source, are sorted. The rows meet one plan row per source, in a join that is a broadcast only where Spark finds the plan
-small.
+source, are sorted. The rows meet one plan row per source by a broadcast of up to `BROADCAST_SOURCES` of them, else by a
+join that Spark may split.
 
 Defined results: null texts have no words and null ids hash as the word null. Null sources are one source. Documents
 without words are taken 0 words. Rows that repeat an id are in the order of their size, then of a hash of their text. No rows give no rows.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, documents, n_words
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2.0, 11
+BROADCAST_SOURCES = 100_000
 
 
 def _key(ident: Column, seed: int) -> Column:
@@ -104,7 +105,9 @@ def mix_sources(
         base = slim = checkpointed(base.withColumn("_tie", F.lit(0)))
     plan = checkpointed(mix_plan(slim.select("source", "size", "_key"), weights, share, max_epochs)).withColumnRenamed("source", "_s")
     base = base.withColumn("_bucket", F.substring("_key", 1, 6))
-    rows = base.join(plan, F.col("source").eqNullSafe(F.col("_s")))
+    # a row per source: with few sources the rows, texts and all, stay where they are
+    small = plan.count() <= BROADCAST_SOURCES
+    rows = base.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("_s")))
     here = (F.col("_rest") > 0) & (F.col("_bucket") == F.col("_end"))
     order = Window.partitionBy("source").orderBy("_key", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")

@@ -68,3 +68,12 @@ def test_mix_orders_ties_by_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     runs = [sorted((r["text"], r["taken"]) for r in mixing.mix_sources(df.repartition(n)).collect()) for n in (1, 3, 7)]
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    """More sources than are broadcast: the same rows by a plain join."""
+    rows = [(i, "w " * (i % 30), f"s{i % 20}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = sorted(map(str, mixing.mix_sources(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(str, mixing.mix_sources(df).collect())) == few
