@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 def session(app: str = "quillmap", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A UTC session. On a cluster the master and sizes come from spark-submit; both arguments are for local runs."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    # a union that claims its children's partitioning fails where AQE coalesces them to unequal numbers
+    builder = builder.config("spark.sql.unionOutputPartitioning", "false")
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         builder = builder.config("spark.driver.memory", os.environ.get("QUILLMAP_DRIVER_MEMORY", "8g"))
