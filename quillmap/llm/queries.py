@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    chat_format, compression_quality, exact_dedup, merkle_manifest, mixing, packing, quality_rules, secret_scan, simhash_dedup,
-    suffix_dedup, token_counts, vector_codes,
+    chat_format, compression_quality, exact_dedup, merkle_manifest, mixing, multiset_fingerprint, packing, quality_rules,
+    secret_scan, simhash_dedup, suffix_dedup, token_counts, vector_codes,
 )
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.op8,
         "op9_simhash_dedup": simhash_dedup.op9,
         "op10_exact_dedup": exact_dedup.op10,
+        "op11_multiset_fingerprint": multiset_fingerprint.op11,
         "op12_vector_codes": vector_codes.op12,
         "op13_merkle_manifest": merkle_manifest.op13,
     }
@@ -35,6 +36,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat_format.SQL,
         "op7_mix_sources": mixing.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
+        "op11_multiset_fingerprint": multiset_fingerprint.SQL,
         "op12_vector_codes": vector_codes.SQL,
         "op13_merkle_manifest": merkle_manifest.SQL,
     }
