@@ -4,8 +4,8 @@ Two layers, both over whole texts:
 
 * base patterns, leftmost and non-overlapping for each kind: an assignment to a password-like name with a value of 12
   or more characters, access key ids, and long runs of hexadecimal digits;
-* a lexer of source and configuration syntax. It knows assignments (``=``, ``:``, ``:=``, ``=>``, with type notes and
-  subscripts), quoted, triple-quoted and backtick literals with escapes, indented blocks (``name: |``), elements
+* a lexer of source and configuration syntax. It knows assignments (``=``, ``:``, ``:=``, ``=>``, with type notes,
+  subscripts and labels: in ``label: name = value`` both names hold the value), quoted, triple-quoted and backtick literals with escapes, indented blocks (``name: |``), elements
   (``<name>x</name>``), sections (``[name]``), literals inside decoding calls, sums, and lists. It yields name-literal
   pairs, where a name carries the keys that it is nested in.
 
@@ -16,7 +16,8 @@ Each literal is scored by how sensitive the name that it reaches is and by how r
 that score enough are spans of kind ``lexed``, at the place where they are written.
 
 Spans are code points, end exclusive. The lexer runs on texts that have a word of `SENSITIVE` and an assignment, which
-all its spans need; it is linear in the text, but for names that are assigned many times in many scopes.
+all its spans need. Its time is linear in the text, but for a logarithm where a name is assigned many times in one scope:
+a comment is read once within its bounds, patterns do not backtrack, and names are looked up in one walk through the scopes.
 
 Defined results: null and empty texts have no spans. Ids may repeat or be null. No rows give no rows. Only id and text
 are read.
@@ -45,22 +46,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
 STRING = r"""(?:[rbfuRBFU]{1,2}(?=["']))?+(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`)"""
-EVENT = re.compile(
-    r"""
-      (?P<comment>/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z) | <!--(?:[^-]|-(?!->))*+(?:-->|\Z) | (?:(?<=\s)|(?<![\s\S]))(?:\#|//|--[ ]|;)[^\n]*+)
-    | <(?P<tag>[A-Za-z_][\w.\-:]*+)(?:[ \t][^<>\n]*+)?>(?P<inner>[^<>]*+)</
+COMMENT = r"""(?P<comment>/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z) | <!--(?:[^-]|-(?!->))*+(?:-->|\Z) | (?:(?<=\s)|(?<![\s\S]))(?:\#|//|--[ ]|;)[^\n]*+) |"""
+CODE = r"""
+      <(?P<tag>[A-Za-z_][\w.\-:]*+)(?:[ \t][^<>\n]*+)?>(?P<inner>[^<>]*+)</
     | (?:(?<=\n)|(?<![\s\S]))\[(?P<section>[^\[\]\n]*+)\][ \t]*+(?=\n|\Z)
     | \b(?:def|class|function|func|fn)[ \t]++\w++(?P<body>[^\n{;]*+)
     | (?:(?<![\w.\-$])(?P<name>[A-Za-z_$][\w.\-$]*+)["'`]?\]?|(?<![\w"'])["'](?P<key>[^"'\n\\]++)["']\]?)[ \t]*+(?P<op>:=|=>|=(?!=)|:(?!:|//))
     | (?P<brace>[{}])
     | \n(?P<indent>[ \t]*+)(?=[^\s])
-    """,
-    re.X,
-)
+    """
+#: What the lexer stops at, outside and within a comment.
+EVENT, WITHIN = re.compile(COMMENT + CODE, re.X), re.compile(CODE, re.X)
 TRIPLE = re.compile(r'[rbfuRBFU]{0,2}("""|\'\'\')')
 VALUE = re.compile(rf"(?P<quoted>{STRING})|(?P<call>[A-Za-z_$][\w.$]*+)\(|(?P<bare>[^\s\"'`,;&<>{{}}()\[\]]++)")
 BLOCK = re.compile(r"[ \t]*+[|>][+\-0-9]{0,2}[ \t]*+\n")
-NOTE = re.compile(r"[ \t]*+[A-Za-z_][\w.\[\], |]*?[ \t]*+=(?!=)")  # name: type = value
+#: name: type = value, where the type has brackets or alternatives or is one of TYPES.
+NOTE = re.compile(r"""[ \t]*+(?P<type>[A-Za-z_][\w.]*+)(?P<more>(?:[ \t]*+(?:\[[^\[\]\n="']*+(?:\[[^\[\]\n="']*+\][^\[\]\n="']*+)*+\]|\|[ \t]*+[A-Za-z_][\w.]*+))*+)[ \t]*+=(?!=)""")
+TYPES = {"str", "string", "bytes", "bytearray", "int", "float", "bool", "boolean", "number", "any", "object", "char", "text", "final", "const"}
+#: label: name = value
+LABELLED = re.compile(r"""[ \t]*+(?:(?P<name>[A-Za-z_$][\w.\-$]*+)["'`]?\]?|["'](?P<key>[^"'\n\\]++)["']\]?)[ \t]*+(?P<op>:=|=>|=(?!=)|:(?!:|//))""")
 BLANK, GAP, LINE = re.compile(r"[ \t]*+"), re.compile(r"(?:\s|\\\n)*+"), re.compile(r"[^\n]*+\n?")
 ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|(.))", re.S)
 PLAIN = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
@@ -166,37 +170,49 @@ class Lexer:
         self.parent, self.defined = [-1], {}
         # open scopes: (scope, sensitivity of the keys around, kind, indentation or end)
         self.stack: list[tuple[int, float, str, int]] = [(0, 0.0, "text", -1)]
+        self.braces = 0  # of the open scopes
         self._scan()
-        for value in self.values:
-            value.parts = [x for part in value.parts for x in self._resolved(part, value)]
+        self._resolve()
 
     # -------------------------------------------------------------------------------- scopes
     def _push(self, kind: str, limit: int, outer: float) -> None:
         self.parent.append(self.stack[-1][0])
         self.stack.append((len(self.parent) - 1, outer, kind, limit))
+        self.braces += kind == "brace"
 
-    def _close_comments(self, at: int) -> None:
-        while self.stack[-1][2] == "comment" and at >= self.stack[-1][3]:
-            self.stack.pop()
+    def _pop(self) -> str:
+        kind = self.stack.pop()[2]
+        self.braces -= kind == "brace"
+        return kind
 
     def _scan(self) -> None:
         text, at, indent = self.text, 0, len(BLANK.match(self.text)[0])
-        while m := EVENT.search(text, at):
-            self._close_comments(m.start())
+        comment, outside = -1, 0  # where the comment that is being read ends, and the braces around it
+        while True:
+            if 0 <= comment <= at:
+                # what was opened inside the comment ends with it
+                while self._pop() != "comment":
+                    pass
+                comment = -1
+            m = EVENT.search(text, at) if comment < 0 else WITHIN.search(text, at, comment)
+            if m is None and comment < 0:
+                break
+            if m is None:
+                at = comment
+                continue
             at = m.end()
-            scope, outer, kind, _ = self.stack[-1]
-            if m["comment"] is not None:
-                start = m.start() + 1
-                if kind != "comment":
-                    self._push("comment", m.end(), 0.0)
-                at = start
+            outer = self.stack[-1][1]
+            if comment < 0 and m["comment"] is not None:
+                outside = self.braces
+                self._push("comment", m.end(), 0.0)
+                at, comment = m.start() + 1, m.end()
             elif m["tag"] is not None:
                 if text.startswith(m["tag"], at):
-                    value = self._begin(m["tag"], m.start())
+                    value = self._begin([m["tag"]], m.start())
                     self._lines(value, m["inner"], m.start("inner"))
             elif m["section"] is not None:
-                while len(self.stack) > 1:
-                    self.stack.pop()
+                while len(self.stack) > 1 and self.stack[-1][2] != "comment":
+                    self._pop()
                 self._push("section", -1, name_score(m["section"]))
             elif m["body"] is not None:
                 if m["body"].rstrip().endswith(":"):
@@ -204,23 +220,25 @@ class Lexer:
             elif m["brace"] == "{":
                 self._push("brace", -1, outer)
             elif m["brace"] == "}":
-                if any(k == "brace" for _, _, k, _ in reversed(self.stack[-50:])):
-                    while self.stack.pop()[2] != "brace":
+                # a brace within a comment closes none outside of it
+                if self.braces > (outside if comment >= 0 else 0):
+                    while self._pop() != "brace":
                         pass
             elif m["indent"] is not None:
                 indent = len(m["indent"])
                 while self.stack[-1][2] == "indent" and indent <= self.stack[-1][3]:
-                    self.stack.pop()
+                    self._pop()
             else:
                 at = self._assignment(m["name"] or m["key"], m.start(), m["op"], at, indent)
 
     # -------------------------------------------------------------------------------- values
-    def _begin(self, name: str, at: int) -> Value:
+    def _begin(self, names: list[str], at: int) -> Value:
+        """A value of the last name, which the labels before it hold as well."""
         scope, outer, _, _ = self.stack[-1]
-        value = Value(name, outer, scope, at)
+        value = Value(max(names, key=name_score) if len(names) > 1 else names[0], outer, scope, at)
         value.order = len(self.values)
         self.values.append(value)
-        for known in {name, name.rpartition(".")[2]}:
+        for known in {x for name in names for x in (name, name.rpartition(".")[2])}:
             self.defined.setdefault((scope, known), []).append(value)
         return value
 
@@ -235,10 +253,10 @@ class Lexer:
 
     def _assignment(self, name: str, begin: int, op: str, at: int, indent: int) -> int:
         """Reads the value behind an operator; the place where it ends."""
-        text = self.text
-        if op == ":":
+        text, names = self.text, [name]
+        while op == ":":
             if m := BLOCK.match(text, at):
-                value, at = self._begin(name, begin), m.end()
+                value, at = self._begin(names, begin), m.end()
                 while at < len(text):
                     line = LINE.match(text, at)
                     if line[0].strip() and len(BLANK.match(line[0])[0]) <= indent:
@@ -246,17 +264,23 @@ class Lexer:
                     self._lines(value, line[0].rstrip("\n"), at)
                     at = line.end()
                 return at - 1
-            if m := NOTE.match(text, at):
-                at = m.end()
+            if (m := NOTE.match(text, at)) and (m["more"] or m["type"].lower() in TYPES):
+                at, op = m.end(), "="
+            elif m := LABELLED.match(text, at):
+                name = m["name"] or m["key"]
+                at, op = m.end(), m["op"]
+                names.append(name)
+            else:
+                break
         at = BLANK.match(text, at).end()
-        outer = min(1.0, self.stack[-1][1] + NESTED * name_score(name))
+        outer = min(1.0, self.stack[-1][1] + NESTED * max(map(name_score, names)))
         if at < len(text) and text[at] == "{":
             self._push("brace", -1, outer)
             return at + 1
         if op == ":" and (at >= len(text) or text[at] == "\n"):
             self._push("indent", indent, outer)
             return at
-        return self._sum(self._begin(name, begin), at)
+        return self._sum(self._begin(names, begin), at)
 
     def _sum(self, value: Value, at: int) -> int:
         """Operands joined by +, or side by side in brackets; commas in brackets begin the next element."""
@@ -301,7 +325,7 @@ class Lexer:
                 if depth and at < len(text) and text[at] in ")]":
                     depth, at = depth - 1, at + 1
                 elif depth and at < len(text) and text[at] == ",":
-                    value, at = self._begin(value.name, at), at + 1
+                    value, at = self._begin([value.name], at), at + 1
                     break
                 elif at < len(text) and text[at] == "+":
                     at = GAP.match(text, at + 1).end()
@@ -315,26 +339,51 @@ class Lexer:
         return at
 
     # -------------------------------------------------------------------------------- constants
-    def _find(self, name: str, user: Value) -> Value | None:
-        scope = user.scope
-        while scope >= 0:
-            if found := self.defined.get((scope, name)):
-                before = bisect_left(found, user.order, key=lambda v: v.order)
-                if before:
-                    return found[before - 1]
-                later = next((v for v in found[before:] if v is not user), None)
-                if later is not None:
-                    return later
-            scope = self.parent[scope]
+    def _resolve(self) -> None:
+        """Puts what names hold in their place, in one walk through the scopes in the order of the text.
+
+        On the way `holders` has for each name the scopes around that assign it anywhere, the innermost last.
+        """
+        last = list(range(len(self.parent)))  # scopes are numbered as they open, so those inside one follow it
+        for scope in range(len(last) - 1, 0, -1):
+            last[self.parent[scope]] = max(last[self.parent[scope]], last[scope])
+        names: dict[int, list[str]] = {}
+        for scope, name in self.defined:
+            names.setdefault(scope, []).append(name)
+        holders: dict[str, list[int]] = {}
+        path: list[int] = []
+        for value in self.values:
+            while path and not path[-1] <= value.scope <= last[path[-1]]:
+                for name in names.get(path.pop(), ()):
+                    holders[name].pop()
+            inward, scope = [], value.scope
+            while scope >= 0 and (not path or scope != path[-1]):
+                inward.append(scope)
+                scope = self.parent[scope]
+            for scope in reversed(inward):
+                path.append(scope)
+                for name in names.get(scope, ()):
+                    holders.setdefault(name, []).append(scope)
+            value.parts = [x for part in value.parts for x in self._resolved(part, value, holders)]
+
+    def _find(self, name: str, user: Value, holders: dict[str, list[int]]) -> Value | None:
+        for scope in reversed(holders.get(name, ())):
+            found = self.defined[scope, name]
+            before = bisect_left(found, user.order, key=lambda v: v.order)
+            if before:
+                return found[before - 1]
+            if later := next((v for v in found if v is not user), None):
+                return later
+            # all that this scope has is the user itself, which no scope further out has
         return None
 
-    def _resolved(self, part: tuple, user: Value) -> list:
+    def _resolved(self, part: tuple, user: Value, holders: dict[str, list[int]]) -> list:
         if isinstance(part, Value) or not part[3]:
             return [part]
         names = part[0].split("+")
         if not all(NAME.match(n) for n in names):
             return [part]
-        found = [self._find(n, user) or self._find(n.rpartition(".")[2], user) for n in names]
+        found = [self._find(n, user, holders) or self._find(n.rpartition(".")[2], user, holders) for n in names]
         if not any(found):
             return [part]
         return [f for f in found if f is not None]
