@@ -63,6 +63,9 @@ class _Builder(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None, 0)
+        self.depth = 0
+        self.open: dict[str, list[tuple[int, Node]]] = {}  # open elements by name, with their depths
+        self.scopes: list[int] = []  # depths of the open elements that keep what is around them open
         self.lines = [0]
         for m in re.finditer("\n", html):
             self.lines.append(m.end())
@@ -73,37 +76,39 @@ class _Builder(HTMLParser):
         return self.lines[line - 1] + column
 
     def _close(self, node: Node, end: int) -> None:
-        while self.at is not node and self.at.parent is not None:
-            self.at.end = end
-            self.at = self.at.parent
-        node.end = end
-        self.at = node.parent or self.root
+        while self.at.parent is not None:
+            last = self.at
+            last.end = end
+            self.at = last.parent
+            self.open[last.tag].pop()
+            if last.tag in SCOPE:
+                self.scopes.pop()
+            self.depth -= 1
+            if last is node:
+                return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         start = self._pos()
         for other in CLOSES.get(tag, ()):
-            node = self.at
-            while node.parent is not None and node.tag not in SCOPE:
-                if node.tag == other:
-                    self._close(node, start)
-                    break
-                node = node.parent
+            found = self.open.get(other)
+            if found and (not self.scopes or found[-1][0] > self.scopes[-1]):
+                self._close(found[-1][1], start)
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at, start)
         self.at.children.append(node)
         node.end = start + len(self.get_starttag_text() or "")
         if tag not in VOID:
             self.at = node
+            self.depth += 1
+            self.open.setdefault(tag, []).append((self.depth, node))
+            if tag in SCOPE:
+                self.scopes.append(self.depth)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self._close(node, self._pos() + len(tag) + 3)
-                return
-            node = node.parent
+        if found := self.open.get(tag):
+            self._close(found[-1][1], self._pos() + len(tag) + 3)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -112,11 +117,50 @@ class _Builder(HTMLParser):
 def parse(html: str) -> Node:
     builder = _Builder(html)
     builder.feed(html)
+    if builder.rawdata.startswith("<!--"):
+        builder.rawdata = ""  # a comment without an end reaches to the end of the page
     builder.close()
     builder._close(builder.root, len(html))
+    builder.root.end = len(html)
     return builder.root
 
 
+class Sums:
+    """Bottom-up figures of a tree without chrome, one pass for all nodes: by id of a node, its text's length without the
+    blanks around it, and of the links below it their number and the length of their texts."""
+
+    def __init__(self, root: Node, skip: Callable[[Node], bool] | None):
+        self.size: dict[int, int] = {}
+        self.links: dict[int, tuple[int, int]] = {}
+        spans: dict[int, tuple[int, int, int]] = {}  # all, leading and trailing blanks; leading is all for blank text
+        stack: list[tuple[Node, bool]] = [(root, False)]
+        while stack:
+            node, done = stack.pop()
+            if not done:
+                stack.append((node, True))
+                stack += [(c, False) for c in node.children if isinstance(c, Node) and not (skip and skip(c))]
+                continue
+            total = lead = trail = number = text = 0
+            blank = True
+            for c in node.children:
+                if isinstance(c, str):
+                    n, a, b = len(c), len(c) - len(c.lstrip()), len(c) - len(c.rstrip())
+                elif id(c) in spans:
+                    n, a, b = spans[id(c)]
+                    more, inner = self.links[id(c)]
+                    number, text = number + more + (c.tag == "a"), text + inner + (self.size[id(c)] if c.tag == "a" else 0)
+                else:
+                    continue
+                if blank:
+                    lead += a
+                trail = trail + n if a == n else b
+                blank = blank and a == n
+                total += n
+            spans[id(node)] = (total, total if blank else lead, total if blank else trail)
+            self.size[id(node)] = 0 if blank else total - lead - trail
+            self.links[id(node)] = number, text
+
+
 def is_chrome(n: Node) -> bool:
     return n.tag in CHROME_TAGS or n.attrs.get("role") in CHROME_ROLES
 
@@ -131,9 +175,10 @@ def rendering(html: str) -> dict:
     marker = next((m for m in SPA_MARKERS if m in html), None)
     visible = len(re.sub(r"\s+", " ", body.text(is_chrome)).strip())
     nodes = list(body.walk(is_chrome))
-    prose = lambda ns: sum(n.tag == "p" and len(n.text(is_chrome).strip()) > 30 for n in ns)
+    size = Sums(body, is_chrome).size
+    prose = lambda ns: sum(n.tag == "p" and size[id(n)] > 30 for n in ns)
     code = lambda ns: sum(n.tag in ("pre", "code") for n in ns)
-    headings = sum(n.tag in HEADINGS and len(n.text(is_chrome).strip()) > 3 for n in nodes)
+    headings = sum(n.tag in HEADINGS and size[id(n)] > 3 for n in nodes)
     main = next((n for n in nodes if n.tag == "main" or n.attrs.get("role") == "main"), None)
     inside = list(main.walk(is_chrome)) if main else []
     has_main = prose(inside) >= 2 or code(inside) >= 1
@@ -154,81 +199,107 @@ def rendering_status(r: dict) -> str:
 
 
 # ------------------------------------------------------------------------------------------------ Markdown
-def to_markdown(html: str) -> str:
-    """Markdown of a page: setext h1 and h2, ATX below, * bullets, fenced-free indented code, pipe tables; no scripts or styles."""
-
-    def inline(node: Node) -> str:
-        out = []
-        for c in node.children:
-            if isinstance(c, str):
-                out.append(re.sub(r"\s+", " ", c))
-            elif c.tag in ("script", "style", "noscript"):
-                continue
-            elif c.tag == "br":
-                out.append("  \n")
-            elif c.tag in ("strong", "b"):
-                out.append(f"**{inline(c).strip()}**" if inline(c).strip() else "")
-            elif c.tag in ("em", "i"):
-                out.append(f"_{inline(c).strip()}_" if inline(c).strip() else "")
-            elif c.tag == "code":
-                out.append(f"`{c.text()}`")
-            elif c.tag == "a" and c.attrs.get("href"):
-                out.append(f"[{inline(c).strip()}]({c.attrs['href']})")
-            elif c.tag == "img":
-                out.append(f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})" if c.attrs.get("src") else "")
-            else:
-                out.append(inline(c))
-        return "".join(out)
+HIDDEN = {"script", "style", "noscript"}
+FLOW = BLOCKS - {"br"} | {"body", "html", "head", "header", "footer", "nav", "aside", "title"} | HIDDEN
+
+
+def _inline(children: list[Node | str]) -> str:
+    """Text with links, images, emphasis and code in it. Nested elements are frames on a stack, not calls."""
+    frames: list[tuple[Node | None, Iterator, list[str]]] = [(None, iter(children), [])]
+    while True:
+        node, rest, out = frames[-1]
+        c = next(rest, None)
+        if c is None:
+            frames.pop()
+            text = "".join(out)
+            if not frames:
+                return text
+            if node.tag in ("strong", "b", "em", "i"):
+                mark = "**" if node.tag in ("strong", "b") else "_"
+                text = f"{mark}{text.strip()}{mark}" if text.strip() else ""
+            elif node.tag == "a" and node.attrs.get("href"):
+                text = f"[{text.strip()}]({node.attrs['href']})"
+            frames[-1][2].append(text)
+        elif isinstance(c, str):
+            out.append(re.sub(r"\s+", " ", c))
+        elif c.tag == "br":
+            out.append("  \n")
+        elif c.tag == "code":
+            out.append(f"`{c.text()}`")
+        elif c.tag == "img":
+            out.append(f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})" if c.attrs.get("src") else "")
+        elif c.tag not in HIDDEN:
+            frames.append((c, iter(c.children), []))
+
+
+def _table(node: Node) -> str:
+    cells = lambda r: [_inline(c.children).strip().replace("|", "\\|") for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")]
+    # rows of a table inside a cell are text of that cell
+    inner = lambda n: n.tag == "table"
+    rows = [r for r in (cells(n) for n in node.walk(inner) if n.tag == "tr") if r]
+    if not rows:
+        return ""
+    head, *rest = ["| " + " | ".join(r) + " |" for r in rows]
+    return "\n".join([head, "| " + " | ".join("---" for _ in rows[0]) + " |", *rest])
+
+
+def _single(c: Node) -> str:
+    """A block that holds no blocks."""
+    if c.tag in HEADINGS:
+        text, level = _inline(c.children).strip(), int(c.tag[1])
+        return "" if not text else f"{text}\n{('=' if level == 1 else '-') * len(text)}" if level < 3 else "#" * level + " " + text
+    if c.tag == "pre":
+        return "\n".join("    " + line for line in c.text().strip("\n").split("\n"))
+    return _table(c) if c.tag == "table" else "* * *"
+
+
+#: Lists and quotes deeper than this are written without further indentation, which would grow with the square of the depth.
+DEEPEST = 50
 
-    def table(node: Node) -> str:
-        rows = [[inline(c).strip().replace("|", "\\|") for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in node.find(lambda n: n.tag == "tr")]
-        rows = [r for r in rows if r]
-        if not rows:
-            return ""
-        head, *rest = ["| " + " | ".join(r) + " |" for r in rows]
-        return "\n".join([head, "| " + " | ".join("---" for _ in rows[0]) + " |", *rest])
-
-    def block(node: Node, depth: int = 0) -> list[str]:
-        out: list[str] = []
-        run: list[Node | str] = []
-
-        def flush() -> None:
-            holder = Node("#run", {}, None, 0)
-            holder.children = list(run)
-            text = inline(holder).strip()
-            if text:
-                out.append(text)
-            run.clear()
 
-        for c in node.children:
-            if isinstance(c, str) or c.tag not in BLOCKS | {"body", "html", "head", "header", "footer", "nav", "aside", "script", "style", "noscript", "title"} or c.tag == "br":
-                run.append(c)
-                continue
-            flush()
-            if c.tag in ("script", "style", "noscript", "head", "title"):
-                continue
-            if c.tag in HEADINGS:
-                text, level = inline(c).strip(), int(c.tag[1])
-                if text:
-                    out.append(f"{text}\n{('=' if level == 1 else '-') * len(text)}" if level < 3 else "#" * level + " " + text)
-            elif c.tag == "pre":
-                out.append("\n".join("    " + line for line in c.text().strip("\n").split("\n")))
-            elif c.tag in ("ul", "ol"):
-                items = [n for n in c.children if isinstance(n, Node) and n.tag == "li"]
-                marks = ["*   "] * len(items) if c.tag == "ul" else [f"{k}.  " for k in range(1, len(items) + 1)]
-                out.append("\n".join(m + "\n\n".join(block(n, depth + 1)).replace("\n", "\n    ") for m, n in zip(marks, items)))
-            elif c.tag == "blockquote":
-                out.append("\n".join("> " + line for line in "\n\n".join(block(c)).split("\n")))
-            elif c.tag == "table":
-                out.append(table(c))
-            elif c.tag == "hr":
-                out.append("* * *")
+def to_markdown(html: str) -> str:
+    """Markdown of a page: setext h1 and h2, ATX below, * bullets, fence-free indented code, pipe tables; no scripts or styles.
+
+    Pages may nest as deep as they like.
+    """
+    root = parse(html)
+    # a frame: element, children to come, blocks so far, run of inline children, prefix of the first and of other lines
+    frames: list[tuple[Node, Iterator, list[str], list, str, str]] = [(root, iter(root.children), [], [], "", "")]
+    boxes = 0
+    while True:
+        node, rest, out, run, first, other = frames[-1]
+        c = next(rest, None)
+        if c is not None and (isinstance(c, str) or c.tag not in FLOW):
+            run.append(c)
+            continue
+        if run and (text := _inline(run).strip()):
+            out.append(text)
+        run.clear()
+        if c is None:
+            frames.pop()
+            if not frames:
+                return "\n\n".join(out)
+            above = frames[-1][2]
+            if first or other:
+                boxes -= 1
+                above.append(first + "\n\n".join(out).replace("\n", "\n" + other))
+            elif node.tag in ("ul", "ol"):
+                above += ["\n".join(out)] if out else []
             else:
-                out += block(c, depth)
-        flush()
-        return [x for x in out if x]
-
-    return "\n\n".join(block(parse(html)))
+                above += out
+        elif c.tag in HIDDEN or c.tag in ("head", "title"):
+            continue
+        elif c.tag in HEADINGS or c.tag in ("pre", "table", "hr"):
+            if text := _single(c):
+                out.append(text)
+        elif c.tag in ("ul", "ol"):
+            frames.append((c, iter([n for n in c.children if isinstance(n, Node) and n.tag == "li"]), [], [], "", ""))
+        elif boxes < DEEPEST and (c.tag == "blockquote" or c.tag == "li" and node.tag in ("ul", "ol")):
+            boxes += 1
+            mark = "> " if c.tag == "blockquote" else "*   " if node.tag == "ul" else f"{len(out) + 1}.  "
+            frames.append((c, iter(c.children), [], [], mark, "> " if c.tag == "blockquote" else "    "))
+        else:
+            frames.append((c, iter(c.children), [], [], "", ""))
 
 
 # ------------------------------------------------------------------------------------------------ tabs
@@ -340,6 +411,16 @@ def is_data_row(node: Node) -> bool:
     return not cells or "td" in cells
 
 
+def descendants(root: Node) -> dict[int, int]:
+    """How many elements are below each one, by id."""
+    order, out = [root, *root.walk()], {}
+    for n in reversed(order):
+        out[id(n)] = out.get(id(n), 0)
+        if n is not root:
+            out[id(n.parent)] = out.get(id(n.parent), 0) + 1 + out[id(n)]
+    return out
+
+
 def selected(selector: str) -> Callable[[Node], bool]:
     """A predicate for a simple CSS selector: tag, .class, #id, [attribute] or [attribute=value], in any combination."""
     tag = re.match(r"[a-zA-Z][\w-]*", selector)
@@ -361,12 +442,13 @@ def main_text(html: str, exclusions: tuple[str, ...] = ()) -> dict:
     body = body_of(parse(html))
     box = next((n for n in body.walk(is_chrome) if n.tag == "main" or n.attrs.get("role") == "main"), None) or next((n for n in body.walk(is_chrome) if n.tag == "article"), None) or body
 
+    sums = Sums(box, None)
+
     def menu(n: Node) -> bool:  # mostly links
         if n.tag not in ("div", "ul", "ol", "section"):
             return False
-        links = [a for a in n.walk() if a.tag == "a"]
-        size = len(n.text().strip())
-        return len(links) >= 10 and size > 0 and sum(len(a.text().strip()) for a in links) >= 0.7 * size
+        (links, inside), size = sums.links[id(n)], sums.size[id(n)]
+        return links >= 10 and size > 0 and inside >= 0.7 * size
 
     out: list[str] = []
     left_out = [selected(x) for x in exclusions]
@@ -382,5 +464,12 @@ def main_text(html: str, exclusions: tuple[str, ...] = ()) -> dict:
             stack += reversed(c.children)
     nodes = list(box.walk(is_chrome))
     lists = [sum(isinstance(x, Node) and x.tag == "li" for x in n.children) for n in nodes if n.tag in ("ul", "ol")]
-    tables = [sum(map(is_data_row, n.walk())) for n in nodes if n.tag == "table"]
+    # data rows by document order: those of a table are the ones between its own place and that of what follows it
+    order = list(box.walk())
+    upto = [0]
+    for n in order:
+        upto.append(upto[-1] + is_data_row(n))
+    place = {id(n): k for k, n in enumerate(order)}
+    below = descendants(box)
+    tables = [upto[place[id(n)] + 1 + below[id(n)]] - upto[place[id(n)] + 1] for n in nodes if n.tag == "table"]
     return {"text": re.sub(r"\n\s*\n+", "\n", "".join(out)).strip(), "largest_list": max(lists, default=0), "largest_table": max(tables, default=0)}

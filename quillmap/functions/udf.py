@@ -96,6 +96,12 @@ def links(body: Column, base: Column) -> Column:
     return run(body, base)
 
 
+def all_links(body: Column) -> Column:
+    """array of struct(offset, image, text, url): every link and image of a Markdown body as written, in order."""
+    names = ("offset", "image", "text", "url")
+    return _simple(lambda x: [dict(zip(names, row)) for row in markdown.raw_links(x)], "array<struct<offset: int, image: boolean, text: string, url: string>>")(body)
+
+
 def resolved(url: Column, base: Column) -> Column:
     """url against base; null where it cannot be."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmap.operators.prefix_scan import prefix_scan
+
 # Fixed values of the published bot-protection check.
 MIN_EVIDENCE, LIMITED, SUSTAINED, POST_REQUESTS, POST_FAILURES = 5, 50, 0.5, 10, 5
 LATE_RATE, MULTIPLIER, LATE_EVENTS, TREND_MIN, SPAN = 0.2, 3, 2, 6, 2
@@ -42,9 +44,15 @@ def positioned(events: DataFrame) -> DataFrame:
     )
 
 
+def scanned(events: DataFrame, order: list[str]) -> DataFrame:
+    """events with rn, n and third as `positioned` adds them, by a prefix scan in the given order: for runs of any length."""
+    rows = prefix_scan(events, ["run_id"], order, {"rn": ("count", F.lit(1))}, totals=True)
+    return rows.withColumnRenamed("rn_all", "n").withColumn("third", F.floor(F.col("n") / 3))
+
+
 def trend(events: DataFrame, event: str, require_span: bool) -> DataFrame:
     """Per run: events in the first and last third, the checks that the late ones span, and whether they correlate with volume."""
-    rows = positioned(events)
+    rows = events if "third" in events.columns else positioned(events)
     early, late = F.col("rn") <= F.col("third"), F.col("rn") > F.col("n") - F.col("third")
     out = rows.groupBy("run_id").agg(
         F.max("n").alias("n"), F.max("third").alias("third"),
@@ -59,12 +67,17 @@ def trend(events: DataFrame, event: str, require_span: bool) -> DataFrame:
     return out.withColumn("correlated", correlated & (F.col("late_checks") >= SPAN) if require_span else correlated)
 
 
-def onset(events: DataFrame) -> DataFrame:
-    """Per run: the first interference, else the first failure after the early third, and the failures from there on."""
-    rows = positioned(events)
-    first = rows.groupBy("run_id").agg(
+def first_onset(rows: DataFrame) -> DataFrame:
+    """(run_id, onset) of rows with positions: the first interference, else the first failure after the early third."""
+    return rows.groupBy("run_id").agg(
         F.coalesce(F.min(F.when(F.col("interference"), F.col("rn"))), F.min(F.when((F.col("rn") > F.col("third")) & F.col("failed"), F.col("rn")))).alias("onset")
     )
+
+
+def onset(events: DataFrame) -> DataFrame:
+    """Per run: the first interference, else the first failure after the early third, and the failures from there on."""
+    rows = events if "third" in events.columns else positioned(events)
+    first = first_onset(rows)
     after = rows.join(first, "run_id").filter(F.col("rn") >= F.col("onset"))
     return after.groupBy("run_id").agg(F.first("onset").alias("onset"), F.count("*").alias("post_requests"), F.count_if("failed").alias("post_failures"))
 
