@@ -198,7 +198,8 @@ def _links(t: Tables, o: Options) -> DataFrame:
         w = Window.partitionBy("run_id", "same_origin").orderBy(F.md5(F.concat(F.lit(f"{o.seed}:"), c("fetch"))))
         rows = rows.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= o.max_links)
         of = lambda m: variant(t.capture, method=m).select("run_id", c("url").alias("fetch"), c("status").alias(f"_{m}"), content_type().alias(f"_{m}_type"), c("body").alias(f"_{m}_body"))
-        rows = rows.join(of("HEAD").drop("_HEAD_body"), ["run_id", "fetch"], "left").join(of("GET"), ["run_id", "fetch"], "left")
+        asked = variant(t.capture, method="HEAD", accept="text/markdown").select("run_id", c("url").alias("fetch"), content_type().alias("_asked_type"))
+        rows = rows.join(of("HEAD").drop("_HEAD_body"), ["run_id", "fetch"], "left").join(of("GET"), ["run_id", "fetch"], "left").join(asked, ["run_id", "fetch"], "left")
         return rows.withColumn("code", F.when(c("_HEAD").isNull() | (c("_HEAD") == 405), F.coalesce("_GET", "_HEAD")).otherwise(c("_HEAD")))
 
     return t.once("links", make)
@@ -212,10 +213,13 @@ def llms_txt_links_resolve(t: Tables, o: Options) -> DataFrame:
 
 @check("llms-txt-links-markdown")
 def llms_txt_links_markdown(t: Tables, o: Options) -> DataFrame:
-    rows = _links(t, o).filter("same_origin").withColumn("_md", F.get(U.markdown_candidates(c("fetch")), F.lit(0)))
-    other = variant(t.capture).filter("status = 200").select("run_id", c("url").alias("_md"), F.lit(True).alias("_variant"))
-    rows = rows.join(other, ["run_id", "_md"], "left")
-    served = U.path(c("fetch")).rlike(r"\.mdx?$") | F.startswith(F.coalesce("_HEAD_type", F.lit("")), F.lit("text/markdown"))
+    rows = _links(t, o).filter("same_origin")
+    # any form at a Markdown URL of the page counts, by HEAD or in full
+    ok = t.capture.filter(c("method").isin("HEAD", "GET") & c("accept").isNull() & (c("redirect_mode") == "follow") & c("status").between(200, 299)).select("run_id", c("url").alias("_md")).distinct()
+    forms = rows.select("run_id", "fetch", F.explode(U.markdown_candidates(c("fetch"))).alias("_md")).join(ok, ["run_id", "_md"]).select("run_id", "fetch").distinct()
+    rows = rows.join(forms.withColumn("_variant", F.lit(True)), ["run_id", "fetch"], "left")
+    typed = F.contains(F.coalesce("_asked_type", F.lit("")), F.lit("text/markdown")) | F.startswith(F.coalesce("_HEAD_type", F.lit("")), F.lit("text/markdown"))
+    served = U.path(c("fetch")).rlike(r"\.mdx?$") | typed
     text = U.path(c("fetch")).rlike(r"(?i)\.txt$") & F.coalesce(T.looks_markdown(c("_GET_body")), F.lit(False))
     return rows.select("run_id", c("fetch").alias("url"), "code", order_of((served | text, "pass"), (c("_variant"), "warn"), otherwise="fail").alias("status"))
 
@@ -297,15 +301,28 @@ def single_fetch_completeness(t: Tables, o: Options) -> DataFrame:
     top = F.least(F.lit(5000), F.greatest(F.lit(1000), F.floor(n / 10)))
     first = F.get(F.filter("_p.signals", lambda s: s["url"] == c("_p.continuation")), F.lit(0))
     rows = _paged(t).withColumn("_first", first).withColumn("_top", top)
-    target = F.when(c("_p.continuation").rlike("(?i)^https?://"), c("_p.continuation")).otherwise(F.concat(U.origin(c("md_url")), F.when(F.startswith(c("_p.continuation"), F.lit("/")), c("_p.continuation")).otherwise(F.concat(U.path(c("md_url")), c("_p.continuation")))))
-    rows = rows.withColumn("_target", target)
-    got = variant(t.capture).select("run_id", c("url").alias("_target"), c("status").alias("_code"), c("body").alias("_next"))
-    rows = rows.join(got, ["run_id", "_target"], "left")
-    broken = c("_code").isNull() | (c("_code") >= 400) | (F.trim("_next") == "") | T.soft_404(c("_next")) | (c("_next") == c("body"))
+    rows = rows.withColumn("_target", F.regexp_replace(udf.resolved(c("_p.continuation"), c("md_url")), "#.*$", ""))
+    # asked for as Markdown unless its URL says so already; a capture without that request has the plain one
+    answer = ["run_id", c("url").alias("_target"), F.struct("status", content_type().alias("type"), "body", "error", "outcome")]
+    plain = variant(t.capture).select(*answer[:2], answer[2].alias("_plain"))
+    asked = variant(t.capture, accept="text/markdown").select(*answer[:2], answer[2].alias("_asked"))
+    rows = rows.join(plain, ["run_id", "_target"], "left").join(asked, ["run_id", "_target"], "left")
+    got = F.when(U.is_markdown(c("_target")), c("_plain")).otherwise(F.coalesce("_asked", "_plain"))
+    rows = rows.withColumn("_got", got)
+    said, kind = c("_got.body"), c("_got.type")
+    textual = (kind == "") | F.startswith(kind, F.lit("text/")) | F.contains(kind, F.lit("markdown"))
+    html = F.contains(kind, F.lit("text/html")) | T.looks_html(said)
+    failed = c("_got.error").isNotNull() | c("_got.status").isNull()
+    outcome = order_of(
+        (c("_p.continuation").isNull(), None), (c("_target").isNull(), "unresolvable"), (c("_got").isNull() | failed, "fetch-error"), (~c("_got.status").between(200, 299), "http-error"), (~said.rlike(r"\S"), "empty"),
+        (html | (~textual & ~T.looks_markdown(said)), "not-markdown"), (T.soft_404(said), "soft-404"), (F.trim(said) == F.trim("body"), "same-content"), otherwise="ok",
+    )
+    rows = rows.withColumn("_outcome", outcome)
+    broken = c("_outcome") != "ok"
     late = F.coalesce(c("_first.offset") > c("_top"), F.lit(True))
     relative = ~c("_p.continuation").rlike("(?i)^https?://")
     status = order_of((F.size("_p.signals") == 0, "pass"), (c("_p.continuation").isNull(), "fail"), (broken, "fail"), (late | relative, "warn"), otherwise="pass")
-    return rows.select("run_id", "url", (F.size("_p.signals") > 0).alias("paginated"), c("_p.continuation").alias("continuation"), status.alias("status"))
+    return rows.select("run_id", "url", (F.size("_p.signals") > 0).alias("paginated"), c("_p.continuation").alias("continuation"), c("_outcome").alias("outcome"), status.alias("status"))
 
 
 # ------------------------------------------------------------------------------------------------ content structure
@@ -346,22 +363,42 @@ def code_fences(t: Tables, o: Options) -> DataFrame:
     return bodies.withColumn("_f", udf.fences(c("body"))).select("run_id", "url", c("_f.count").alias("fences"), c("_f.open_line").alias("open_line"), c("_f.status").alias("status"))
 
 
+#: What makes a link broken.
+BROKEN = ("http-error", "empty", "soft-404", "not-markdown", "fetch-error")
+
+
+def link_outcome() -> Column:
+    """What verifying a link (fetch, _got) showed; null where the capture has no such request."""
+    said, kind = c("_got.body"), F.trim(F.split_part(c("_got.type"), F.lit(";"), F.lit(1)))
+    html = kind.isin("text/html", "application/xhtml+xml") | T.looks_html(said)
+    text = F.startswith(kind, F.lit("text/")) | F.contains(kind, F.lit("markdown")) | (kind.isin("", "application/octet-stream") & T.looks_markdown(said))
+    promised = U.is_markdown(c("fetch"))
+    # a redirect that leads to an HTML page has the content, if not the form
+    elsewhere = F.coalesce(c("_got.redirected"), F.lit(False)) & ~U.is_markdown(c("_got.final_url"))
+    return order_of(
+        (c("_got").isNull(), None), (c("_got.error").isNotNull() | c("_got.status").isNull(), "fetch-error"), (~c("_got.status").between(200, 299), "http-error"), (~said.rlike(r"\S"), "empty"), (T.soft_404(said), "soft-404"),
+        (promised & html & elsewhere, "html-redirect"), (promised & (html | ~text), "not-markdown"), otherwise="ok",
+    )
+
+
 @check("markdown-link-portability")
 def link_portability(t: Tables, o: Options) -> DataFrame:
     bodies = t.markdown().unionByName(t.once("linked", lambda: linked_markdown(t)))
     rows = bodies.select("run_id", "ordinal", "url", F.explode_outer(udf.links(c("body"), c("md_url"))).alias("l")).filter("l is null or not l.image")
     wanted = rows.filter("l.fetch is not null and not l.cross_origin").select("run_id", c("ordinal").alias("page_ordinal"), c("l.offset").cast("long").alias("offset"), c("l.fetch").alias("fetch"))
     plan = S.link_plan(wanted, o.max_links)
-    got = variant(t.capture).select("run_id", c("url").alias("fetch"), c("status").alias("_code"), content_type().alias("_type"))
-    tested = plan.join(got, ["run_id", "fetch"], "left").withColumn("_broken", F.coalesce(c("_code") >= 400, F.lit(False)))
-    tested = tested.withColumn("_downgraded", F.coalesce(U.is_markdown(c("fetch")) & F.startswith("_type", F.lit("text/html")), F.lit(False)))
-    bad = tested.groupBy("run_id", c("page_ordinal").alias("ordinal")).agg(F.bool_or("_broken").alias("_broken"), F.bool_or("_downgraded").alias("_downgraded"))
+    got = variant(t.capture).select("run_id", c("url").alias("fetch"), F.struct("status", content_type().alias("type"), "body", "error", "redirected", "final_url").alias("_got"))
+    tested = plan.join(got, ["run_id", "fetch"], "left").withColumn("_outcome", link_outcome())
+    bad = tested.filter("_outcome <> 'ok'").groupBy("run_id", c("page_ordinal").alias("ordinal")).agg(
+        F.bool_or(c("_outcome").isin(*BROKEN)).alias("_broken"), F.bool_or(c("_outcome") == "html-redirect").alias("_downgraded"),
+        F.array_sort(F.collect_list(F.struct("fetch", c("_outcome").alias("outcome")))).alias("_faults"),  # as many as links are verified
+    )
     of = lambda *k: F.count_if(c("l.class").isin(*k))
     per = rows.groupBy("run_id", "ordinal", "url").agg(of("path-relative").alias("path_relative"), of("root-relative", "protocol-relative").alias("root_relative"), F.count_if(c("l.unresolvable")).alias("unresolvable"))
     per = per.join(bad, ["run_id", "ordinal"], "left")
     fail = (c("path_relative") > 0) | (c("unresolvable") > 0) | F.coalesce("_broken", F.lit(False))
     warn = (c("root_relative") > 0) | F.coalesce("_downgraded", F.lit(False))
-    return per.select("run_id", "url", "path_relative", "root_relative", "unresolvable", F.coalesce("_broken", F.lit(False)).alias("broken"), F.coalesce("_downgraded", F.lit(False)).alias("downgraded"), order_of((fail, "fail"), (warn, "warn"), otherwise="pass").alias("status"))
+    return per.select("run_id", "url", "path_relative", "root_relative", "unresolvable", F.coalesce("_broken", F.lit(False)).alias("broken"), F.coalesce("_downgraded", F.lit(False)).alias("downgraded"), c("_faults").alias("faults"), order_of((fail, "fail"), (warn, "warn"), otherwise="pass").alias("status"))
 
 
 @check("embedded-data-serialization")

@@ -52,13 +52,17 @@ def audit(
         "rate", F.col("e").cast("int").alias("fetch_errors"), "tested", F.col("limited").alias("rate_limited"), "ext", "ext_f", rules.message().alias("message"),
     )
     results = cut(results)
+    # checks that the options leave out have a row, which neither dependencies nor scores see
+    left_out = [k for k in dag.order() if k in options.skip_check_ids]
+    skipped = tables.runs.select("run_id", F.explode(F.array(*map(F.lit, left_out)) if left_out else F.array().cast("array<string>")).alias("check_id"))
+    skipped = skipped.select("run_id", "check_id", rules.categories()[F.col("check_id")].alias("category"), F.lit("skip").alias("status"), F.concat("check_id", F.lit(": skipped by the options")).alias("message"))
     typed, requests = _typed(results, everything, tables, warnings)
     runs = _runs(tables, options, requests)
     findings = symptoms(everything)
     found = cut(diagnostics.evaluate(typed, runs, findings))
     scores = cut(scoring.check_scores(typed, everything, runs, scoring.dim_check(spark)))
     out = {
-        "results": results, "items": everything, "check_scores": scores, "scores": scoring.overall(scores, runs, scoring.caps(scores, typed, found)), "categories": scoring.categories(scores),
+        "results": results.unionByName(skipped, allowMissingColumns=True), "items": everything, "check_scores": scores, "scores": scoring.overall(scores, runs, scoring.caps(scores, typed, found)), "categories": scoring.categories(scores),
         "diagnostics": found, "findings": findings, "requests": requests, "runs": runs.withColumn("network_context", F.lit(context).cast("string")),
     }
     away = everything.filter("check_id = 'llms-txt-links-resolve' and external").select("run_id", U.origin(F.col("url")).alias("origin"), "url")

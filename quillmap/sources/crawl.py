@@ -107,13 +107,16 @@ class Recorder:
         self.ask(_request(some, "fetch", method="HEAD"))
         refused = self.capture().filter("method = 'HEAD' and (status = 405 or status is null)").select("run_id", F.col("url").alias("fetch"))
         text = some.filter(U.path(F.col("fetch")).rlike(r"(?i)\.txt$")).select("run_id", "fetch")
-        forms = some.filter("_own").select("run_id", F.get(U.markdown_candidates(F.col("fetch")), F.lit(0)).alias("fetch"))
+        own = some.filter("_own")
+        forms = own.select("run_id", F.explode(U.markdown_candidates(F.col("fetch"))).alias("fetch"))
         md = cut(markdown_pages(Tables(self.runs, sample, self.capture())))
         wanted = md.select("run_id", "ordinal", F.explode(udf.links(F.col("body"), F.col("md_url"))).alias("l")).filter("not l.image and l.fetch is not null and not l.cross_origin")
         plan = S.link_plan(wanted.select("run_id", F.col("ordinal").alias("page_ordinal"), F.col("l.offset").cast("long").alias("offset"), F.col("l.fetch").alias("fetch")), o.max_links)
         on = md.select("run_id", "md_url", udf.pagination(F.col("body"), F.col("md_url"))["continuation"].alias("_c")).filter("_c is not null")
         on = on.select("run_id", udf.resolved(F.col("_c"), F.col("md_url")).alias("fetch"))
-        self.ask(_union(*[_request(x, "fetch") for x in (refused, text, forms, plan.select("run_id", "fetch"), on)]))
+        asked = on.filter(~U.is_markdown(F.col("fetch")))
+        self.ask(_union(*[_request(x, "fetch") for x in (refused, text, plan.select("run_id", "fetch"), on.filter(U.is_markdown(F.col("fetch"))))],
+                        _request(forms, "fetch", method="HEAD"), _request(own, "fetch", method="HEAD", accept="text/markdown"), _request(asked, "fetch", accept="text/markdown")))
 
 
 def record(spark: SparkSession, runs: DataFrame, path: str, options: Options = Options(), curated: DataFrame | None = None, settings: dict | None = None) -> DataFrame:
