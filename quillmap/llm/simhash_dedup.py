@@ -14,7 +14,8 @@ bits always meet in one of seven tables: (segment equal, another's Golay key), s
 Links. Rows of a key are neighbours after sorting. Up to `SMALL` of them are compared in pairs. More are dealt out once
 more: the bits that differ among them are cut into four blocks, and two fingerprints within 3 bits agree in one of the
 blocks at least, so only those that do are compared, by the same rule again. A key with over `CROWD` rows is handed back
-by its task with the keys of its four blocks of 16 bits, for a further round on all tasks. A task hands on a spanning
+by its task as it comes, batch by batch, with the keys of four parts of the bits that are still open, for a further round on
+all tasks; each round leaves three quarters of the open bits, and few bits have few values, so it ends. A task hands on a spanning
 forest of the links that it found, not the links. Components then come from alternating large-star and small-star
 steps, with a checkpoint each.
 
@@ -235,6 +236,23 @@ def near_pairs(key: np.ndarray, fp: np.ndarray, radius: int, hold: int = 2_000_0
     return u, v
 
 
+#: Open bits of a key up to which its fingerprints are compared in one task: 4,096 values at most.
+FEW_BITS = 12
+
+
+def open_blocks(mask: int) -> list[int]:
+    """Four parts of the open bits: values that differ in three bits at most agree in one of them."""
+    bits = [k for k in range(64) if mask >> k & 1]
+    size, more = divmod(len(bits), 4)
+    parts, at = [], 0
+    for k in range(4):
+        n = size + (k < more)
+        part = sum(1 << b for b in bits[at : at + n])
+        parts.append(part - (1 << 64) if part >> 63 else part)
+        at += n
+    return parts
+
+
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(u, v) with u > v: links among distinct fingerprints (column fp) that span their components."""
     if radius > RADIUS:
@@ -248,49 +266,50 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, crowd: int = CROW
                 key, at = golay_rows(fp[s : s + 20_000], golay)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[s : s + 20_000][at])], names=["key", "fp"])
 
-    def linker(again: bool):
-        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Links (u, v, null), and for keys with over `crowd` rows (block key, fp, block) for the next round."""
-            key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            us, vs, crowded = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None
-
-            def take(n: int) -> None:
-                nonlocal key, fp, us, vs
-                u, v = near_pairs(key[:n], fp[:n], radius)
-                u, v = forest(np.concatenate([*us, u]), np.concatenate([*vs, v]))
-                us, vs, key, fp = [u], [v], key[n:], fp[n:]
-
-            def hand_on(n: int) -> Iterator[pa.RecordBatch]:
-                nonlocal key, fp
-                for block in range(4):
-                    part = (fp[:n].view(np.uint64) >> np.uint64(16 * block)).astype(np.int64) & 0xFFFF
-                    mixed = (key[:n] * 4 + block) * 0x9E3779B1 + part * 0x85EBCA6B
-                    yield pa.RecordBatch.from_arrays([pa.array(mixed), pa.array(fp[:n]), pa.array(np.full(n, block, np.int32))], names=["u", "v", "block"])
-                key, fp = key[n:], fp[n:]
-
-            for batch in batches:
-                key = np.concatenate([key, batch.column(0).to_numpy()])
-                fp = np.concatenate([fp, batch.column(1).to_numpy()])
-                while crowded is not None and len(key) and key[0] == crowded:
-                    yield from hand_on(int(np.searchsorted(key, crowded, "right")))
-                if len(key) >= 500_000 or again and len(key) > crowd:  # all but the last key, which may go on in the next batch
-                    take(int(np.searchsorted(key, key[-1])))
-                    if again and len(key) > crowd:
-                        crowded = key[-1]
-                        yield from hand_on(len(key))
-            take(len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(us[0]), pa.array(vs[0]), pa.nulls(len(us[0]), pa.int32())], names=["u", "v", "block"])
-
-        return link
-
-    schema = "u long, v long, block int"
-    rows = prints.select("fp").mapInArrow(expand, "key long, fp long")
-    found = checkpointed(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(linker(True), schema))
-    links, crowds = found.filter("block is null").select("u", "v"), found.filter("block is not null")
-    if not crowds.isEmpty():
-        rows = crowds.select(F.col("u").alias("key"), F.col("v").alias("fp")).distinct()
-        links = links.unionByName(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(linker(False), schema).select("u", "v"))
-    return links.distinct()
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links (u, v, null), and for keys with over `crowd` rows (new key, fp, bits that are still open) for the next round."""
+        key, fp, rest = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        us, vs, crowded = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None
+
+        def take(n: int) -> None:
+            nonlocal key, fp, rest, us, vs
+            u, v = near_pairs(key[:n], fp[:n], radius)
+            u, v = forest(np.concatenate([*us, u]), np.concatenate([*vs, v]))
+            us, vs, key, fp, rest = [u], [v], key[n:].copy(), fp[n:].copy(), rest[n:].copy()
+
+        def hand_on(n: int) -> Iterator[pa.RecordBatch]:
+            nonlocal key, fp, rest
+            for mask in np.unique(rest[:n]):
+                mine = rest[:n] == mask
+                for block, part in enumerate(open_blocks(int(mask))):
+                    mixed = (key[:n][mine] * 4 + block) * 0x9E3779B1 + (fp[:n][mine] & part) * 0x85EBCA6B
+                    mixed ^= (mixed >> 29) & 0x7FFFFFFFF
+                    left = np.full(int(mine.sum()), mask & ~part, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed), pa.array(fp[:n][mine]), pa.array(left)], names=["u", "v", "rest"])
+            key, fp, rest = key[n:].copy(), fp[n:].copy(), rest[n:].copy()
+
+        for batch in batches:
+            key, fp, rest = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((key, fp, rest)))
+            if crowded is not None and len(key) and key[0] == crowded:
+                yield from hand_on(int(np.searchsorted(key, crowded, "right")))
+            if len(key) > min(crowd, 500_000):  # all but the last key, which may go on in the next batch
+                take(int(np.searchsorted(key, key[-1])))
+                # so few open bits allow few values, which are compared here
+                if len(key) > crowd and (int(rest[0]) & 2**64 - 1).bit_count() > FEW_BITS:
+                    crowded = key[-1]
+                    yield from hand_on(len(key))
+        take(len(key))
+        yield pa.RecordBatch.from_arrays([pa.array(us[0]), pa.array(vs[0]), pa.nulls(len(us[0]), pa.int64())], names=["u", "v", "rest"])
+
+    rows = prints.select("fp").mapInArrow(expand, "key long, fp long").withColumn("rest", F.lit(-1).cast("long"))
+    links = None
+    while True:  # a round leaves fewer bits open: 48, 36, 27, 20; 2^16 values are below any crowd
+        found = checkpointed(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link, "u long, v long, rest long"))
+        new, crowds = found.filter("rest is null").select("u", "v"), found.filter("rest is not null")
+        links = new if links is None else links.unionByName(new)
+        if crowds.isEmpty():
+            return links.distinct()
+        rows = crowds.select(F.col("u").alias("key"), F.col("v").alias("fp"), "rest").distinct()
 
 
 # ---------------------------------------------------------------------------------------------- components

@@ -148,3 +148,13 @@ def test_crowded_keys_take_a_further_round(spark):
     prints = spark.createDataFrame([(int(x),) for x in fp], "fp long")
     got = {r["node"]: r["root"] for r in sd.components(sd.fingerprint_links(prints, crowd=20)).collect()}
     assert [got.get(x, x) for x in fp.tolist()] == fp[plain_roots(fp, 3)].tolist()
+
+
+def test_crowded_keys_take_several_rounds(spark):
+    """Fingerprints that share 42 bits: crowded after the first and the second further round as well."""
+    rng = np.random.default_rng(7)
+    assert [bin(x & 2**64 - 1).count("1") for x in sd.open_blocks(-1)] == [16] * 4 and sum(x & 2**64 - 1 for x in sd.open_blocks(-1)) == 2**64 - 1
+    fp = np.unique(np.concatenate([rng.integers(0, 1 << 22, 3000) << 20, (rng.integers(0, 1 << 22, 300) << 41) | 5, rng.integers(-(1 << 62), 1 << 62, 50)]))
+    prints = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    got = {r["node"]: r["root"] for r in sd.components(sd.fingerprint_links(prints, crowd=60)).collect()}
+    assert [got.get(x, x) for x in fp.tolist()] == fp[plain_roots(fp, 3)].tolist()
