@@ -750,17 +750,22 @@ class Document:
 
     def text(self) -> str:
         """What the body says, a line per block and cell: code as it is, images by their descriptions, without tags."""
-        out, inlines = [], iter(self.inlines())
+        out, inlines, end, kind = [], iter(self.inlines()), 0, ""
         for leaf in self.blocks.leaves:
             if leaf.kind == "code":
-                out.append("\n".join(x for _, x in leaf.pieces))
+                said = "\n".join(x for _, x in leaf.pieces)
             elif leaf.kind == "html":
-                out.append(without_tags("\n".join(x for _, x in leaf.pieces)))
+                said = without_tags("\n".join(x for _, x in leaf.pieces))
             else:
                 found = next(inlines)[1]
                 # text that merely looks like a tag is kept, so it is taken past the removal of tags
-                out.append("".join(x if isinstance(x, str) else without_tags(x[1]) if x[0] == "html" else x[1] for x in found.nodes))
-        return "\n".join(x for x in out if x)
+                said = "".join(x if isinstance(x, str) else without_tags(x[1]) if x[0] == "html" else x[1] for x in found.nodes)
+            if said:
+                # blank lines between blocks stay, but for the rule below the head of a table
+                gap = 1 if kind == leaf.kind == "cell" else max(1, self.body.count("\n", end, leaf.start))
+                out.append("\n" * gap + said if out else said)
+                end, kind = max(leaf.end, leaf.pieces[-1][0] + len(leaf.pieces[-1][1])), leaf.kind
+        return "".join(out)
 
 
 #: Elements of HTML; other names in angle brackets are placeholders of an author.

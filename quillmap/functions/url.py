@@ -135,16 +135,15 @@ def parent_markdown(url: Column, original: Column) -> Column:
 def coverage_path(url: Column) -> Column:
     """Path to compare indexes by: no index file, extension or trailing slash, lower case; malformed URLs lower case."""
     p = F.regexp_replace(path(url), r"(?i)/index\.(md|mdx|html?)$", "/")
-    p = F.regexp_replace(p, r"(?i)\.(md|mdx|html?)$", "")
-    p = F.when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p)
+    # a slash goes only behind something; one pattern, as a CASE would hold the steps before it three times
+    p = F.regexp_replace(F.regexp_replace(p, r"(?i)\.(md|mdx|html?)$", ""), r"(?<=[\s\S])/$", "")
     return F.lower(F.coalesce(p, url))
 
 
 def page_key(url: Column) -> Column:
     """One key for a page and its Markdown: no fragment, .md or trailing slash; malformed URLs stay."""
     p = F.regexp_replace(path(url), r"(?i)\.(md|mdx)$", "")
-    p = F.when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p)
-    p = F.when(p == "", "/").otherwise(p)
+    p = F.regexp_replace(F.regexp_replace(p, r"(?<=[\s\S])/$", ""), "^$", "/")
     return F.coalesce(rebuilt(url, p, keep_fragment=False), url)
 
 
