@@ -62,6 +62,14 @@ def content_start(body: Column) -> Column:
     return _simple(markdown.content_start, "int")(body)
 
 
+NODES = "array<struct<pre: int, last: int, parent: int, depth: int, tag: string, id: string, classes: array<string>, role: string, href: string, start: int, end: int, own: string>>"
+
+
+def nodes(body: Column) -> Column:
+    """The elements of an HTML body in document order (see dom.node_rows)."""
+    return _simple(dom.node_rows, NODES)(body)
+
+
 def tab_groups(body: Column) -> Column:
     return _simple(dom.tab_groups, TABS)(body)
 

@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from quillmap.plans import audited, joined, parsed, scored  # noqa: F401  register the queries of parsers, of joins and of audits
+    from quillmap.plans import audited, derived, joined, parsed, scored  # noqa: F401  register the queries of parsers, of joins and of audits
 
     return dict(QUERIES)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import udf
 from quillmap.functions import url as U
+from quillmap.operators import dom_table as D
 from quillmap.operators import joins as J
 from quillmap.operators import ledger as L
 from quillmap.operators.prefix_scan import prefix_scan
@@ -86,3 +87,30 @@ def events_within_budget(spark, d):
     rows = prefix_scan(e, [], ["ts", "event_id"], {"used": ("sum", "value")}, inclusive=False, totals=True)
     taken = rows.filter(F.coalesce("used", F.lit(0.0)) < 0.3 * F.col("used_all"))
     return taken.agg(F.count("*").alias("taken"), F.floor(F.sum("value")).cast("long").alias("total"))
+
+
+def _nodes(spark, d):
+    return D.elements(spread(table(spark, d, "pages").select("page_id", "html")), ["page_id"])
+
+
+BARE = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<!--.*?-->', '', 'g')"
+
+
+@query("dom_anchors_in_nav", rf"""WITH b AS (SELECT page_id, {BARE} AS h FROM pages), n AS (SELECT page_id, h, unnest(regexp_extract_all(h, '(?is)<nav\b.*?</nav>')) AS nav FROM b)
+SELECT page_id, sum(len(regexp_extract_all(nav, '(?i)<a\s')))::BIGINT AS anchors, sum(len(regexp_extract_all(nav, '(?i)<li\b')))::BIGINT AS items FROM n GROUP BY page_id HAVING anchors + items > 0""")
+def dom_anchors_in_nav(spark, d):
+    """Links and list items below navigation, by a structural join."""
+    tag = F.col("tag")
+    pairs = D.below(_nodes(spark, d), tag.isin("a", "li"), tag == "nav", ["page_id"])
+    once = D.nearest(pairs, ["page_id"])
+    return once.groupBy("page_id").agg(F.count_if(F.col("inner_tag") == "a").alias("anchors"), F.count_if(F.col("inner_tag") == "li").alias("items"))
+
+
+@query("dom_headings", rf"""WITH b AS (SELECT page_id, {BARE} AS h FROM pages) SELECT page_id, len(regexp_extract_all(h, '(?i)<h[1-6]\b'))::BIGINT AS headings,
+len(regexp_extract_all(regexp_replace(h, '(?is)<(nav|header|footer|aside)\b.*?</(nav|header|footer|aside)>', '', 'g'), '(?i)<a\s'))::BIGINT AS anchors_outside FROM b""")
+def dom_headings(spark, d):
+    """Headings of each page, and its links outside chrome."""
+    nodes, tag = _nodes(spark, d), F.col("tag")
+    headings = nodes.groupBy("page_id").agg(F.count_if(tag.isin(*D.HEADINGS)).alias("headings"))
+    free = D.outside(nodes, tag == "a", tag.isin("nav", "header", "footer", "aside"), ["page_id"]).groupBy("page_id").agg(F.count("*").alias("anchors_outside"))
+    return headings.join(free, "page_id", "left").select("page_id", "headings", F.coalesce("anchors_outside", F.lit(0)).alias("anchors_outside"))
