@@ -92,3 +92,13 @@ def test_checks_left_out_have_rows(spark):
     assert got["llms-txt-valid"][0] == "pass" and set(got) == {"llms-txt-exists", "llms-txt-valid", "llms-txt-size"}
     assert "llms-txt-exists" not in {r["check_id"] for r in out["check_scores"].collect()}
     t.release()
+
+
+def test_coverage_leaves_out_omitted_subtrees(spark):
+    """Pages below an index that is not walked count as listed, without a segment boundary."""
+    rows = [row(f"{BASE}/llms.txt", f"# T\n\n> t\n\n[sub]({BASE}/sub/llms.txt) [home]({BASE}/home)", kind="text/plain"), row(f"{BASE}/sub/llms.txt", f"# S\n\n[deep]({BASE}/x/deep/llms.txt) [a]({BASE}/sub/a.md)", kind="text/plain")]
+    t = tables(spark, rows, [f"{BASE}/home"])
+    t.sitemap = spark.createDataFrame([("r", f"{BASE}{p}") for p in ("/home", "/sub/a", "/x/deep/b", "/x/deeper", "/x", "/y")], "run_id string, url string")
+    got = {r["url"].removeprefix(BASE): r["status"] for r in REGISTRY["llms-txt-coverage"](t, Options()).collect()}
+    assert got == {"/home": "pass", "/sub/a": "pass", "/x/deep/b": "pass", "/x/deeper": "pass", "/x": "fail", "/y": "fail"}
+    t.release()
