@@ -15,9 +15,10 @@ from quillmap.operators import joins as J
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
-def elements(pages: DataFrame, keys: list[str], body: str = "html") -> DataFrame:
-    """(keys, pre, last, parent, depth, tag, id, classes, role, href, start, end, own) of all elements. Null bodies have none."""
-    return pages.filter(F.col(body).isNotNull()).select(*keys, F.explode(udf.nodes(F.col(body))).alias("n")).select(*keys, "n.*")
+def elements(pages: DataFrame, keys: list[str], body: str = "html", fields: tuple[str, ...] = tuple(udf.NODES)) -> DataFrame:
+    """(keys, pre, last, parent, depth, tag, id, classes, role, href, start, end, own), or of these the given fields, of all
+    elements. Null bodies have none."""
+    return pages.filter(F.col(body).isNotNull()).select(*keys, F.explode(udf.nodes(F.col(body), fields)).alias("n")).select(*keys, "n.*")
 
 
 def below(nodes: DataFrame, inner: Column, outer: Column, keys: list[str], columns: tuple[str, ...] = ("tag",)) -> DataFrame:
