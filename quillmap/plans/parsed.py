@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import udf
 from quillmap.operators import structure as S
-from quillmap.plans.catalogue import literal, query, table
+from quillmap.plans.catalogue import literal, query, spread, table
 
 FENCED = """(SELECT * FROM (VALUES (1, '```
 x
@@ -51,7 +51,7 @@ BULKY = """(SELECT 1 AS id, concat('intro text
 
 @query("html_render_metrics")
 def html_render_metrics(spark, d):
-    pages = table(spark, d, "pages").repartition(8, "page_id")
+    pages = spread(table(spark, d, "pages"))
     return pages.select("page_id", udf.page_metrics(F.col("html")).alias("m")).select("page_id", "m.status", "m.headings", "m.paragraphs", "m.code_blocks", "m.visible", "m.has_content")
 
 
@@ -62,14 +62,14 @@ def html_anchor_counts(spark, d):
 
 @query("html_to_markdown")
 def html_to_markdown(spark, d):
-    pages = table(spark, d, "pages").repartition(8, "page_id")
-    return pages.select("page_id", udf.page_metrics(F.col("html")).alias("m")).select("page_id", F.length("m.markdown").alias("chars"), F.md5("m.markdown").alias("digest"))
+    pages = spread(table(spark, d, "pages"))
+    return pages.select("page_id", udf.page_markdown(F.col("html")).alias("md")).select("page_id", F.length("md").alias("chars"), F.md5("md").alias("digest"))
 
 
 @query("content_start")
 def content_start(spark, d):
-    pages = table(spark, d, "pages").repartition(8, "page_id")
-    md = pages.select("page_id", udf.page_metrics(F.col("html")).alias("m")).select("page_id", F.col("m.markdown").alias("md"))
+    pages = spread(table(spark, d, "pages"))
+    md = pages.select("page_id", udf.page_markdown(F.col("html")).alias("md"))
     start = md.select("page_id", udf.content_start(F.col("md")).alias("start"), F.length("md").alias("chars"))
     percent = F.floor(F.try_divide(100 * F.col("start"), F.col("chars")) + 0.5)
     return start.withColumn("percent", percent).withColumn("status", F.when(percent <= 10, "pass").when(percent <= 50, "warn").otherwise("fail"))
@@ -77,8 +77,8 @@ def content_start(spark, d):
 
 @query("html_parity_self")
 def html_parity_self(spark, d):
-    pages = table(spark, d, "pages").repartition(8, "page_id").select("url", "html", udf.page_metrics(F.col("html")).alias("m"))
-    return S.parity(pages.select("url", "html", F.col("m.markdown").alias("markdown")))
+    pages = spread(table(spark, d, "pages").select("url", "html"))
+    return S.parity(pages.select("url", "html", udf.page_markdown(F.col("html")).alias("markdown")))
 
 
 @query("fences", "SELECT * FROM (VALUES (1, 1, NULL, 'pass'), (2, 1, 1, 'fail'), (3, 1, NULL, 'pass'), (4, 1, NULL, 'pass'), (5, 1, NULL, 'pass'), (6, 0, NULL, 'pass')) AS v(id, fences, open_line, status)")
@@ -123,5 +123,5 @@ CHROME_FREE = "regexp_replace(html, '(?is)<(nav|header|footer|aside|script|style
 lambda x: length(trim(regexp_replace(x, '<[^>]*>', '', 'g'))) > 3))::INT AS headings, len(regexp_extract_all({CHROME_FREE}, '(?i)<(pre|code)[\\s>]'))::INT AS code_blocks FROM pages""")
 def html_heading_counts(spark, d):
     """Of the rendering figures those that patterns can tell on these pages."""
-    pages = table(spark, d, "pages").repartition(8, "page_id")
+    pages = spread(table(spark, d, "pages"))
     return pages.select("page_id", udf.page_metrics(F.col("html")).alias("m")).select("page_id", "m.headings", "m.code_blocks")
