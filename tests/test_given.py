@@ -10,6 +10,7 @@ SF = os.environ.get("QUILLMAP_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
 TABLES = {
     "auth_class": "events",
+    "body_classes": "documents",
 }
 
 
