@@ -12,6 +12,7 @@ TABLES = {
     "auth_class": "events",
     "body_classes": "documents",
     "bulk_data": "documents",
+    "cache_header_status": "events",
 }
 
 
