@@ -16,6 +16,7 @@ TABLES = {
     "capture_ledger": "events",
     "challenge_pages": "documents",
     "content_start_cases": "documents",
+    "dependency_gate": "orders",
 }
 
 
