@@ -19,6 +19,7 @@ TABLES = {
     "dependency_gate": "orders",
     "discovery_scopes": "pages",
     "fences": "documents",
+    "html_directive_position": "pages",
 }
 
 
