@@ -147,3 +147,19 @@ def test_sums_of_a_tree():
 def test_links_of_converted_pages():
     html = '<ul><li><a href="/a,b">x</a><ul><li><a href="c(d)">y z</a></li></ul></li></ul><p><a href="e.md"><b>q</b></a> <img src="i.png" alt="w"></p>'
     assert found(dom.to_markdown(html)) == [(False, "x", "/a,b"), (False, "y z", "c(d)"), (False, "q", "e.md"), (True, "w", "i.png")]
+
+
+def test_shares_of_links_and_texts_of_headings():
+    """In one pass each, with the results of a pattern and of a walk for each heading."""
+    rng = random.Random(1)
+    for _ in range(20_000):
+        line = "".join(rng.choices("[]()a", k=rng.randint(1, 14)))
+        assert M.link_share(line) == sum(map(len, M.LINK.findall(line))) / len(line)
+    for _ in range(300):
+        root = dom.parse("".join(rng.choices(["<div>", "</div>", "<h1>", "<h2>", "</h2>", "t ", "<b>", "</b>"], k=30)))
+        nodes = list(root.walk())
+        assert dom.texts_of(root, {id(n) for n in nodes}) == {id(n): n.text() for n in nodes}
+    start = time.monotonic()
+    assert [M.link_share(u * 100_000) for u in ("[a](", "[", "[]", "[a]", "[a]()")] == [0.0] * 5
+    assert dom.headers_of("<h1>" * 30_000 + "t") == ["t"] * 30_000
+    assert time.monotonic() - start < 10
