@@ -71,6 +71,21 @@ def test_a_passage_in_every_text(spark):
     assert sorted(got, key=str) == plain(rows, 100)
 
 
+def test_passages_of_over_50_words(spark):
+    """The contract counts bytes, not words: a passage that two texts share stays at 399 bytes and goes at 400."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    short, long = words(80)[:399], words(80)[:400]
+    assert len(short.split()) > 50 and len(long.split()) > 50
+    rows = [(i, f"{words(90)} {a}{p}{b} {words(90)}") for i, (p, a, b) in enumerate([(short, "(", ")"), (short, "[", "]"), (long, "(", ")"), (long, "[", "]")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for r in sd.repeated_passages(df).collect():
+        got.append((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]))
+    assert [g[2] for g in sorted(got)] == [0, 0, 400, 400]
+    assert sorted(got, key=str) == plain(rows, 400)
+
+
 def test_texts_over_a_segment(spark):
     """Segments end inside a repeated passage."""
     rng = random.Random(10)
